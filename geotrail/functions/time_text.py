@@ -2,10 +2,10 @@
 
 ``read_time_text`` adds for a text column a struct with
 
-* ``epoch_ms``  - the instant of a bare number (seconds, milliseconds or microseconds),
-* ``wall_ms``   - the wall-clock reading as milliseconds since 1970-01-01 00:00 without any zone,
-* ``offset_min``- the offset that stands in the text (also ``Z``, ``UTC+9`` and abbreviations),
-* ``zone``      - the zone name that stands in the text without an offset.
+* ``epoch_ms`` - the instant of a bare number (seconds, milliseconds or microseconds) or of a text with an offset
+  (also ``Z``, ``UTC+9`` and abbreviations),
+* ``wall_ms`` - else the wall-clock reading as milliseconds since 1970-01-01 00:00 without any zone,
+* ``zone`` - the zone name that stands in the text without an offset.
 
 All fields are null for a text that is null, unreadable, or names an impossible date or time.
 Readable shapes (surrounding space of any kind is ignored):
@@ -37,13 +37,14 @@ ABBREVIATIONS = {
     "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,
 }
 
-_MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
-#: Every pattern is rewritten to year|month|day|hour|minute|second|digits|am or pm|zone.
-_ISO = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})[Tt ]+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?()\s*(\S.*)?$"
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})[Tt ](\d{2})(\d{2})(\d{2})?(?:[.,](\d+))?()\s*(\S.*)?$"
-_DOTTED = r"^(\d{1,2})\.(\d{1,2})\.(\d{4}),?[Tt ]+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?()\s*(\S.*)?$"
-_MAIL = r"^(?:[A-Za-z]{3,9}\.?,? +)?(\d{1,2}) ([A-Za-z]{3})[a-z]*\.?,? (\d{4}),? (\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?()\s*(\S.*)?$"
-_MONTH_FIRST = r"^(?:[A-Za-z]{3,9}, +)?([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4}),?(?: at)? (\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)? ?([AaPp]\.?[Mm]\.?)?\s*(\S.*)?$"
+#: Every pattern is rewritten to wall-clock reading|zone.
+_CLOCK = r"(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)"
+_ISO = rf"^(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}})[Tt ]+{_CLOCK} *(\S.*)?$"
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})[Tt ](\d{2})(\d{2})(\d{2}(?:\.\d+)?) *(\S.*)?$"
+_DOTTED = rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}),? +{_CLOCK} *(\S.*)?$"
+_MAIL = rf"^(?:[A-Za-z]{{3,9}}, *)?(\d{{1,2}}) ([A-Za-z]{{3}})[a-z]*\.? (\d{{4}}) {_CLOCK} *(\S.*)?$"
+_MONTH_FIRST = rf"^([A-Za-z]{{3}})[a-z]*\.? (\d{{1,2}}), (\d{{4}}),? {_CLOCK} *([AaPp][Mm])? *(\S.*)?$"
+_ABBREVIATED = {k: f"{'-' if v < 0 else '+'}{abs(v) // 60:02d}:{abs(v) % 60:02d}" for k, v in ABBREVIATIONS.items()}
 
 
 def tidy(text: Column) -> Column:
@@ -52,82 +53,61 @@ def tidy(text: Column) -> Column:
     return F.trim(plain)
 
 
-def _fields(t: Column) -> Column:
-    fifth, third, second = F.substring(t, 5, 1), F.substring(t, 3, 1), F.substring(t, 2, 1)
-    iso = F.regexp_replace(t, _ISO, "$1|$3|$4|$5|$6|$7|$8|$9|$10")
-    compact = F.regexp_replace(t, _COMPACT, "$1|$2|$3|$4|$5|$6|$7|$8|$9")
-    dotted = F.regexp_replace(t, _DOTTED, "$3|$2|$1|$4|$5|$6|$7|$8|$9")
-    mail = F.regexp_replace(t, _MAIL, "$3|$2|$1|$4|$5|$6|$7|$8|$9")
-    month_first = F.regexp_replace(t, _MONTH_FIRST, "$3|$1|$2|$4|$5|$6|$7|$8|$9")
+def _split_reading(t: Column) -> Column:
+    """[wall-clock reading, zone text], or null for a text of no known shape."""
     rewritten = (
-        F.when(fifth.isin("-", "/"), iso)
-        .when(F.upper(F.substring(t, 9, 1)) == "T", compact)
-        .when((third == ".") | (second == "."), dotted)
-        .when(t.rlike("^(?:[A-Za-z]{3,9}, *)?[0-9]"), mail)
-        .when(t.rlike("^[A-Za-z]"), month_first)
+        F.when(F.substring(t, 5, 1).isin("-", "/"), F.regexp_replace(t, _ISO, "$1-$2-$3 $4|$5"))
+        .when(F.upper(F.substring(t, 9, 1)) == "T", F.regexp_replace(t, _COMPACT, "$1-$2-$3 $4:$5:$6|$7"))
+        .when((F.substring(t, 3, 1) == ".") | (F.substring(t, 2, 1) == "."), F.regexp_replace(t, _DOTTED, "$3-$2-$1 $4|$5"))
+        .when(t.rlike("^(?:[A-Za-z]{3,9}, *)?[0-9]+ [A-Za-z]"), F.regexp_replace(t, _MAIL, "$1 $2 $3 $4|$5"))
+        .when(t.rlike("^[A-Za-z]{3,9}[.]? [0-9]"), F.regexp_replace(t, _MONTH_FIRST, "$2 $1 $3 $4 $5|$6"))
     )
     parts = F.split(rewritten, r"\|", -1)
-    return F.when(F.size(parts) == 9, parts)
-
-
-def _offset_parts(zone: Column) -> Column:
-    numeric = F.regexp_replace(zone, r"^(?:UTC|GMT)?\s*([+\-−])(\d{1,2})(?::?(\d{2}))?(?::?\d{2})?\s*(?:\[[^\]]*\]|\([^)]*\))?$", "$1|$2|$3")
-    return F.when(zone != "", F.split(numeric, r"\|", -1))
-
-
-def _offset_minutes(zone: Column, parts: Column) -> Column:
-    """Minutes of an offset or abbreviation; null for none and for something unreadable."""
-    hours, minutes = parts[1].try_cast("int"), F.coalesce(parts[2].try_cast("int"), F.lit(0))
-    size = hours * 60 + minutes
-    offset = F.when((F.size(parts) == 3) & (hours <= 18) & (minutes < 60), F.when(parts[0] == "+", size).otherwise(-size))
-    names = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    short = F.upper(F.translate(zone, "[]()", ""))
-    named = F.when((F.length(zone) <= 7) & (zone != "") & (F.size(parts) == 1), F.try_element_at(names, short))
-    return F.coalesce(offset, named, F.when(zone.rlike(r"^[Zz]\s*\[.*\]$"), F.lit(0)))
-
-
-def _zone_name(zone: Column) -> Column:
-    inner = F.translate(zone, "[]()", "")
-    return F.when(inner.rlike(r"^[A-Za-z][A-Za-z0-9_+\-]*(?:/[A-Za-z0-9_+\-]+)+$"), inner)
-
-
-def _number_ms(n: Column) -> Column:
-    inside = lambda scale: (n >= EPOCH_FROM * scale) & (n < EPOCH_TO * scale)
-    return F.when(inside(1), n * 1000).when(inside(1000), n).when(inside(1_000_000), F.expr("bigint(0)") + F.floor(n / F.lit(1000)))
-
-
-def _wall_ms(p: Column) -> Column:
-    named = F.instr(F.lit(_MONTHS), F.upper(p[1]))
-    digits = p[1].rlike("^[0-9]")
-    month = F.when(digits, F.lpad(p[1], 2, "0")).when((F.length(p[1]) == 3) & (named % 3 == 1), F.lpad(F.floor((named + 2) / 3).cast("string"), 2, "0"))
-    days = F.unix_date(F.concat(p[0], F.lit("-"), month, F.lit("-"), F.lpad(p[2], 2, "0")).try_cast("date"))
-    hour, minute, second = p[3].try_cast("int"), p[4].try_cast("int"), F.when(p[5] == "", F.lit(0)).otherwise(p[5].try_cast("int"))
-    half = F.lower(F.substring(p[7], 1, 1))
-    hour = F.when(half == "", F.when(hour < 24, hour)).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "p", F.lit(12)).otherwise(F.lit(0)))
-    millis = F.when(p[6] == "", F.lit(0)).otherwise(F.rpad(F.substring(p[6], 1, 3), 3, "0").try_cast("int"))
-    ok = (minute < 60) & (second < 60)
-    return F.when(ok, days.cast("bigint") * 86_400_000 + hour.cast("bigint") * 3_600_000 + minute * 60_000 + second * 1000 + millis)
+    return F.when(F.size(parts) == 2, parts)
 
 
 def read_time_text(df: DataFrame, text: Column, name: str) -> DataFrame:
     """``df`` with the struct described above as column ``name``; null fields where the text says nothing usable.
 
-    The steps are separate projections so that every regular expression runs once per row.
+    The steps are separate projections so that every regular expression runs once per row, and they lean on
+    Spark's own timestamp parser, which keeps the generated code small enough to be compiled.
     """
     stage = df.withColumn(name, tidy(text))
-    stage = stage.withColumn(name, F.struct(F.col(name).alias("t"), _fields(F.col(name)).alias("p")))
-    p = F.col(name)["p"]
-    zone = F.trim(p[8])
-    t = F.col(name)["t"]
-    number = F.when(p.isNull() & t.rlike("^[0-9]{1,18}$"), t.cast("bigint"))
-    stage = stage.withColumn(name, F.struct(number.alias("n"), p.alias("p"), zone.alias("z"), _offset_parts(zone).alias("o")))
-    n, p, z, o = (F.col(name)[x] for x in "npzo")
-    stage = stage.withColumn(
-        name, F.struct(_number_ms(n).alias("epoch_ms"), _wall_ms(p).alias("wall_ms"), z.alias("z"), _offset_minutes(z, o).alias("offset_min"), _zone_name(z).alias("zone"))
-    )
-    r = F.col(name)
-    zone = F.when(r["offset_min"].isNull(), r["zone"])
-    readable = (r["z"] == "") | r["offset_min"].isNotNull() | zone.isNotNull()
-    return stage.withColumn(
-        name, F.struct(r["epoch_ms"].alias("epoch_ms"), F.when(readable, r["wall_ms"]).alias("wall_ms"), r["offset_min"].cast("int").alias("offset_min"), zone.alias("zone"))
+    stage = stage.withColumn(name, F.struct(F.col(name).alias("t"), _split_reading(F.col(name)).alias("p")))
+    t, p = F.col(name)["t"], F.col(name)["p"]
+    number = F.when(p.isNull() & t.rlike("^[0-9]{10,16}$"), t.cast("bigint"))
+    zone = F.trim(p[1])
+    wall = F.when((F.length(p[0]) <= 16) & p[0].rlike("^[^:]*:[0-9]{2}$"), F.concat(p[0], F.lit(":00"))).otherwise(p[0])
+    numeric = F.regexp_extract(zone, r"^(?:UTC|GMT)? *([+-][0-9]{1,2}(?::?[0-9]{2})?(?::?[0-9]{2})?) *(?:[\[(].*)?$", 1)
+    stage = stage.withColumn(name, F.struct(number.alias("n"), wall.alias("w"), zone.alias("z"), F.when(zone != "", numeric).alias("o")))
+    n, w, z, o = (F.col(name)[x] for x in "nwzo")
+    names = F.create_map(*[F.lit(x) for kv in _ABBREVIATED.items() for x in kv])
+    bare = F.translate(z, "[]()", "")
+    offset = F.when(z == "", None).when(o != "", o).when(F.length(z) <= 6, F.try_element_at(names, F.upper(bare))).when(z.rlike(r"^[Zz] *[\[(]"), "+00:00")
+    stage = stage.withColumn(name, F.struct(n.alias("n"), w.alias("w"), offset.alias("o"), z.alias("z"), F.when(o.isNull() | (o == ""), bare).alias("bare")))
+    n, w, z, o = (F.col(name)[x] for x in "nwzo")
+    zone = F.when(o.isNull() & F.contains(z, F.lit("/")), F.col(name)["bare"])
+    readable = (z == "") | o.isNotNull() | zone.isNotNull()
+    at = F.coalesce(o, F.lit("Z"))
+    # A reading with digits first and a dash after the year is plain; the others hold a month's name.
+    stamp = (
+        F.when(F.substring(w, 5, 1) == "-", F.concat(w, at).try_cast("timestamp"))
+        .when(w.rlike("[AaPp][Mm]$"), F.try_to_timestamp(F.concat(_month_cased(w), F.lit(" "), _padded(at)), F.lit("d MMM yyyy h:mm:ss a XXX")))
+        .otherwise(F.try_to_timestamp(F.concat(_month_cased(F.rtrim(w)), F.lit(" "), _padded(at)), F.lit("d MMM yyyy H:mm:ss XXX")))
     )
+    at_ms = F.when(readable, F.unix_millis(stamp))
+    inside = lambda scale: (n >= EPOCH_FROM * scale) & (n < EPOCH_TO * scale)
+    bare_ms = F.when(inside(1), n * 1000).when(inside(1000), n).when(inside(1_000_000), F.floor(n / F.lit(1000)))
+    return stage.withColumn(name, F.struct(F.coalesce(bare_ms, F.when(o.isNotNull(), at_ms)).alias("epoch_ms"), F.when(o.isNull(), at_ms).alias("wall_ms"), zone.alias("zone")))
+
+
+def _month_cased(wall: Column) -> Column:
+    """Month names as the formatter wants them; the rest as it is, with a half of the day in capitals."""
+    return F.regexp_replace(F.initcap(wall), "(?<= [AP])m$", "M")
+
+
+def _padded(offset: Column) -> Column:
+    """``+9``, ``+0900`` and ``Z`` as ``+09:00``."""
+    long = F.regexp_replace(offset, "^([+-])([0-9])(?![0-9])", "$10$2")
+    colon = F.regexp_replace(long, "^([+-][0-9]{2}):?([0-9]{2})?$", "$1:$2")
+    return F.when(offset == "Z", "+00:00").when(colon.endswith(":"), F.concat(colon, F.lit("00"))).otherwise(colon)

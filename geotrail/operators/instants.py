@@ -100,7 +100,7 @@ def with_instants(
     for name, read in reads.items():
         out = read_time_text(out, F.col(read), read)
         r = F.col(read)
-        wall, offset = r["wall_ms"], F.coalesce(r["offset_min"].cast("double"), F.when(r["zone"].isNull(), F.col("__off")))
+        wall, offset = r["wall_ms"], F.when(r["zone"].isNull(), F.col("__off"))
         zone = F.when(offset.isNull() & wall.isNotNull(), F.coalesce(r["zone"], F.col("__home")))
         out = out.withColumn("__zone", zone).withColumn("__bucket", F.floor(wall / F.lit(_MS_YEAR)).cast("int"))
         out = out.join(spans, (F.col("__zone") == F.col("__z_zone")) & (F.col("__bucket") == F.col("__z_bucket")), "left")

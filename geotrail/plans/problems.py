@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrail.operators.instants import with_instants, zone_intervals
+from geotrail.operators.instants import with_instants
+from geotrail.operators.nearest_time import nearest_in_time
+from geotrail.operators.periods import periods_and_gaps
 from geotrail.plans.tables import table
 
 
@@ -38,4 +40,31 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where(F.col("utc_ms").isNotNull())
 
 
-QUERIES = {"p1_found": p1_found}
+def path_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``segment_id, point_no, device_id, utc_ms``: every path element whose time has an instant."""
+    rows = table(spark, sf_dir, "timeline").select(
+        "segment_id", "device_id", F.col("start_time_timezone_utc_offset_minutes").alias("row_offset"), F.posexplode("timeline_path.time_text").alias("point_no", "utc_ms")
+    )
+    rows = rows.join(_homes(spark, sf_dir), F.col("device_id") == F.col("home_device"), "left").drop("home_device")
+    return with_instants(rows, {"utc_ms": F.col("utc_ms")}, "row_offset", "home_zone").where(F.col("utc_ms").isNotNull())
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each photo the path fix of its device that is nearest in time, within ten minutes."""
+    pairs = nearest_in_time(
+        photo_instants(spark, sf_dir, "photo_id", "device_id"),
+        path_fixes(spark, sf_dir),
+        left_keys=("photo_id", "device_id", "utc_ms"),
+        right_keys=("segment_id", "point_no", "device_id", "utc_ms"),
+        tolerance_ms=600_000,
+    )
+    return pairs.select(F.col("left_id").alias("photo_id"), F.col("right_id").alias("segment_id"), F.col("right_order").alias("point_no"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each device's continuous periods and the gaps between them."""
+    spans = timeline_instants(spark, sf_dir, {"from_ms": "start_time", "to_ms": "end_time"}, "device_id")
+    return periods_and_gaps(spans, "device_id", "from_ms", "to_ms").withColumnRenamed("entity", "device_id")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found}
