@@ -1,6 +1,6 @@
 """Time texts of many spellings as column expressions.
 
-``read_time_text`` adds for a text column a struct with
+``read_time_text`` adds for a text column
 
 * ``epoch_ms`` - the instant of a bare number (seconds, milliseconds or microseconds) or of a text with an offset
   (also ``Z``, ``UTC+9`` and abbreviations),
@@ -67,38 +67,45 @@ def _split_reading(t: Column) -> Column:
 
 
 def read_time_text(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """``df`` with the struct described above as column ``name``; null fields where the text says nothing usable.
+    """``df`` with the columns ``{name}_epoch_ms``, ``{name}_wall_ms`` and ``{name}_zone`` described above.
 
-    The steps are separate projections so that every regular expression runs once per row, and they lean on
-    Spark's own timestamp parser, which keeps the generated code small enough to be compiled.
+    All are null where the text says nothing usable. The steps are separate projections of plain columns (not of
+    structs, which the optimizer would fold into one another), so that every regular expression runs once per row;
+    they lean on Spark's own timestamp parser, which keeps the generated code small enough to be compiled.
     """
-    stage = df.withColumn(name, tidy(text))
-    stage = stage.withColumn(name, F.struct(F.col(name).alias("t"), _split_reading(F.col(name)).alias("p")))
-    t, p = F.col(name)["t"], F.col(name)["p"]
-    number = F.when(p.isNull() & t.rlike("^[0-9]{10,16}$"), t.cast("bigint"))
-    zone = F.trim(p[1])
-    wall = F.when((F.length(p[0]) <= 16) & p[0].rlike("^[^:]*:[0-9]{2}$"), F.concat(p[0], F.lit(":00"))).otherwise(p[0])
-    numeric = F.regexp_extract(zone, r"^(?:UTC|GMT)? *([+-][0-9]{1,2}(?::?[0-9]{2})?(?::?[0-9]{2})?) *(?:[\[(].*)?$", 1)
-    stage = stage.withColumn(name, F.struct(number.alias("n"), wall.alias("w"), zone.alias("z"), F.when(zone != "", numeric).alias("o")))
-    n, w, z, o = (F.col(name)[x] for x in "nwzo")
+    base = df.columns
+    c = lambda step: F.col(f"{name}_{step}")
+
+    def step(frame: DataFrame, **columns: Column) -> DataFrame:
+        return frame.select(*[F.col(f"`{b}`") for b in base], *[v.alias(f"{name}_{k}") for k, v in columns.items()])
+
+    out = step(df, t=tidy(text))
+    out = step(out, t=c("t"), p=_split_reading(c("t")))
+    out = step(out, n=F.when(c("p").isNull() & c("t").rlike("^[0-9]{10,16}$"), c("t").cast("bigint")), w=c("p")[0], z=F.trim(c("p")[1]))
+    w, z = c("w"), c("z")
+    numeric = F.regexp_extract(z, r"^(?:UTC|GMT)? *([+-][0-9]{1,2}(?::?[0-9]{2})?(?::?[0-9]{2})?) *(?:[\[(].*)?$", 1)
+    short = (F.length(w) <= 16) & w.rlike("^[^:]*:[0-9]{2}$")
+    out = step(out, n=c("n"), w=F.when(short, F.concat(w, F.lit(":00"))).otherwise(w), z=z, o=F.when(z != "", numeric))
+    n, w, z, o = (c(x) for x in "nwzo")
     names = F.create_map(*[F.lit(x) for kv in _ABBREVIATED.items() for x in kv])
     bare = F.translate(z, "[]()", "")
     offset = F.when(z == "", None).when(o != "", o).when(F.length(z) <= 6, F.try_element_at(names, F.upper(bare))).when(z.rlike(r"^[Zz] *[\[(]"), "+00:00")
-    stage = stage.withColumn(name, F.struct(n.alias("n"), w.alias("w"), offset.alias("o"), z.alias("z"), F.when(o.isNull() | (o == ""), bare).alias("bare")))
-    n, w, z, o = (F.col(name)[x] for x in "nwzo")
-    zone = F.when(o.isNull() & F.contains(z, F.lit("/")), F.col(name)["bare"])
-    readable = (z == "") | o.isNotNull() | zone.isNotNull()
+    out = step(out, n=n, w=w, z=z, o=offset)
+    zone = F.when(o.isNull() & F.contains(z, F.lit("/")), F.translate(z, "[]()", ""))
     at = F.coalesce(o, F.lit("Z"))
-    # A reading with digits first and a dash after the year is plain; the others hold a month's name.
+    # A reading with a dash after the year is plain; the others hold a month's name.
     stamp = (
         F.when(F.substring(w, 5, 1) == "-", F.concat(w, at).try_cast("timestamp"))
         .when(w.rlike("[AaPp][Mm]$"), F.try_to_timestamp(F.concat(_month_cased(w), F.lit(" "), _padded(at)), F.lit("d MMM yyyy h:mm:ss a XXX")))
         .otherwise(F.try_to_timestamp(F.concat(_month_cased(F.rtrim(w)), F.lit(" "), _padded(at)), F.lit("d MMM yyyy H:mm:ss XXX")))
     )
-    at_ms = F.when(readable, F.unix_millis(stamp))
+    out = step(out, n=n, z=z, o=o, zone=zone, s=stamp)
+    readable = (z == "") | o.isNotNull() | c("zone").isNotNull()
+    out = step(out, n=n, o=o, zone=c("zone"), ms=F.when(readable, F.unix_millis(c("s"))))
     inside = lambda scale: (n >= EPOCH_FROM * scale) & (n < EPOCH_TO * scale)
     bare_ms = F.when(inside(1), n * 1000).when(inside(1000), n).when(inside(1_000_000), F.floor(n / F.lit(1000)))
-    return stage.withColumn(name, F.struct(F.coalesce(bare_ms, F.when(o.isNotNull(), at_ms)).alias("epoch_ms"), F.when(o.isNull(), at_ms).alias("wall_ms"), zone.alias("zone")))
+    ms = c("ms")
+    return step(out, epoch_ms=F.coalesce(bare_ms, F.when(o.isNotNull(), ms)), wall_ms=F.when(o.isNull(), ms), zone=c("zone"))
 
 
 def _month_cased(wall: Column) -> Column:

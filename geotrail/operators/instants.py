@@ -98,14 +98,15 @@ def with_instants(
     extra.append((col(home_zone) if home_zone is not None else F.lit(None).cast("string")).alias("__home"))
     out = df.select(*[F.col(f"`{c}`") for c in keep], *[col(t).alias(reads[n]) for n, t in texts.items()], *extra)
     for name, read in reads.items():
-        out = read_time_text(out, F.col(read), read)
-        r = F.col(read)
-        wall, offset = r["wall_ms"], F.when(r["zone"].isNull(), F.col("__off"))
-        zone = F.when(offset.isNull() & wall.isNotNull(), F.coalesce(r["zone"], F.col("__home")))
-        out = out.withColumn("__zone", zone).withColumn("__bucket", F.floor(wall / F.lit(_MS_YEAR)).cast("int"))
+        out = read_time_text(out, F.col(read), read).drop(read)
+        epoch, wall, named = (F.col(f"{read}_{x}") for x in ("epoch_ms", "wall_ms", "zone"))
+        by_row = wall - F.round(F.when(named.isNull(), F.col("__off")) * 60_000).cast("bigint")
+        kept = [F.col(f"`{c}`") for c in out.columns if not c.startswith(f"{read}_")]
+        out = out.select(*kept, F.coalesce(epoch, by_row).alias("__ms"), wall.alias("__wall"), F.coalesce(named, F.col("__home")).alias("__zone"))
+        local = F.when(F.col("__ms").isNull(), F.col("__wall"))
+        out = out.select(*kept, "__ms", local.alias("__wall"), F.when(local.isNotNull(), F.col("__zone")).alias("__zone"), F.floor(local / F.lit(_MS_YEAR)).cast("int").alias("__bucket"))
         out = out.join(spans, (F.col("__zone") == F.col("__z_zone")) & (F.col("__bucket") == F.col("__z_bucket")), "left")
-        hits = F.filter("__z_spans", _covers(wall))
-        local = F.when(F.size(hits) == 1, hits[0]["offset_min"].cast("double"))
-        instant = F.coalesce(r["epoch_ms"], (wall - F.round(F.coalesce(offset, local) * 60_000)).cast("bigint"))
-        out = out.withColumn(name, instant).drop("__zone", "__bucket", "__z_zone", "__z_bucket", "__z_spans")
+        out = out.select(*kept, "__ms", "__wall", F.filter("__z_spans", _covers(F.col("__wall"))).alias("__hits"))
+        found = F.when(F.size("__hits") == 1, F.col("__wall") - F.col("__hits")[0]["offset_min"] * 60_000)
+        out = out.select(*kept, F.coalesce(F.col("__ms"), found).alias(name))
     return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in texts], *[F.col(n) for n in texts])
