@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geotrail.functions.coords import with_geo_numbers, with_lat_lng
+from geotrail.operators.dual_tree import containment_join, distance_join
 from geotrail.operators.instants import with_instants
 from geotrail.operators.nearest_time import nearest_in_time
 from geotrail.operators.periods import periods_and_gaps
 from geotrail.plans.tables import table
+from geotrail.session import ensure_checkpoint_dir
 
 
 def _homes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +43,26 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where(F.col("utc_ms").isNotNull())
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each place where a move starts, the photos at most 75 m away and the municipality that contains it."""
+    ensure_checkpoint_dir(spark)
+    moves = table(spark, sf_dir, "timeline").where(F.col("activity").isNotNull() & F.col("visit").isNull())
+    moves = with_lat_lng(moves.select("segment_id", F.col("activity.start_loc.lat_lng").alias("text")), F.col("text"))
+    photos = table(spark, sf_dir, "photo_sidecars").select("photo_id", "geo_data.latitude", "geo_data.longitude")
+    photos = with_geo_numbers(photos, F.col("latitude"), F.col("longitude"))
+    # Each place is read once and used by the summary of the tree and by the join.
+    # Rows without a place go after that: a filter here would be pushed down with the whole reading inlined in it.
+    starts = moves.select("segment_id", "lat", "lng").checkpoint().where(F.col("lat").isNotNull())
+    shots = photos.select("photo_id", "lat", "lng").checkpoint().where(F.col("lat").isNotNull())
+    near = distance_join(starts, shots, 75.0, left_cols=("segment_id", "lat", "lng"), right_cols=("photo_id", "lat", "lng"))
+    inside = containment_join(
+        starts, table(spark, sf_dir, "municipalities"), point_cols=("segment_id", "lat", "lng"), region_cols=("code", "feature_idx", "geometry")
+    )
+    return near.select(F.col("left_id").alias("segment_id"), F.lit("near").alias("kind"), F.col("right_id").cast("string").alias("found_key")).unionByName(
+        inside.select(F.col("id").alias("segment_id"), F.lit("inside").alias("kind"), F.col("region_key").alias("found_key"))
+    )
+
+
 def path_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``segment_id, point_no, device_id, utc_ms``: every path element whose time has an instant."""
     rows = table(spark, sf_dir, "timeline").select(
@@ -67,4 +90,4 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods_and_gaps(spans, "device_id", "from_ms", "to_ms").withColumnRenamed("entity", "device_id")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
