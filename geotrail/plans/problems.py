@@ -10,6 +10,7 @@ from geotrail.operators.dual_tree import containment_join, distance_join
 from geotrail.operators.instants import with_instants
 from geotrail.operators.nearest_time import nearest_in_time
 from geotrail.operators.periods import periods_and_gaps
+from geotrail.operators.shred import flatten_exports
 from geotrail.plans.tables import table
 from geotrail.session import ensure_checkpoint_dir
 
@@ -90,4 +91,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods_and_gaps(spans, "device_id", "from_ms", "to_ms").withColumnRenamed("entity", "device_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moves and path points of every delivered export as flat rows."""
+    return flatten_exports(table(spark, sf_dir, "raw_exports"), "export_id", "payload")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
