@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from geotrail.llm.encode import token_ids
+from geotrail.llm.leaks import leaked_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,13 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p6_ids": p6_ids}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item, with the item."""
+    found = leaked_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.where("edits = 0").select("doc_id", "item_id")
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found}
 ORACLES: dict[str, str] = {}
 
 
