@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from geotrail.llm.encode import token_ids
 from geotrail.llm.leaks import leaked_passages
+from geotrail.llm.reading import reading_bands
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +26,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("edits = 0").select("doc_id", "item_id")
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading band of every document with enough prose."""
+    return reading_bands(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "graded_texts"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
 
 
