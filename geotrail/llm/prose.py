@@ -15,11 +15,15 @@ _BULLET = re.compile(r"^\s*(?:[-*•‣·–—+]|\d{1,3}[.)])\s+")
 _QUOTED = re.compile(r"^\s*(?:>|\|)")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿々〆]")
-_MACHINE = re.compile(r"""^\s*[\[{<}\]]|https?://|[=;]\s*\S+[=;]|":|\w=\w|\\[nu"]|^\s*[\w.]+\(.*\)\s*;?$|\t.*\t|#\d{3,}|(?:[0-9a-f]{12,})""")
+#: Pieces of machine output within a line: addresses, code, keyed values, bracketed numbers, hashes, rulers, unbroken rows.
+_JUNK = re.compile(
+    r"""https?://\S+|\S*(?:[{}=\\|<>^]|":|&&|\(\))\S*|\[[^\]\s]*\d[^\]\s]*\]|\b[0-9a-fA-F]*\d[0-9a-fA-F]{11,}\b|(?:(\S)\1{5,})+|[!-~]{40,}"""
+)
 _OTHER = re.compile(r"[^\w\s]|[\d_]")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _STOP = re.compile(r"[.!?…:。！？][\"'”’»)」』]*\s*$")
 _END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)")
+_START = re.compile(r"[.!?]\s+([^\W\d_])")
 _CJK_END = re.compile(r"[。！？!?]+[」』）]*")
 
 
@@ -32,12 +36,12 @@ class Sentence:
     letters: str = ""
 
 
-def is_machine(line: str) -> bool:
-    """Whether a line looks like the output of a program rather than prose."""
-    if _MACHINE.search(line):
-        return True
-    kept = _OTHER.sub("", line)
-    return len(kept) < 0.6 * len(line) or (len(kept) > 8 and len(set(kept)) < 3)
+def without_machine(line: str) -> str:
+    """A line without the pieces that look like the output of a program; empty if little else is left."""
+    kept = _JUNK.sub(" ", line)
+    if len(_OTHER.sub("", kept)) < 0.6 * (len(line) if len(kept) < 0.5 * len(line) else len(kept)):
+        return ""
+    return kept.strip()
 
 
 def _joined(lines: list[str]) -> list[str]:
@@ -69,12 +73,14 @@ def _joined(lines: list[str]) -> list[str]:
 
 def _split(text: str) -> list[str]:
     out, at = [], 0
+    starts = _START.findall(text)
+    cased = sum(c.isupper() for c in starts) >= 0.5 * len(starts)
     for m in _END.finditer(text):
         before = text[at : m.start()].rsplit(None, 1)[-1] if text[at : m.start()].split() else ""
         rest = text[m.end() :].lstrip()
         if m[0].startswith(".") and rest:
             low = before.lower().lstrip("(\"'“‘«")
-            if low in ABBREVIATIONS or (len(low) == 1 and low.isalpha()) or (rest[:1].islower() and any(c.isupper() for c in text)):
+            if low in ABBREVIATIONS or (len(low) == 1 and low.isalpha()) or (cased and rest[:1].islower()):
                 continue
         out.append(text[at : m.end()])
         at = m.end()
@@ -111,7 +117,11 @@ def sentences(text: str | None) -> list[Sentence]:
 
     for raw in text.split("\n"):
         line = raw.strip()
-        if not line or _QUOTED.match(line) or is_machine(line):
+        if line and not _QUOTED.match(line):
+            line = without_machine(line)
+        else:
+            line = ""
+        if not line:
             flush()
             continue
         if m := _BULLET.match(line):
