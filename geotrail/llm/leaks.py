@@ -142,15 +142,21 @@ class Matcher:
         a, b = at, first
         while a > 0 and b > 0 and item[a - 1] == w[b - 1]:
             a, b = a - 1, b - 1
-        spans = range(max(0, at + size - need), min(at, len(item) - need) + 1)
+        low, high = max(0, at + size - need), min(at, len(item) - need) + 1
+        # Words of the item that the text around the hit lacks; a passage may lack two for each edit.
+        slack = self.max_edits + 1
+        begin = first - at + low
+        around = set(w[max(0, begin - slack) : first - at + high + need + slack])
+        lost = [0]
+        for x in item[low : high + need - 1]:
+            lost.append(lost[-1] + (x not in around))
         least = self.max_edits + 1
-        for s in sorted(spans, key=lambda s: abs(s - a)):
+        for s in sorted((s for s in range(low, high) if lost[s + need - low] - lost[s - low] <= 2 * self.max_edits), key=lambda s: abs(s - a)):
             place = (n, s, first - (at - s))
             if place in seen:
                 continue
             seen.add(place)
-            low = max(0, place[2] - self.max_edits - 1)
-            near = w[low : place[2] + need + self.max_edits + 1]
+            near = w[max(0, place[2] - slack) : place[2] + need + slack]
             passage = item[s : s + need]
             if not may_match(passage, near, self.max_edits):
                 continue

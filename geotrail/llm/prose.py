@@ -19,6 +19,7 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿々〆]")
 _JUNK = re.compile(
     r"""https?://\S+|\S*(?:[{}=\\|<>^]|":|&&|\(\))\S*|\[[^\]\s]*\d[^\]\s]*\]|\b[0-9a-fA-F]*\d[0-9a-fA-F]{11,}\b|(?:(\S)\1{5,})+|[!-~]{40,}"""
 )
+_SUSPECT = re.compile(r"[{}=\\|<>^\[&]|://|(.)\1{5}|[0-9a-fA-F]{12}")
 _OTHER = re.compile(r"[^\w\s]|[\d_]")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _STOP = re.compile(r"[.!?…:。！？][\"'”’»)」』]*\s*$")
@@ -38,7 +39,8 @@ class Sentence:
 
 def without_machine(line: str) -> str:
     """A line without the pieces that look like the output of a program; empty if little else is left."""
-    kept = _JUNK.sub(" ", line)
+    odd = _SUSPECT.search(line) or (line.isascii() and max(map(len, line.split())) >= 40)
+    kept = _JUNK.sub(" ", line) if odd else line
     if len(_OTHER.sub("", kept)) < 0.6 * (len(line) if len(kept) < 0.5 * len(line) else len(kept)):
         return ""
     return kept.strip()
@@ -103,14 +105,14 @@ def sentences(text: str | None) -> list[Sentence]:
 
     def flush():
         for block in _joined(paragraph):
-            if len(_CJK.findall(block)) * 3 > len(block.replace(" ", "")):
+            if not block.isascii() and len(_CJK.findall(block)) * 3 > len(block.replace(" ", "")):
                 for s in _CJK_END.split(block.replace(" ", "")):
                     letters = "".join(c for c in s if c.isalnum())
                     if letters:
                         found.append(Sentence([], True, letters))
             else:
                 for s in _split(block):
-                    w = [x.casefold() for x in _WORD.findall(s)]
+                    w = _WORD.findall(s.casefold())
                     if w:
                         found.append(Sentence(w, False))
         paragraph.clear()

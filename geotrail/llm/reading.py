@@ -23,6 +23,7 @@ BANDS = ("basic", "intermediate", "advanced")
 #: The graded sample is read up to this many rows; it is a fixed set of examples.
 MOST_GRADED = 20_000
 _KANA = "ja"
+_NONE: frozenset[str] = frozenset()
 
 
 def _pairs(letters: str) -> list[str]:
@@ -88,15 +89,15 @@ class Formula:
             w, *_ = np.linalg.lstsq(a, band, rcond=None)
             score = a @ w
             middle = [float(np.median(score[band == b])) for b in range(3)]
-            self.weights[lang] = w
+            self.weights[lang] = tuple(map(float, w))
             self.cuts[lang] = ((middle[0] + middle[1]) / 2, (middle[1] + middle[2]) / 2)
             long = share[size >= 5]
             self.limit[lang] = float(np.quantile(long, 0.995)) + 0.1 if len(long) else 1.0
 
     def share(self, s: Sentence, lang: str) -> float:
         """Share of unfamiliar words."""
-        known, u = self.familiar.get(lang, ()), units(s)
-        return sum(w not in known for w in u) / len(u) if u else 0.0
+        known, u = self.familiar.get(lang, _NONE), units(s)
+        return 1 - sum(map(known.__contains__, u)) / len(u) if u else 0.0
 
     def band(self, text: str | None, languages: Languages, least_words: int, least_letters: int) -> str | None:
         """The band of a text, or None for too little prose."""
@@ -104,10 +105,11 @@ class Formula:
         letters = sum(length(s) for s in own if s.cjk)
         latin = [w for s in own if not s.cjk for w in s.words]
         cjk = letters > 2 * len(latin)
-        lang = _KANA if cjk else languages.of(latin)
+        lang = _KANA if cjk else languages.of(set(latin))
         if lang not in self.weights:
             return None
         kept = []
+        (a, b, c), (low, high) = self.weights[lang], self.cuts[lang]
         for s in own:
             if s.cjk != cjk:
                 continue
@@ -115,8 +117,8 @@ class Formula:
             # Prose whose words the corpus hardly uses is not the document's own: a passage from elsewhere.
             if share > self.limit[lang] and share * len(units(s)) >= 3:
                 continue
-            score = float(np.dot(self.weights[lang], (share, size, 1.0)))
-            kept.append((int(score >= self.cuts[lang][0]) + int(score >= self.cuts[lang][1]), size))
+            score = a * share + b * size + c
+            kept.append(((score >= low) + (score >= high), size))
         if sum(n for _, n in kept) < (least_letters if cjk else least_words):
             return None
         return BANDS[_most(kept)]

@@ -17,6 +17,18 @@ _WORD = re.compile(r"[^\W_]+")
 _EMPHASIS = re.compile(r"(?<=\w)(?:\*{1,3}|`|~~|__)(?=\w)")
 
 
+class _Marks(dict):
+    """Which characters stay: accents and invisible ones go."""
+
+    def __missing__(self, code: int):
+        kind = unicodedata.category(chr(code))
+        self[code] = found = None if kind[0] == "M" or kind == "Cf" else code
+        return found
+
+
+_KEPT = _Marks()
+
+
 def _tag(match: re.Match) -> str:
     return "" if match[2] and match[2].lower() in INLINE_TAGS else " "
 
@@ -25,12 +37,7 @@ def _accentless(text: str) -> str:
     text = unicodedata.normalize("NFKC", text).casefold()
     if text.isascii():
         return text
-    out = []
-    for c in unicodedata.normalize("NFD", text):
-        kind = unicodedata.category(c)
-        if kind[0] != "M" and kind not in ("Cf",):
-            out.append(c)
-    return "".join(out)
+    return unicodedata.normalize("NFD", text).translate(_KEPT)
 
 
 def words(text: str | None) -> list[str]:
