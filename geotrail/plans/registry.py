@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from geotrail.plans import problems
+from geotrail.plans import history, problems
 
 FLAGSHIP = "p1_found"
-_MODULES = (problems,)
+_MODULES = (problems, history)
 
 
 def queries() -> dict[str, Callable]:
