@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geotrail.session import ensure_checkpoint_dir, free_name
+
 BLOCK_MS = 7 * 86_400_000
 
 
@@ -62,3 +64,21 @@ def runs(df: DataFrame, *, by: str, time: str, order: list[str], value: str, gap
     out = out.join(count, (F.col(by) == F.col("__by")) & (F.col("__b") == F.col("__cb")), "left")
     so_far = F.sum(F.col("is_break").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("run_no", (F.col("__base") + so_far).cast("bigint")).drop("__b", "__carry", "__prev", "__by", "__cb", "__base")
+
+
+def with_global_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with the position of each row in a global order, from 0, without gathering all rows in one task.
+
+    The rows are range-sorted and written to the checkpoint folder, so that the partitions stay as they are; each partition's
+    offset comes from the row counts of those before it, one number for each partition.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    part = free_name(df.columns, "__part")
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).checkpoint()
+    base, offsets = 0, []
+    for p, n in sorted(tuple(r) for r in ordered.groupBy(part).count().collect()):
+        offsets.append((p, base))
+        base += n
+    table = df.sparkSession.createDataFrame(offsets, f"{part} int, __base bigint")
+    at = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    return ordered.withColumn(name, at).join(F.broadcast(table), part).withColumn(name, F.col(name) + F.col("__base")).drop(part, "__base")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geotrail.functions.geo import haversine_m
-from geotrail.operators.asof import asof, runs
+from geotrail.operators.asof import asof, runs, with_global_index
 from geotrail.operators.filters import flag_near
 
 #: The longest pause within a run and the shortest cut that is marked, in ms.
@@ -123,7 +123,7 @@ def even_sample(df: DataFrame, order: str, most: int) -> DataFrame:
     n = df.count()
     if n <= most:
         return df
-    ranked = df.withColumn("__i", F.row_number().over(Window.orderBy(order)) - 1)
+    ranked = with_global_index(df, [order], "__i")
     # Row i is kept if it is the floor of some j * n / most.
     j = F.ceil(F.col("__i") * most / n)
     return ranked.where(F.floor(j * n / most) == F.col("__i")).drop("__i")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from geotrail.plans import history, problems
+from geotrail.plans import history, problems, routes
 
 FLAGSHIP = "p1_found"
-_MODULES = (problems, history)
+_MODULES = (problems, history, routes)
 
 
 def queries() -> dict[str, Callable]:

@@ -1 +1 @@
-
+"""Continuous input over Structured Streaming."""
