@@ -15,15 +15,18 @@ _BULLET = re.compile(r"^\s*(?:[-*•‣·–—+]|\d{1,3}[.)])\s+")
 _QUOTED = re.compile(r"^\s*(?:>|\|)")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿々〆]")
-#: Pieces of machine output within a line: addresses, code, keyed values, bracketed numbers, hashes, rulers, unbroken rows.
-_JUNK = re.compile(
-    r"""https?://\S+|\S*(?:[{}=\\|<>^]|":|&&|\(\))\S*|\[[^\]\s]*\d[^\]\s]*\]|\b[0-9a-fA-F]*\d[0-9a-fA-F]{11,}\b|(?:(\S)\1{5,})+|[!-~]{40,}"""
-)
+#: Signs of program output in a token: braces, operators, escapes, keyed values, bracketed numbers, hashes.
+_CODE = re.compile(r'[{}=\\|<>^]|":|&&|\(\)|://')
+_HEX = re.compile(r"(?=[a-fA-F]*\d)[0-9a-fA-F]{12,}")
+_ROW = re.compile(r"(.)\1{5,}")
+_RUNS = re.compile(r"[!-~]+|[^!-~]+")
+_UNBROKEN = 40
 _SUSPECT = re.compile(r"[{}=\\|<>^\[&]|://|(.)\1{5}|[0-9a-fA-F]{12}")
 _OTHER = re.compile(r"[^\w\s]|[\d_]")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _STOP = re.compile(r"[.!?…:。！？][\"'”’»)」』]*\s*$")
 _END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)")
+_NEXT = re.compile(r"\s*(\S?)")
 _START = re.compile(r"[.!?]\s+([^\W\d_])")
 _CJK_END = re.compile(r"[。！？!?]+[」』）]*")
 
@@ -37,10 +40,21 @@ class Sentence:
     letters: str = ""
 
 
+def _prose_of(token: str) -> str:
+    """A token, or what is left of it without the pieces that look like the output of a program; linear in its length."""
+    out = []
+    for run in [token] if token.isascii() else _RUNS.findall(token):
+        if run.isascii():
+            if len(run) >= _UNBROKEN or _CODE.search(run) or _HEX.search(run) or (run[0] == "[" and "]" in run and any(map(str.isdigit, run))):
+                continue
+        out.append(_ROW.sub(" ", run))
+    return "".join(out)
+
+
 def without_machine(line: str) -> str:
     """A line without the pieces that look like the output of a program; empty if little else is left."""
-    odd = _SUSPECT.search(line) or (line.isascii() and max(map(len, line.split())) >= 40)
-    kept = _JUNK.sub(" ", line) if odd else line
+    odd = _SUSPECT.search(line) or (line.isascii() and max(map(len, line.split())) >= _UNBROKEN)
+    kept = " ".join(filter(None, map(_prose_of, line.split()))) if odd else line
     if len(_OTHER.sub("", kept)) < 0.6 * (len(line) if len(kept) < 0.5 * len(line) else len(kept)):
         return ""
     return kept.strip()
@@ -78,11 +92,12 @@ def _split(text: str) -> list[str]:
     starts = _START.findall(text)
     cased = sum(c.isupper() for c in starts) >= 0.5 * len(starts)
     for m in _END.finditer(text):
-        before = text[at : m.start()].rsplit(None, 1)[-1] if text[at : m.start()].split() else ""
-        rest = text[m.end() :].lstrip()
+        before = text[max(at, m.start() - 24) : m.start()].split()
+        before = before[-1] if before else ""
+        rest = _NEXT.match(text, m.end())[1]
         if m[0].startswith(".") and rest:
             low = before.lower().lstrip("(\"'“‘«")
-            if low in ABBREVIATIONS or (len(low) == 1 and low.isalpha()) or (cased and rest[:1].islower()):
+            if low in ABBREVIATIONS or (len(low) == 1 and low.isalpha()) or (cased and rest.islower()):
                 continue
         out.append(text[at : m.end()])
         at = m.end()
