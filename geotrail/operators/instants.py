@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geotrail.functions.time_text import read_time_text
-from geotrail.session import free_name
 
 _MS_YEAR = 366 * 86_400_000
 INTERVAL_SCHEMA = "zone string, bucket int, spans array<struct<from_ms: bigint, to_ms: bigint, offset_min: int>>"
@@ -88,7 +87,9 @@ def with_instants(
     # The interval table is bounded by the time-zone database, never by the data.
     spans = F.broadcast(intervals.select(F.col("zone").alias("__z_zone"), F.col("bucket").alias("__z_bucket"), F.col("spans").alias("__z_spans")))
     keep = [c for c in df.columns if c not in texts]
-    reads = {name: free_name([*df.columns, *texts], f"__read_{i}") for i, name in enumerate(texts)}
+    # Names of our own on the way, so that no column of the table can clash.
+    reads = {name: f"__read_{i}" for i, name in enumerate(texts)}
+    found = {name: f"__found_{i}" for i, name in enumerate(texts)}
     extra = []
     if offset_min is not None:
         off = col(offset_min).cast("double")
@@ -96,7 +97,7 @@ def with_instants(
     else:
         extra.append(F.lit(None).cast("double").alias("__off"))
     extra.append((col(home_zone) if home_zone is not None else F.lit(None).cast("string")).alias("__home"))
-    out = df.select(*[F.col(f"`{c}`") for c in keep], *[col(t).alias(reads[n]) for n, t in texts.items()], *extra)
+    out = df.select(*[F.col(f"`{c}`").alias(f"__keep_{i}") for i, c in enumerate(keep)], *[col(t).alias(reads[n]) for n, t in texts.items()], *extra)
     for name, read in reads.items():
         out = read_time_text(out, F.col(read), read).drop(read)
         epoch, wall, named = (F.col(f"{read}_{x}") for x in ("epoch_ms", "wall_ms", "zone"))
@@ -107,6 +108,6 @@ def with_instants(
         out = out.select(*kept, "__ms", local.alias("__wall"), F.when(local.isNotNull(), F.col("__zone")).alias("__zone"), F.floor(local / F.lit(_MS_YEAR)).cast("int").alias("__bucket"))
         out = out.join(spans, (F.col("__zone") == F.col("__z_zone")) & (F.col("__bucket") == F.col("__z_bucket")), "left")
         out = out.select(*kept, "__ms", "__wall", F.filter("__z_spans", _covers(F.col("__wall"))).alias("__hits"))
-        found = F.when(F.size("__hits") == 1, F.col("__wall") - F.col("__hits")[0]["offset_min"] * 60_000)
-        out = out.select(*kept, F.coalesce(F.col("__ms"), found).alias(name))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in texts], *[F.col(n) for n in texts])
+        by_zone = F.when(F.size("__hits") == 1, F.col("__wall") - F.col("__hits")[0]["offset_min"] * 60_000)
+        out = out.select(*kept, F.coalesce(F.col("__ms"), by_zone).alias(found[name]))
+    return out.select(*[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)], *[F.col(found[n]).alias(n) for n in texts])
