@@ -384,8 +384,8 @@ def _even_odd(x, y, edges, owner_start, owner_size, owner):
     return inside | (np.bincount(which, on, len(x)) > 0)
 
 
-def _contain(lat, lng, edges: list[np.ndarray], order: np.ndarray) -> np.ndarray:
-    """For each point the position of the containing region of least order, or -1.
+def _contain(lat, lng, boxes: np.ndarray, edges: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """For each point the position of the containing region of least order, or -1; ``boxes`` are those of the whole regions.
 
     Nodes of the points' tree against regions: boxes apart are discarded, nodes that no edge touches are decided by one of
     their points, the rest by every point.
@@ -396,8 +396,7 @@ def _contain(lat, lng, edges: list[np.ndarray], order: np.ndarray) -> np.ndarray
         return best
     points = np.stack([lng, lat], 1)
     tree = Tree(points, points, 24)
-    low = np.array([np.minimum(edges[k][:, :2], edges[k][:, 2:]).min(0) for k in known])
-    high = np.array([np.maximum(edges[k][:, :2], edges[k][:, 2:]).max(0) for k in known])
+    low, high = boxes[known, :2], boxes[known, 2:]
     regions = Tree(low, high, 1)
     size = np.array([len(edges[k]) for k in known])
     start = np.cumsum(size) - size
@@ -492,7 +491,7 @@ def containment_join(points: DataFrame, regions: DataFrame, *, point_cols=("id",
                     # A ray to the east only meets edges at the leaf's heights that are not all to its west.
                     keep = e[(lo[:, 1] <= boxes[k, 3]) & (hi[:, 1] >= boxes[k, 1]) & (hi[:, 0] >= boxes[k, 0])]
                     if len(keep):
-                        rows += [(used[k], n, 0, order if order is not None else 2**62, None, None, key, keep.ravel()) for n in range(blocks[k])]
+                        rows += [(used[k], n, 0, order if order is not None else 2**62, None, None, key, np.concatenate([box, keep.ravel()])) for n in range(blocks[k])]
                 if len(rows) > 500:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows), wire)], schema=wire)
                     rows = []
@@ -511,7 +510,8 @@ def containment_join(points: DataFrame, regions: DataFrame, *, point_cols=("id",
             r, p = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(r) or not len(p):
                 continue
-            found = _contain(lat[p], lng[p], [np.asarray(edges[k]).reshape(-1, 4) for k in r], ids[r])
+            shapes = [np.asarray(edges[k], float) for k in r]
+            found = _contain(lat[p], lng[p], np.array([s[:4] for s in shapes]), [s[4:].reshape(-1, 4) for s in shapes], ids[r])
             ok = found >= 0
             if ok.any():
                 yield pa.RecordBatch.from_arrays([pa.array(ids[p][ok]), pa.array(keys[r[found[ok]]], pa.string())], schema=schema)

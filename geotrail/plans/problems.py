@@ -22,7 +22,7 @@ def _homes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timeline_instants(spark: SparkSession, sf_dir: str, texts: dict, *columns: str) -> DataFrame:
     """``columns`` of the timeline with an instant for each of ``texts``."""
     rows = table(spark, sf_dir, "timeline").withColumnRenamed("start_time_timezone_utc_offset_minutes", "row_offset")
-    rows = rows.select(*columns, "row_offset", "device_id", *[F.col(t).alias(n) for n, t in texts.items()])
+    rows = rows.select(*dict.fromkeys([*columns, "row_offset", "device_id"]), *[F.col(t).alias(n) for n, t in texts.items()])
     rows = rows.join(_homes(spark, sf_dir), F.col("device_id") == F.col("home_device"), "left")
     return with_instants(rows, {n: F.col(n) for n in texts}, "row_offset", "home_zone").select(*columns, *texts)
 
