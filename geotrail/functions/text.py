@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def duration_text(ms: Column) -> Column:
@@ -51,7 +52,7 @@ def clock_text(epoch_ms: Column, offset_min: Column) -> Column:
     return F.format_string("%02d:%02d", F.floor(minute / 60).cast("int"), minute % 60)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def search_form(texts: pd.Series) -> pd.Series:
     """Compatibility form and lower case; Spark has no such function of its own."""
     return texts.map(lambda t: unicodedata.normalize("NFKC", t).lower(), na_action="ignore")
