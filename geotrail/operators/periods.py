@@ -138,7 +138,8 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str) -> DataFr
     ensure_checkpoint_dir(spark)
     c = lambda x: F.col(x).cast("bigint")
     rows = df.select(c(entity).alias("entity"), c(start).alias("start"), c(end).alias("end"))
-    rows = rows.where(F.col("entity").isNotNull() & F.col("start").isNotNull() & (F.col("end") >= F.col("start")))
+    # The range sort reads its input twice, once for the bounds; what comes in is computed once and written as three numbers a row.
+    rows = rows.checkpoint().where(F.col("entity").isNotNull() & F.col("start").isNotNull() & (F.col("end") >= F.col("start")))
     # Both scans must see the same partitions, also after the loss of an executor: written once, in order.
     ordered = rows.repartitionByRange("entity", "start", "end").sortWithinPartitions("entity", "start", "end").checkpoint()
     found = ordered.mapInArrow(_summary, "part bigint, first bigint, last bigint, start bigint, top bigint").collect()
