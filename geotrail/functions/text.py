@@ -56,3 +56,23 @@ def clock_text(epoch_ms: Column, offset_min: Column) -> Column:
 def search_form(texts: pd.Series) -> pd.Series:
     """Compatibility form and lower case; Spark has no such function of its own."""
     return texts.map(lambda t: unicodedata.normalize("NFKC", t).lower(), na_action="ignore")
+
+
+#: Names of the kinds of moves and how their lines are drawn.
+MODE_NAMES = {
+    "WALKING": "Walking", "CYCLING": "Cycling", "RUNNING": "Running", "IN_PASSENGER_VEHICLE": "Car", "IN_TAXI": "Taxi", "IN_BUS": "Bus", "IN_TRAIN": "Train", "IN_SUBWAY": "Subway",
+    "IN_TRAM": "Tram", "IN_FERRY": "Ferry", "FLYING": "Plane", "IN_GONDOLA_LIFT": "Gondola", "UNKNOWN": "Unknown",
+}
+RAIL = ("IN_TRAIN", "IN_SUBWAY", "IN_TRAM")
+ON_FOOT = ("WALKING", "RUNNING")
+
+
+def mode_name(mode: Column) -> Column:
+    """A name for people; unknown kinds stay as they are written."""
+    names = F.create_map(*[F.lit(x) for kv in MODE_NAMES.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, mode), mode)
+
+
+def line_pattern(mode: Column) -> Column:
+    """How a route of this kind is drawn."""
+    return F.when(mode.isin(*RAIL), "rail").when(mode.isin(*ON_FOOT), "dotted").otherwise("solid")

@@ -174,3 +174,51 @@ def frames(stays: DataFrame, points: DataFrame) -> DataFrame:
     run = Window.partitionBy(F.lit(0)).orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
     total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0))).over(run).alias(f"{c}_count")
     return months.join(new, "m", "left").select(F.floor(F.col("m") / 12).cast("int").alias("year"), (F.col("m") % 12 + 1).cast("int").alias("month"), total("pref"), total("muni"), total("place"))
+
+
+def visited_badges(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Numbers of visited regions of both levels and of those only passed; a pass counts as a visit on the first level alone."""
+    a = first.agg(F.count_if((F.col("stay_count") > 0) | F.col("first_ms").isNotNull()).alias("prefs"))
+    b = second.agg(F.count_if(F.col("stay_count") > 0).alias("munis"), F.count_if("pass_only").alias("pass_only"))
+    return a.join(F.broadcast(b))  # one row each
+
+
+def region_detail(stays: DataFrame, second: DataFrame) -> DataFrame:
+    """For each first-level region total and mean dwell and its visited, only passed and all second-level regions."""
+    d = stays.groupBy("pref_code").agg(F.sum(dwell_ms()).alias("dwell_ms"), F.count("*").alias("visits"))
+    m = second.groupBy(F.col("pref_code").alias("p")).agg(F.count_if(F.col("stay_count") > 0).alias("visited"), F.count_if("pass_only").alias("pass_only"), F.count("*").alias("total"))
+    out = m.join(d, F.col("p") == F.col("pref_code"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select(F.col("p").alias("pref_code"), zero("dwell_ms").alias("dwell_ms"), F.round(zero(F.col("dwell_ms") / F.col("visits")), 3).alias("avg_dwell_ms"), "visited", "pass_only", "total")
+
+
+def place_detail(stays: DataFrame) -> DataFrame:
+    """For each stay point total and mean dwell, the number of its days, and the first and last of them."""
+    return stays.groupBy("cluster_id").agg(
+        F.count("*").alias("visits"),
+        F.sum(dwell_ms()).alias("dwell_ms"),
+        F.round(F.avg(dwell_ms()), 3).alias("avg_dwell_ms"),
+        F.countDistinct("date_str").alias("days"),
+        F.min("date_str").alias("first_day"),
+        F.max("date_str").alias("last_day"),
+    )
+
+
+def region_notes(coverage: DataFrame) -> DataFrame:
+    """What a map says of each second-level region: its places, that it was only passed, or nothing."""
+    note = F.when(F.col("pass_only"), "pass only").when(F.col("place_count") > 0, F.concat(F.col("place_count").cast("string"), F.when(F.col("place_count") == 1, " place").otherwise(" places"))).otherwise("unvisited")
+    return coverage.select("muni_code", note.alias("note"))
+
+
+def with_headings(events: DataFrame) -> DataFrame:
+    """A chronology with flags where a new year and a new month begin; its rows are first visits, one for each region."""
+    w = Window.partitionBy(F.lit(0)).orderBy("first_ms", F.desc("kind"), "code")
+    year, month = F.substring("date_str", 1, 4), F.substring("date_str", 1, 7)
+    new = lambda c: F.coalesce(F.lag(c).over(w) != c, F.lit(True))
+    return events.select("kind", "code", "date_str", new(year).alias("new_year"), new(month).alias("new_month"))
+
+
+def marker_sizes(ranking: DataFrame) -> DataFrame:
+    """Radii of a place's pin and dot by its visits, less visited places first, as they are drawn."""
+    n = F.log1p("visits")
+    return ranking.select("cluster_id", F.round(6 + F.least(F.lit(10.0), 3 * n), 6).alias("pin_px"), F.round(2.5 + F.least(F.lit(4.0), n), 6).alias("dot_px")).orderBy("visits", "cluster_id")

@@ -74,3 +74,8 @@ def default_comparison(years: DataFrame, year: int | None) -> DataFrame:
     if year is None:
         return y.agg(F.max("year").alias("year"))
     return y.agg(F.coalesce(F.max(F.when(F.col("year") < year, F.col("year"))), F.max(F.when(F.col("year") != year, F.col("year")))).alias("year"))
+
+
+def random_day(counts: DataFrame, seed: int) -> DataFrame:
+    """One recorded day of each subject, the same for the same seed: the least of the days' hashes."""
+    return counts.groupBy("subject_id").agg(F.min_by("date_str", F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("subject_id").cast("string"), "date_str")), "date_str")).alias("date_str"))

@@ -111,3 +111,16 @@ def landmark(elements: Column) -> Column:
 def cache_key(place_id: Column, lat: Column, lng: Column) -> Column:
     """Key of a label cache: the place id, else the coordinates to five digits."""
     return F.when(place_id.isNotNull(), F.concat(F.lit("place:"), place_id)).otherwise(F.format_string("coord:%.5f,%.5f", lat, lng))
+
+
+def nearest_station(places: DataFrame, stations: DataFrame, radius_m: float = 250.0) -> DataFrame:
+    """``place_id, name, away_m``: the nearest named station within reach of each place (``place_id, lat, lng``)."""
+    s = stations.where(F.col("name").isNotNull()).select(F.col("name").alias("s_name"), F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"))
+    pairs = pairs_within(places, s, radius_m, ("lat", "lng"), ("s_lat", "s_lng"))
+    best = pairs.groupBy("place_id").agg(F.min(F.struct(F.round("away_m", 3).alias("d"), "s_name")).alias("b"))
+    return best.select("place_id", F.col("b.s_name").alias("name"), F.col("b.d").alias("away_m"))
+
+
+def unlabelled(places: DataFrame, labels: DataFrame) -> DataFrame:
+    """Places whose cache key has no label yet."""
+    return places.join(labels.select(F.col("cache_key")), "cache_key", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.functions.geo import bounds, contains, edge_distance_m, haversine_m
+from geotrail.functions.geo import bounds, contains, edge_distance_m, haversine_m, ring_area
 
 #: Fixed value: how far outside every region a place may lie and still belong to the nearest, in metres.
 NEAREST_M = 3000.0
@@ -53,3 +53,26 @@ def merge_boundary_parts(parts: DataFrame) -> DataFrame:
     """Boundary records by code: names joined from their levels, polygons of one code put together, records without a code dropped."""
     name = F.concat(F.coalesce("county", F.lit("")), F.coalesce("name", F.lit("")))
     return parts.where(F.col("code").isNotNull() & (F.col("code") != "")).groupBy("code").agg(F.min(name).alias("name"), F.flatten(F.array_sort(F.collect_list("polygons"))).alias("geometry"))
+
+
+def in_view(regions: DataFrame, west: float, south: float, east: float, north: float, margin: float = 0.25) -> DataFrame:
+    """Regions whose box meets a view widened by a share of its size on every side."""
+    dx, dy = (east - west) * margin, (north - south) * margin
+    b = regions.withColumn("box", bounds(F.col("geometry")))
+    meets = (F.col("box.max_lng") >= west - dx) & (F.col("box.min_lng") <= east + dx) & (F.col("box.max_lat") >= south - dy) & (F.col("box.min_lat") <= north + dy)
+    return b.where(meets).drop("box")
+
+
+def mainland_boxes(regions: DataFrame) -> DataFrame:
+    """``code`` and the box of the outer ring of greatest area; places outside it are on islands."""
+    rings = regions.select("code", F.posexplode("geometry").alias("n", "polygon")).select("code", "n", F.col("polygon")[0].alias("ring"))
+    best = rings.groupBy("code").agg(F.max_by("ring", F.struct(ring_area(F.col("ring")).alias("a"), (-F.col("n")).alias("n"))).alias("ring"))
+    return best.select("code", bounds(F.array(F.array("ring"))).alias("box")).select("code", "box.*")
+
+
+def on_islands(places: DataFrame, regions: DataFrame, code: str = "muni_code") -> DataFrame:
+    """Places outside the mainland box of their region."""
+    b = mainland_boxes(regions).withColumnRenamed("code", "__code")
+    out = places.join(b, F.col(code) == F.col("__code"))
+    inside = F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lng").between(F.col("min_lng"), F.col("max_lng"))
+    return out.where(~inside).select(*places.columns)
