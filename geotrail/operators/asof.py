@@ -58,7 +58,9 @@ def runs(df: DataFrame, *, by: str, time: str, order: list[str], value: str, gap
     inside = Window.partitionBy(by, "__b").orderBy(*order)
     out = out.withColumn("__prev", F.coalesce(F.lag(F.struct(F.col(time).alias("t"), F.col(value).alias("v"))).over(inside), F.col("__carry")))
     changed = (F.col("__prev.v") != F.col(value)) | (F.col(time) - F.col("__prev.t") > gap_ms)
-    out = out.withColumn("is_break", F.coalesce(changed, F.lit(False)))
+    # Used twice below; written once, so that what came before is not computed again.
+    ensure_checkpoint_dir(df.sparkSession)
+    out = out.withColumn("is_break", F.coalesce(changed, F.lit(False))).checkpoint()
     count = out.groupBy(by, "__b").agg(F.sum(F.col("is_break").cast("int")).alias("__n"))
     count = count.select(F.col(by).alias("__by"), F.col("__b").alias("__cb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     out = out.join(count, (F.col(by) == F.col("__by")) & (F.col("__b") == F.col("__cb")), "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geotrail.functions.geo import haversine_m
 from geotrail.operators.asof import asof, runs, with_global_index
 from geotrail.operators.filters import flag_near
+from geotrail.session import ensure_checkpoint_dir
 
 #: The longest pause within a run and the shortest cut that is marked, in ms.
 MOST_GAP_MS, CUT_MS = 20 * 60_000, 60_000
@@ -20,14 +21,16 @@ def point_modes(points: DataFrame, moves: DataFrame) -> DataFrame:
     the later one is nearest.
     """
     last = moves.select("subject_id", F.col("start_ms").alias("b_start"), F.col("activity_idx").alias("b_idx"), F.col("mode").alias("b_mode"), F.col("end_ms").alias("b_end"))
-    out = asof(points, last, by="subject_id", left_time="t_ms", right_time="b_start", left_order="point_idx", payload=["b_idx", "b_mode", "b_end"])
+    ensure_checkpoint_dir(points.sparkSession)
+    out = asof(points, last, by="subject_id", left_time="t_ms", right_time="b_start", left_order="point_idx", payload=["b_idx", "b_mode", "b_end"]).checkpoint()
     following = moves.select("subject_id", F.col("start_ms").alias("f_start"), F.col("activity_idx").alias("f_idx"), F.col("mode").alias("f_mode"))
     out = asof(out, following, by="subject_id", left_time="t_ms", right_time="f_start", left_order="point_idx", payload=["f_idx", "f_mode"], forward=True)
     inside = F.col("b_start").isNotNull() & (F.col("b_end").isNull() | (F.col("t_ms") <= F.col("b_end")))
     later = F.col("f_start").isNotNull() & (F.col("b_start").isNull() | (F.col("f_start") - F.col("t_ms") <= F.col("t_ms") - F.col("b_start")))
     mode = F.when(inside, F.col("b_mode")).when(later, F.col("f_mode")).otherwise(F.coalesce("b_mode", F.lit("UNKNOWN")))
     tier = F.when(inside, "inside").when(F.col("b_start").isNotNull() | F.col("f_start").isNotNull(), "nearest").otherwise("none")
-    return out.select(*points.columns, mode.alias("mode"), F.when(inside, F.col("b_idx")).alias("inside_idx"), tier.alias("tier"))
+    # Runs and inferred lines both read this; each as-of join reads its input twice.
+    return out.select(*points.columns, mode.alias("mode"), F.when(inside, F.col("b_idx")).alias("inside_idx"), tier.alias("tier")).checkpoint()
 
 
 def route_runs(points: DataFrame) -> DataFrame:
@@ -59,6 +62,8 @@ def inferred_segments(moves: DataFrame, modes: DataFrame) -> DataFrame:
 
 def trimmed_segments(segments: DataFrame, zones: DataFrame) -> DataFrame:
     """What zones leave of each segment: pieces of at least two points, with their own times; ``trimmed`` unless nothing was cut."""
+    ensure_checkpoint_dir(segments.sparkSession)
+    segments = segments.checkpoint()
     points = segments.select("subject_id", "run_no", "mode", F.size("points").alias("whole"), F.posexplode("points").alias("n", "p"))
     points = points.select("*", F.col("p.lat").alias("lat"), F.col("p.lng").alias("lng"))
     flagged = flag_near(points, "lat", "lng", zones, "zone_lat", "zone_lng", F.col("radius_m"), "hidden")
