@@ -6,7 +6,7 @@ import html
 import re
 import unicodedata
 
-#: Tags within a line; they may stand inside a word. Any other tag separates words.
+#: Tags within a line; they may stand inside a word. Any other tag ends a line.
 INLINE_TAGS = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup tt u var wbr".split())
 
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:[^<>]*)>|<!--.*?-->", re.S)
@@ -30,7 +30,7 @@ _KEPT = _Marks()
 
 
 def _tag(match: re.Match) -> str:
-    return "" if match[2] and match[2].lower() in INLINE_TAGS else " "
+    return "" if match[2] and match[2].lower() in INLINE_TAGS else "\n"
 
 
 def _accentless(text: str) -> str:
