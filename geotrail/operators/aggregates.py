@@ -178,9 +178,10 @@ def frames(stays: DataFrame, points: DataFrame) -> DataFrame:
 
 def visited_badges(first: DataFrame, second: DataFrame) -> DataFrame:
     """Numbers of visited regions of both levels and of those only passed; a pass counts as a visit on the first level alone."""
-    a = first.agg(F.count_if((F.col("stay_count") > 0) | F.col("first_ms").isNotNull()).alias("prefs"))
-    b = second.agg(F.count_if(F.col("stay_count") > 0).alias("munis"), F.count_if("pass_only").alias("pass_only"))
-    return a.join(F.broadcast(b))  # one row each
+    zero = F.lit(0).cast("bigint")
+    a = first.agg(F.count_if((F.col("stay_count") > 0) | F.col("first_ms").isNotNull()).alias("prefs")).select("prefs", zero.alias("munis"), zero.alias("pass_only"))
+    b = second.agg(F.count_if(F.col("stay_count") > 0).alias("munis"), F.count_if("pass_only").alias("pass_only")).select(zero.alias("prefs"), "munis", "pass_only")
+    return a.unionByName(b).agg(*[F.sum(c).alias(c) for c in ("prefs", "munis", "pass_only")])
 
 
 def region_detail(stays: DataFrame, second: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def _block(time: Column, block_ms: int) -> Column:
 
 
 def asof(
-    left: DataFrame, right: DataFrame, *, by: str, left_time: str, right_time: str, left_order: str, payload: list[str], forward: bool = False, block_ms: int = BLOCK_MS
+    left: DataFrame, right: DataFrame, *, by: str, left_time: str, right_time: str, payload: list[str], forward: bool = False, block_ms: int = BLOCK_MS
 ) -> DataFrame:
     """``left`` with ``payload`` of the last right row at or before its time (``forward``: the first at or after it), else nulls.
 

@@ -54,8 +54,9 @@ def calendar_grid(counts: DataFrame, year: int) -> DataFrame:
     spark = counts.sparkSession
     days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(f"{year}-01-01")), F.to_date(F.lit(f"{year}-12-31")))).alias("d"))
     n = counts.groupBy("date_str").agg(F.sum("n").alias("n"))
-    most = n.where(F.col("date_str").startswith(f"{year}-")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
-    out = days.join(n, F.col("d").cast("string") == F.col("date_str"), "left").select("d", F.coalesce("n", F.lit(0)).alias("n")).join(F.broadcast(most))
+    out = days.join(n, F.col("d").cast("string") == F.col("date_str"), "left").select("d", F.coalesce("n", F.lit(0)).alias("n"))
+    # The days of one year: 366 rows at most, whatever the input.
+    out = out.withColumn("most", F.max("n").over(Window.partitionBy(F.year("d"))))
     cell = grid_cell(F.col("d"))
     return out.select(F.col("d").cast("string").alias("date_str"), cell["grid_col"].alias("grid_col"), cell["grid_row"].alias("grid_row"), "n", grid_level(F.col("n"), F.col("most")).alias("level"))
 

@@ -68,10 +68,10 @@ def estimate_places(photos: DataFrame, stays: DataFrame, samples: DataFrame) ->
     """
     need = photos.where(F.col("lat").isNull() & F.col("taken_ms").isNotNull()).select("subject_id", "photo_idx", "taken_ms")
     s = stays.where(F.col("end_ms").isNotNull()).select("subject_id", F.col("start_ms").alias("s_start"), F.col("visit_idx").alias("s_idx"), F.col("end_ms").alias("s_end"), F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"))
-    out = asof(need, s, by="subject_id", left_time="taken_ms", right_time="s_start", left_order="photo_idx", payload=["s_idx", "s_end", "s_lat", "s_lng"])
+    out = asof(need, s, by="subject_id", left_time="taken_ms", right_time="s_start", payload=["s_idx", "s_end", "s_lat", "s_lng"])
     pack = lambda p: samples.select("subject_id", F.col("t_ms").alias(f"{p}_t"), F.col("order").alias(f"{p}_o"), F.col("lat").alias(f"{p}_lat"), F.col("lng").alias(f"{p}_lng"))
-    out = asof(out, pack("b"), by="subject_id", left_time="taken_ms", right_time="b_t", left_order="photo_idx", payload=["b_o", "b_lat", "b_lng"])
-    out = asof(out, pack("f"), by="subject_id", left_time="taken_ms", right_time="f_t", left_order="photo_idx", payload=["f_o", "f_lat", "f_lng"], forward=True)
+    out = asof(out, pack("b"), by="subject_id", left_time="taken_ms", right_time="b_t", payload=["b_o", "b_lat", "b_lng"])
+    out = asof(out, pack("f"), by="subject_id", left_time="taken_ms", right_time="f_t", payload=["f_o", "f_lat", "f_lng"], forward=True)
     inside = F.col("s_start").isNotNull() & (F.col("taken_ms") <= F.col("s_end"))
     later = F.col("f_t").isNotNull() & (F.col("b_t").isNull() | (F.col("f_t") - F.col("taken_ms") <= F.col("taken_ms") - F.col("b_t")))
     gap = F.when(later, F.col("f_t") - F.col("taken_ms")).otherwise(F.col("taken_ms") - F.col("b_t"))

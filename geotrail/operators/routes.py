@@ -22,9 +22,9 @@ def point_modes(points: DataFrame, moves: DataFrame) -> DataFrame:
     """
     last = moves.select("subject_id", F.col("start_ms").alias("b_start"), F.col("activity_idx").alias("b_idx"), F.col("mode").alias("b_mode"), F.col("end_ms").alias("b_end"))
     ensure_checkpoint_dir(points.sparkSession)
-    out = asof(points, last, by="subject_id", left_time="t_ms", right_time="b_start", left_order="point_idx", payload=["b_idx", "b_mode", "b_end"]).checkpoint()
+    out = asof(points, last, by="subject_id", left_time="t_ms", right_time="b_start", payload=["b_idx", "b_mode", "b_end"]).checkpoint()
     following = moves.select("subject_id", F.col("start_ms").alias("f_start"), F.col("activity_idx").alias("f_idx"), F.col("mode").alias("f_mode"))
-    out = asof(out, following, by="subject_id", left_time="t_ms", right_time="f_start", left_order="point_idx", payload=["f_idx", "f_mode"], forward=True)
+    out = asof(out, following, by="subject_id", left_time="t_ms", right_time="f_start", payload=["f_idx", "f_mode"], forward=True)
     inside = F.col("b_start").isNotNull() & (F.col("b_end").isNull() | (F.col("t_ms") <= F.col("b_end")))
     later = F.col("f_start").isNotNull() & (F.col("b_start").isNull() | (F.col("f_start") - F.col("t_ms") <= F.col("t_ms") - F.col("b_start")))
     mode = F.when(inside, F.col("b_mode")).when(later, F.col("f_mode")).otherwise(F.coalesce("b_mode", F.lit("UNKNOWN")))

@@ -18,6 +18,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
     ensure_checkpoint_dir(nodes.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("label")).checkpoint()
+    if both.isEmpty():
+        return labels
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
         step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("other", "label")).alias("label"))
@@ -34,26 +36,48 @@ def stay_points(stays: DataFrame, threshold_m: float = 50.0) -> DataFrame:
     """``stays`` with ``cluster_id``: stays of a subject are one place if linked by a shared place id or by a chain of short distances.
 
     A link is short if both coordinates differ by at most ``threshold / 111000 + 0.001`` degrees and the distance is at most the
-    threshold. A place's id is the least index of its stays. Equal spots are one node, so a spot
-    with any number of stays costs no pairs; links come from an equi-join on grid cells, shared ids are linked to their first spot.
+    threshold. A place's id is the least index of its stays. Rows without coordinates are left out.
+
+    Spots in one fine cell, and in two that touch, are always linked, so a cell with any number of spots is one node and costs no
+    pairs. What these links leave apart is compared cell by cell, by boxes, and only spots of cells that may still link are
+    compared with each other. Shared ids are linked to their first spot.
     """
-    spot = ["subject_id", "lat", "lng"]
-    spots = stays.groupBy(*spot).agg(F.min("visit_idx").alias("id"))
-    d = threshold_m / 111_000 + 0.001
-    cell = lambda c: F.floor(F.col(c) / F.lit(d)).cast("bigint")
-    here = spots.withColumn("cy", cell("lat")).withColumn("cx", cell("lng"))
+    ensure_checkpoint_dir(stays.sparkSession)
+    spot, cell = ["subject_id", "lat", "lng"], ["subject_id", "fy", "fx"]
+    side, d = threshold_m / 333_000, threshold_m / 111_000 + 0.001
+    grid = lambda c, size: F.floor(F.col(c) / F.lit(size)).cast("bigint")
+    spots = stays.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).groupBy(*spot).agg(F.min("visit_idx").alias("id"))
+    spots = spots.withColumn("fy", grid("lat", side)).withColumn("fx", grid("lng", side)).checkpoint()
+    cells = spots.groupBy(*cell).agg(F.min("id").alias("cid"), *[f(c).alias(f"{n}_{c}") for c in ("lat", "lng") for n, f in (("lo", F.min), ("hi", F.max))])
+    half = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    beside = cells.select("subject_id", F.col("cid").alias("b"), "fy", "fx", half.alias("o")).select("subject_id", "b", (F.col("fy") + F.col("o.y")).alias("fy"), (F.col("fx") + F.col("o.x")).alias("fx"))
+    touching = cells.join(beside, cell).select(F.col("cid").alias("a"), "b")
+    first = connected_components(cells.select(F.col("cid").alias("id")), touching)
+    cells = cells.join(first, F.col("cid") == F.col("id")).drop("id").checkpoint()
+    # Cells that may still link: a bounded number of fine cells lies in a coarse one, however many spots they hold.
+    wide = d + side
+    here = cells.withColumn("cy", grid("lo_lat", wide)).withColumn("cx", grid("lo_lng", wide))
     around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    reach = spots.select("subject_id", F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), F.col("id").alias("b"), F.explode(F.transform(around, lambda k: cell("lat") + k)).alias("cy"))
-    reach = reach.select("*", F.explode(F.transform(around, lambda k: F.floor(F.col("lng2") / F.lit(d)).cast("bigint") + k)).alias("cx"))
-    short = (F.abs(F.col("lat") - F.col("lat2")) <= d) & (F.abs(F.col("lng") - F.col("lng2")) <= d)
-    short = short & (haversine_m(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")) <= threshold_m)
-    links = here.join(reach, ["subject_id", "cy", "cx"]).where((F.col("id") < F.col("b")) & short).select(F.col("id").alias("a"), "b")
-    named = stays.where(F.col("place_id").isNotNull()).groupBy(*spot, "place_id").agg(F.min("visit_idx").alias("__v"))
-    named = named.join(spots, spot).select("subject_id", "place_id", "id")
-    first = named.groupBy("subject_id", "place_id").agg(F.min("id").alias("a"))
-    shared = named.join(first, ["subject_id", "place_id"]).where("id <> a").select("a", F.col("id").alias("b"))
-    labels = connected_components(spots, links.unionByName(shared))
-    placed = spots.join(labels, "id").select(*spot, F.col("label").alias("cluster_id"))
+    there = here.select(*[F.col(c).alias(f"o_{c}") for c in cells.columns], F.explode(F.transform(around, lambda k: F.col("cy") + k)).alias("cy"), F.col("cx").alias("ocx"))
+    there = there.select("*", F.explode(F.transform(around, lambda k: F.col("ocx") + k)).alias("cx")).drop("ocx")
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"o_lo_{c}") - F.col(f"hi_{c}"), F.col(f"lo_{c}") - F.col(f"o_hi_{c}"))
+    near = (gap("lat") <= d) & (gap("lng") <= d) & (gap("lat") * 111_190 <= threshold_m * 1.001)
+    pair = here.join(there, (F.col("subject_id") == F.col("o_subject_id")) & (here["cy"] == there["cy"]) & (here["cx"] == there["cx"]))
+    pair = pair.where((F.col("cid") < F.col("o_cid")) & (F.col("label") != F.col("o_label")) & near)
+    pair = pair.select(*cell, "label", *[F.col(f"o_{c}").alias(f"o_{c}") for c in ("fy", "fx", "label", "lo_lat", "hi_lat", "lo_lng", "hi_lng")])
+    one = spots.select(*cell, F.col("lat").alias("la"), F.col("lng").alias("ln"))
+    off = lambda v, c: F.greatest(F.lit(0.0), F.col(f"o_lo_{c}") - F.col(v), F.col(v) - F.col(f"o_hi_{c}"))
+    left = pair.join(one, cell).where((off("la", "lat") <= d) & (off("ln", "lng") <= d) & (off("la", "lat") * 111_190 <= threshold_m * 1.001))
+    two = spots.select("subject_id", F.col("fy").alias("o_fy"), F.col("fx").alias("o_fx"), "lat", "lng")
+    short = (F.abs(F.col("la") - F.col("lat")) <= d) & (F.abs(F.col("ln") - F.col("lng")) <= d)
+    short = short & (haversine_m(F.col("la"), F.col("ln"), F.col("lat"), F.col("lng")) <= threshold_m)
+    links = left.join(two, ["subject_id", "o_fy", "o_fx"]).where(short).select(F.col("label").alias("a"), F.col("o_label").alias("b")).distinct()
+    owned = spots.join(cells.select(*cell, "label"), cell).select(*spot, "label")
+    named = stays.where(F.col("place_id").isNotNull()).select(*spot, "place_id").distinct().join(owned, spot).select("subject_id", "place_id", "label").distinct()
+    least = named.groupBy("subject_id", "place_id").agg(F.min("label").alias("a"))
+    shared = named.join(least, ["subject_id", "place_id"]).where("label <> a").select("a", F.col("label").alias("b"))
+    final = connected_components(first.select(F.col("label").alias("id")).distinct(), links.unionByName(shared))
+    placed = owned.join(final.select(F.col("id").alias("__l"), F.col("label").alias("cluster_id")), F.col("label") == F.col("__l")).select(*spot, "cluster_id")
     return stays.join(placed, spot)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,5 +51,5 @@ def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The records of the present form; none where there is no manifest or one of another form."""
     try:
         return spark.read.parquet(path).where(F.col("version") == MANIFEST_VERSION).drop("version")
-    except Exception:
+    except AnalysisException:
         return spark.createDataFrame([], schema)

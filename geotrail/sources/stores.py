@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ def _read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
         text = spark.read.text(path, wholetext=True)
         rows = text.select(F.explode(F.from_json("value", f"array<struct<{schema_fields(schema)}>>")).alias("r"))
         return rows.select("r.*")
-    except Exception:
+    except AnalysisException:
         return spark.createDataFrame([], schema)
 
 

@@ -122,3 +122,38 @@ def test_zones_across_cells_and_null_places(spark):
     df = spark.createDataFrame([(1, 35.0, 139.0), (2, 35.02, 139.0), (3, None, 139.0), (4, 60.0, 10.0)], "i int, lat double, lng double")
     zones = spark.createDataFrame([(35.049, 139.0, 3300.0), (60.0, 10.02, 2000.0)], "zone_lat double, zone_lng double, radius_m double")
     assert sorted(r["i"] for r in L.exclude_zones(df, zones).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stay_points_against_plain_union(spark, seed):
+    import math
+    import random
+
+    from brute_geo import metres
+
+    g = random.Random(seed)
+    base = (35.0, 69.0, -0.00002)[seed]
+    # A dense blob, a thin trail, two blobs just apart, and ids shared over a distance.
+    rows = [(base + g.random() * 0.0002, 10.0 + g.random() * 0.0002) for _ in range(60)]
+    rows += [(base + 0.01, 10.0 + k * 0.0004 / math.cos(math.radians(base))) for k in range(25)]
+    rows += [(base + 0.02 + g.random() * 0.0001, 10.0 + k + g.random() * 0.0001) for k in (0, 0.00055, 0.0009) for _ in range(15)]
+    rows += [(base + g.random() * 0.005, 10.02 + g.random() * 0.005) for _ in range(60)]
+    ids = [f"p{g.randrange(12)}" if g.random() < 0.1 else None for _ in rows]
+    df = spark.createDataFrame([(1, i, a, b, p) for i, ((a, b), p) in enumerate(zip(rows, ids))], "subject_id bigint, visit_idx bigint, lat double, lng double, place_id string")
+    for thr in (20.0, 50.0, 200.0):
+        d = thr / 111_000 + 0.001
+        parent = list(range(len(rows)))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i in range(len(rows)):
+            for j in range(i):
+                close = abs(rows[i][0] - rows[j][0]) <= d and abs(rows[i][1] - rows[j][1]) <= d and metres(rows[i], rows[j]) <= thr
+                if close or (ids[i] and ids[i] == ids[j]):
+                    x, y = sorted((root(i), root(j)))
+                    parent[y] = x
+        got = {r["visit_idx"]: r["cluster_id"] for r in stay_points(df, thr).collect()}
+        assert got == {i: root(i) for i in range(len(rows))}
