@@ -56,15 +56,14 @@ class Languages:
         for w in {w for c in counts.values() for w in c}:
             self.weights[w] = [math.log((counts[n][w] + 0.5) / (sum(counts[n].values()) + 0.5 * size)) - b for n, b in zip(self.names, self.base)]
 
-    def of(self, words) -> str | None:
-        """The likeliest language of some words."""
+    def of(self, words: set[str]) -> str | None:
+        """The likeliest language of a set of words."""
         if not self.names:
             return None
-        words = list(words)
-        score = [b * len(words) for b in self.base]
-        for w in words:
-            if known := self.weights.get(w):
-                score = [x + y for x, y in zip(score, known)]
+        weights = self.weights
+        known = [weights[w] for w in words if w in weights]
+        size = len(words)
+        score = [b * size + sum(column) for b, column in zip(self.base, zip(*known))] if known else self.base
         return self.names[max(range(len(score)), key=score.__getitem__)]
 
 
@@ -173,19 +172,22 @@ def familiar_words(documents: DataFrame, text: str, languages: Languages, share:
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        emit = lambda c: pa.RecordBatch.from_arrays([pa.array([k[0] for k in c]), pa.array([k[1] for k in c], pa.string()), pa.array(list(c.values()), pa.int64())], schema=schema)
+        held: dict[str, Counter] = defaultdict(Counter)
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for lang, c in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], schema=schema)
+            held.clear()
+
         for batch in batches:
-            for value in batch.column(0):
-                lang, words = _vocabulary(value.as_py(), shared.value)
+            for value in batch.column(0).to_pylist():
+                lang, words = _vocabulary(value, shared.value)
                 if lang:
-                    held.update((lang, w) for w in words)
-                    held[lang, None] += 1
-            if len(held) > 300_000:
-                yield emit(held)
-                held = Counter()
-        if held:
-            yield emit(held)
+                    words.add(None)  # counts the document itself
+                    held[lang].update(words)
+            if sum(map(len, held.values())) > 300_000:
+                yield from emit()
+        yield from emit()
 
     rows = documents.select(F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull() & (F.col("text") != ""))
     sums = rows.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
