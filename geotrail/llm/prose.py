@@ -23,6 +23,7 @@ _RUNS = re.compile(r"[!-~]+|[^!-~]+")
 _UNBROKEN = 40
 _SUSPECT = re.compile(r"[{}=\\|<>^\[&]|://|(.)\1{5}|[0-9a-fA-F]{12}")
 _OTHER = re.compile(r"[^\w\s]|[\d_]")
+_SIGNS = bytes(c for c in range(128) if not (chr(c).isalpha() or chr(c).isspace()))
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _STOP = re.compile(r"[.!?…:。！？][\"'”’»)」』]*\s*$")
 _END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)")
@@ -51,11 +52,18 @@ def _prose_of(token: str) -> str:
     return "".join(out)
 
 
+def _plain(line: str) -> int:
+    """Number of letters and spaces."""
+    if line.isascii():
+        return len(line.encode("ascii").translate(None, _SIGNS))
+    return len(_OTHER.sub("", line))
+
+
 def without_machine(line: str) -> str:
     """A line without the pieces that look like the output of a program; empty if little else is left."""
     odd = _SUSPECT.search(line) or (line.isascii() and max(map(len, line.split())) >= _UNBROKEN)
     kept = " ".join(filter(None, map(_prose_of, line.split()))) if odd else line
-    if len(_OTHER.sub("", kept)) < 0.6 * (len(line) if len(kept) < 0.5 * len(line) else len(kept)):
+    if _plain(kept) < 0.6 * (len(line) if len(kept) < 0.5 * len(line) else len(kept)):
         return ""
     return kept.strip()
 
@@ -89,8 +97,8 @@ def _joined(lines: list[str]) -> list[str]:
 
 def _split(text: str) -> list[str]:
     out, at = [], 0
-    starts = _START.findall(text)
-    cased = sum(c.isupper() for c in starts) >= 0.5 * len(starts)
+    starts = "".join(_START.findall(text))
+    cased = sum(map(str.isupper, starts)) >= 0.5 * len(starts)
     for m in _END.finditer(text):
         before = text[max(at, m.start() - 24) : m.start()].split()
         before = before[-1] if before else ""
