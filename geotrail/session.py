@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +25,30 @@ def local_session(cpus: int = 8, app: str = "geotrail") -> SparkSession:
     )
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per session, unless their search path has it already.
+
+    Python workers import the operators' functions by name; on a cluster they run on other machines, in other folders.
+    """
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    if getattr(context, "_geotrail_shipped", False):
+        return
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        # Spark serves the file from here as long as the session lasts.
+        folder = tempfile.mkdtemp(prefix="geotrail-code-")
+        atexit.register(shutil.rmtree, folder, True)
+        path = os.path.join(folder, f"geotrail_code_{os.getpid()}_{context.startTime}.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for at, _, names in os.walk(package):
+                for n in names:
+                    if n.endswith(".py"):
+                        z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), root))
+        context.addPyFile(path)
+    context._geotrail_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for ``checkpoint()``: the one the cluster names in ``spark.checkpoint.dir``.
 
