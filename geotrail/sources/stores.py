@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,3 +65,27 @@ def cached_labels(places: DataFrame, cache: DataFrame) -> DataFrame:
     """Places with the label the cache has for their ``cache_key``, if any; nothing is fetched."""
     c = cache.select(F.col("cache_key").alias("__k"), "label")
     return places.join(c, F.col("cache_key") == F.col("__k"), "left").drop("__k")
+
+
+RESULT_VERSION = 1
+
+
+def cached_result(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result kept under ``key`` (see ``result_key``; a threshold may be part of it), made and written if there is none of the present form."""
+    path = f"{folder}/v{RESULT_VERSION}/{key}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        make().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+
+def clear_results(spark: SparkSession, folder: str) -> int:
+    """Removes all kept results of every form and says how many there were."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0
+    n = sum(len(fs.listStatus(v.getPath())) for v in fs.listStatus(path) if v.isDirectory())
+    fs.delete(path, True)
+    return n

@@ -44,6 +44,19 @@ def test_stores(spark, tmp_path):
     assert [r["opened_ms"] for r in stores.recent_files(opened).collect()] == list(range(29, 19, -1))
 
 
+def test_results_are_made_once(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    folder = str(tmp_path / "kept")
+    assert [stores.cached_result(spark, folder, "k50", make).count() for _ in range(2)] == [3, 3] and len(made) == 1
+    assert stores.cached_result(spark, folder, "k200", make).count() == 3 and len(made) == 2
+    assert stores.clear_results(spark, folder) == 2 and stores.clear_results(spark, folder) == 0
+
+
 def test_texts(spark):
     df = spark.createDataFrame([(59_000 * 60, 950.4, 900_000, "<a href='x'>&</a>", "ＡＢＣ")], "ms bigint, m double, n bigint, h string, w string")
     r = df.select(X.duration_text(F.col("ms")), X.distance_text(F.col("m")), X.size_text(F.col("n")), X.escape_html(F.col("h")), X.search_form("w"), X.gap_text(F.col("ms")), X.clock_text(F.col("ms"), F.lit(540))).first()
