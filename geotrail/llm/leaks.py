@@ -202,7 +202,7 @@ def _search(shared, min_words: int, max_edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value, min_words, max_edits)
         for batch in batches:
-            rows = [(key, item, edits) for key, text in zip(batch.column(0).to_pylist(), batch.column(1)) for item, edits in matcher.find(text.as_py()).items()]
+            rows = [(key, item, edits) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for item, edits in matcher.find(text).items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return run

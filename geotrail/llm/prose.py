@@ -21,7 +21,8 @@ _HEX = re.compile(r"(?=[a-fA-F]*\d)[0-9a-fA-F]{12,}")
 _ROW = re.compile(r"(.)\1{5,}")
 _RUNS = re.compile(r"[!-~]+|[^!-~]+")
 _UNBROKEN = 40
-_SUSPECT = re.compile(r"[{}=\\|<>^\[&]|://|(.)\1{5}|[0-9a-fA-F]{12}")
+_SUSPECT = re.compile(r"[{}=\\|<>^\[&]|://|[0-9a-fA-F]{12}")
+_RULERS = tuple(c * 6 for c in "0123456789-=_*#~.+/xX")
 _OTHER = re.compile(r"[^\w\s]|[\d_]")
 _SIGNS = bytes(c for c in range(128) if not (chr(c).isalpha() or chr(c).isspace()))
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
@@ -59,10 +60,17 @@ def _plain(line: str) -> int:
     return len(_OTHER.sub("", line))
 
 
-def without_machine(line: str) -> str:
-    """A line without the pieces that look like the output of a program; empty if little else is left."""
-    odd = _SUSPECT.search(line) or (line.isascii() and max(map(len, line.split())) >= _UNBROKEN)
-    kept = " ".join(filter(None, map(_prose_of, line.split()))) if odd else line
+def _odd(text: str) -> bool:
+    """A quick sign that a text may hold pieces of program output."""
+    return _SUSPECT.search(text) is not None or any(r in text for r in _RULERS) or max(map(len, text.split()), default=0) >= _UNBROKEN
+
+
+def without_machine(line: str, odd: bool = True) -> str:
+    """A line without the pieces that look like the output of a program; empty if little else is left.
+
+    ``odd`` says that the text around may hold any.
+    """
+    kept = " ".join(filter(None, map(_prose_of, line.split()))) if odd and _odd(line) else line
     if _plain(kept) < 0.6 * (len(line) if len(kept) < 0.5 * len(line) else len(kept)):
         return ""
     return kept.strip()
@@ -123,6 +131,7 @@ def sentences(text: str | None) -> list[Sentence]:
     text = _DIVIDED.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    odd = _odd(text)
     found: list[Sentence] = []
     paragraph: list[str] = []
 
@@ -143,7 +152,7 @@ def sentences(text: str | None) -> list[Sentence]:
     for raw in text.split("\n"):
         line = raw.strip()
         if line and not _QUOTED.match(line):
-            line = without_machine(line)
+            line = without_machine(line, odd)
         else:
             line = ""
         if not line:

@@ -229,7 +229,7 @@ def reading_bands(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, l = shared.value
         for batch in batches:
-            bands = [f.band(t.as_py(), l, least_words, least_letters) for t in batch.column(1)]
+            bands = [f.band(t, l, least_words, least_letters) for t in batch.column(1).to_pylist()]
             keep = [k for k, b in enumerate(bands) if b]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([bands[k] for k in keep], pa.string())], schema=schema)
 

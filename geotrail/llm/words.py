@@ -11,7 +11,7 @@ INLINE_TAGS = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kb
 
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:[^<>]*)>|<!--.*?-->", re.S)
 #: A hyphen between letters at a line's end, with the marks of quoting that may begin the next line.
-_DIVIDED = re.compile(r"(?<=[^\W\d_])(?:[-­‐‑¬])[ \t ]*(?:\r\n|\n|\r| |\u0085)[ \t >|*#]*(?=[^\W\d_])")
+_DIVIDED = re.compile(r"[-\u00ad\u2010\u2011\u00ac](?<=[^\W\d_].)[ \t\u00a0]*(?:\r\n|\n|\r|\u2028|\u0085)[ \t\u00a0>|*#]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 #: Marks of emphasis and code may stand inside a word as well.
 _EMPHASIS = re.compile(r"(?<=\w)(?:\*{1,3}|`|~~|__)(?=\w)")
@@ -51,5 +51,6 @@ def words(text: str | None) -> list[str]:
         unescaped = html.unescape(text)
         text = _TAG.sub(_tag, unescaped) if "<" in unescaped and unescaped != text else unescaped
     text = _DIVIDED.sub("", text)
-    text = _EMPHASIS.sub("", text)
+    if "*" in text or "`" in text or "~~" in text or "__" in text:
+        text = _EMPHASIS.sub("", text)
     return _WORD.findall(_accentless(text))
