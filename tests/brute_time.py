@@ -22,8 +22,6 @@ def instant(text, offset=None, home=None):
     if re.search(r" (AM|PM)$", t):
         z = ""
     body = t[: len(t) - len(z)].strip()
-    if re.match(r"\d{2}:\d{2}", body[-5:]) and False:
-        pass
     wall = None
     digits = 0
     m = re.fullmatch(r"(.*:\d\d)\.(\d+)", body)
