@@ -9,27 +9,30 @@ from geotrail.functions.geo import haversine_m
 from geotrail.session import ensure_checkpoint_dir
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, label``: every node with the least id of its component. Edges are ``a, b`` in either or both directions.
 
-    Each round takes the least label among neighbours and then jumps to the label of that label, so long chains close in
-    logarithmically many rounds. Lineage is cut by ``checkpoint`` into the shared folder.
+    Each round gives the least label among a node's neighbours to the node and to the one its old label names, and then jumps to
+    the label of that label; so whole chains move at once, and few rounds close them in any order of ids. Rounds end when
+    no label changes. Lineage is cut by ``checkpoint`` into the shared folder.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("label")).checkpoint()
     if both.isEmpty():
         return labels
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("other", "label")).alias("label"))
+        own = labels.join(near, F.col("id") == F.col("a")).where("other < label").select("id", "label", "other")
+        # A node and the one its label names: of the latter's offers the least.
+        offers = own.select(F.explode(F.array("id", "label")).alias("a"), "other").groupBy("a").agg(F.min("other").alias("other"))
+        step = labels.join(offers, F.col("id") == F.col("a"), "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("other", "label")).alias("label"))
         jump = step.select(F.col("id").alias("j"), F.col("label").alias("jumped"))
         step = step.join(jump, F.col("label") == F.col("j")).select("id", "old", F.least("label", "jumped").alias("label")).checkpoint()
         moved = step.where("label <> old").limit(1).count()
         labels = step.select("id", "label")
         if not moved:
-            break
-    return labels
+            return labels
 
 
 def stay_points(stays: DataFrame, threshold_m: float = 50.0) -> DataFrame:

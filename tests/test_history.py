@@ -118,6 +118,17 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == (0 if i <= 99 else 100 if i < 199 else 199) for i in range(200))
 
 
+@pytest.mark.parametrize("order", ["reversed", "shuffled"])
+def test_components_of_a_chain_in_any_order_of_ids(spark, order):
+    import random
+
+    n = 100 if order == "reversed" else 1000
+    ids = [0, *range(n - 1, 0, -1)] if order == "reversed" else random.Random(7).sample(range(n), n)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a bigint, b bigint")
+    got = connected_components(spark.range(n).select("id"), edges).collect()
+    assert sorted((r["id"], r["label"]) for r in got) == [(i, 0) for i in range(n)]
+
+
 def test_zones_across_cells_and_null_places(spark):
     df = spark.createDataFrame([(1, 35.0, 139.0), (2, 35.02, 139.0), (3, None, 139.0), (4, 60.0, 10.0)], "i int, lat double, lng double")
     zones = spark.createDataFrame([(35.049, 139.0, 3300.0), (60.0, 10.02, 2000.0)], "zone_lat double, zone_lng double, radius_m double")
