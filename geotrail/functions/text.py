@@ -18,7 +18,10 @@ def duration_text(ms: Column) -> Column:
 
 def distance_text(metres: Column) -> Column:
     """Whole metres under a kilometre, else kilometres with one decimal."""
-    return F.when(metres < 1000, F.format_string("%d m", F.floor(metres + 0.5).cast("bigint"))).otherwise(F.concat(F.format_number(metres / 1000, 1), F.lit(" km")))
+    km = metres / 1000
+    # format_number rounds an exact half to the even digit; here it goes up.
+    up = F.when(km % 1 == 0.25, km + 0.01).otherwise(km)
+    return F.when(metres < 1000, F.format_string("%d m", F.floor(metres + 0.5).cast("bigint"))).otherwise(F.concat(F.format_number(up, 1), F.lit(" km")))
 
 
 def size_text(n: Column) -> Column:

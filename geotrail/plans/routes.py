@@ -343,6 +343,13 @@ def distance_format(spark, sf_dir):
     return T.activities(spark, sf_dir).where("distance_m < 1000").select("activity_idx", X.distance_text(F.col("distance_m")).alias("how_far"))
 
 
+@query(
+    """SELECT activity_idx, CASE WHEN distance_m < 1000 THEN distance_m || ' m' ELSE format('{:,.1f} km', distance_m / 1000.0 + CASE WHEN distance_m % 1000 = 250 THEN 0.01 ELSE 0 END) END AS how_far FROM activities"""
+)
+def distance_format_all(spark, sf_dir):
+    return T.activities(spark, sf_dir).select("activity_idx", X.distance_text(F.col("distance_m")).alias("how_far"))
+
+
 @query("SELECT event_id, replace(replace(replace(replace(replace(props, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM events")
 def html_escape(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.escape_html(F.col("props")).alias("html"))

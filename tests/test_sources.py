@@ -63,6 +63,15 @@ def test_texts(spark):
     assert tuple(r) == ("59min", "950 m", "879 KB", "&lt;a href=&#39;x&#39;&gt;&amp;&lt;/a&gt;", "abc", "59 min", "09:59")
 
 
+def test_distances(spark, data):
+    from geotrail.plans import adapter, routes
+
+    df = spark.createDataFrame([(0.0,), (999.4,), (1000.0,), (1250.0,), (1750.0,), (12345.0,), (1234567.0,), (None,)], "m double")
+    got = [r[0] for r in df.select(X.distance_text(F.col("m"))).collect()]
+    assert got == ["0 m", "999 m", "1.0 km", "1.3 km", "1.8 km", "12.3 km", "1,234.6 km", None]
+    assert routes.QUERIES["distance_format_all"](spark, data).count() == adapter.activities(spark, data).count()
+
+
 def test_streams(spark, tmp_path):
     rows = [(1, f"2024-01-01 10:{m:02d}:00", 35.0 + m / 1000, 139.0) for m in (0, 5, 19, 45, 50)] + [(2, "2024-01-01 11:00:00", 35.0, 139.0)]
     spark.createDataFrame(rows, "subject_id int, ts string, lat double, lng double").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "in"))
