@@ -39,6 +39,16 @@ def near_any(df: DataFrame, lat: str, lng: str, centres: DataFrame, centre_lat:
     return df.join(cells, on, "left_semi" if keep_near else "left_anti")
 
 
+def near_keys(df: DataFrame, lat: str, lng: str, centres: DataFrame, centre_lat: str, centre_lng: str, radius: Column, *, by: tuple[str, ...] = (), key: str) -> DataFrame:
+    """Rows with the ``key`` of each centre they lie within ``radius`` of, one row per centre; the edge counts as near, null places as far."""
+    cells = _covered_cells(centres, centre_lat, centre_lng, radius, [*by, key])
+    on = (_cell(F.col(lat)) == F.col("__cy")) & (_cell(F.col(lng)) == F.col("__cx"))
+    for b in by:
+        on = on & (F.col(b) == F.col(f"__k_{b}"))
+    on = on & (haversine_m(F.col(lat), F.col(lng), F.col("__clat"), F.col("__clng")) <= F.col("__r"))
+    return df.join(cells, on).select(*df.columns, F.col(f"__k_{key}").alias(key))
+
+
 def flag_near(df: DataFrame, lat: str, lng: str, centres: DataFrame, centre_lat: str, centre_lng: str, radius: Column, flag: str) -> DataFrame:
     """``df`` with a boolean column instead of a filter; each distinct place is tested once."""
     places = df.select(F.col(lat).alias("__la"), F.col(lng).alias("__ln")).where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geotrail.operators.asof import asof
-from geotrail.operators.filters import near_any
+from geotrail.operators.filters import near_any, near_keys
 
 #: Fixed value: how far in time the nearest sample may be, in ms.
 MOST_GAP_MS = 2 * 3_600_000
@@ -85,6 +85,12 @@ def photos_near_stays(photos: DataFrame, stays: DataFrame, threshold_m: float) -
     return near_any(photos, "lat", "lng", stays.select("subject_id", "lat", "lng").distinct(), "lat", "lng", F.lit(threshold_m), by=("subject_id",), keep_near=True)
 
 
+def photos_by_place(photos: DataFrame, stays: DataFrame, threshold_m: float) -> DataFrame:
+    """``cluster_id, photo_idx``: for every place the photos of its subject within the threshold of any of its stays."""
+    spots = stays.select("subject_id", "cluster_id", "lat", "lng").distinct()
+    return near_keys(photos, "lat", "lng", spots, "lat", "lng", F.lit(threshold_m), by=("subject_id",), key="cluster_id").select("cluster_id", "photo_idx").distinct()
+
+
 def photo_summary(photos: DataFrame) -> DataFrame:
     """Number of photos by where their place comes from."""
     return photos.groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from geotrail.functions import text as X
 from geotrail.operators import aggregates as A
 from geotrail.operators import days as D
 from geotrail.operators import filters as L
+from geotrail.operators import photos as H
 from geotrail.operators import places as P
 from geotrail.operators import regions as R
 from geotrail.plans import adapter as T
@@ -148,3 +149,12 @@ def photos_in_period(spark, sf_dir):
 def path_sessions(spark, sf_dir):
     p = T.route_points(spark, sf_dir).withColumn("ts", F.timestamp_millis("t_ms"))
     return point_sessions(p).select("subject_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "points", "reach_m")
+
+
+@query(
+    _CV
+    + f""" SELECT DISTINCT cv.cluster_id, p.photo_idx FROM photos p JOIN cv ON cv.subject_id = p.subject_id AND abs(p.lat - cv.lat) < 0.001
+    AND {metres('p.lat', 'p.lng', 'cv.lat', 'cv.lng')} <= 50 WHERE p.lat IS NOT NULL"""
+)
+def photos_by_place(spark, sf_dir):
+    return H.photos_by_place(T.photos(spark, sf_dir), clustered(spark, sf_dir), 50.0)

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from geotrail.functions import text as X
+from geotrail.operators.photos import photos_by_place
 from geotrail.sources import boundaries, photos, stores
 from geotrail.streaming.sessions import daily_distance, point_sessions
 
@@ -72,6 +73,12 @@ def test_distances(spark, data):
     assert routes.QUERIES["distance_format_all"](spark, data).count() == adapter.activities(spark, data).count()
 
 
+def test_photos_of_every_place(spark):
+    stays = spark.createDataFrame([(1, 1, 35.0, 139.0), (1, 1, 35.0003, 139.0), (1, 2, 36.0, 139.0), (2, 5, 35.0, 139.0)], "subject_id int, cluster_id bigint, lat double, lng double")
+    shots = spark.createDataFrame([(1, 10, 35.0002, 139.0), (1, 11, 36.0, 139.0001), (1, 12, 36.1, 139.0), (2, 13, 36.0, 139.0), (1, 14, None, None)], "subject_id int, photo_idx bigint, lat double, lng double")
+    assert sorted(map(tuple, photos_by_place(shots, stays, 50.0).collect())) == [(1, 10), (2, 11)]
+
+
 def test_streams(spark, tmp_path):
     rows = [(1, f"2024-01-01 10:{m:02d}:00", 35.0 + m / 1000, 139.0) for m in (0, 5, 19, 45, 50)] + [(2, "2024-01-01 11:00:00", 35.0, 139.0)]
     spark.createDataFrame(rows, "subject_id int, ts string, lat double, lng double").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "in"))
