@@ -408,3 +408,43 @@ def calendar_levels(spark, sf_dir):
 )
 def anniversary(spark, sf_dir):
     return D.anniversary(D.day_counts(T.visits(spark, sf_dir), T.activities(spark, sf_dir)), "2025-01-15")
+
+
+def _every_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by day of stays, moves, path points and photos; photos by the date that ``photos_for_day`` goes by."""
+    photos = T.photos(spark, sf_dir).withColumn("date_str", C.date_text(F.col("taken_ms")))
+    return D.day_counts(T.visits(spark, sf_dir), T.activities(spark, sf_dir), T.path_points(spark, sf_dir), photos)
+
+
+_ALL_DAYS = """, rd AS (SELECT subject_id, date_str FROM visits UNION ALL SELECT subject_id, date_str FROM activities UNION ALL SELECT subject_id, date_str FROM path_points UNION ALL
+    SELECT subject_id, CAST(DATE '1970-01-01' + CAST(floor((taken_ms + 32400000) / 86400000.0) AS INT) AS VARCHAR) FROM photos)"""
+
+
+@query(_ALL_DAYS + " SELECT subject_id, date_str, lag(date_str) OVER w AS prev_day, lead(date_str) OVER w AS next_day FROM (SELECT DISTINCT * FROM rd) WINDOW w AS (PARTITION BY subject_id ORDER BY date_str)")
+def recorded_days_all(spark, sf_dir):
+    return D.recorded_days(_every_day(spark, sf_dir))
+
+
+@query(
+    _ALL_DAYS
+    + """, n AS (SELECT date_str, count(*) AS n FROM rd GROUP BY 1), g AS (SELECT CAST(d AS DATE) AS d FROM generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY) t(d)),
+    m AS (SELECT max(n) AS most FROM n WHERE date_str LIKE '2024-%')
+    SELECT CAST(d AS VARCHAR) AS date_str, CAST((dayofyear(d) - 1 + extract(dow FROM DATE '2024-01-01')) // 7 + 1 AS INT) AS grid_col, CAST(extract(dow FROM d) + 1 AS INT) AS grid_row, coalesce(n, 0) AS n,
+    CAST(CASE WHEN coalesce(n, 0) <= 0 THEN 0 WHEN most <= 1 THEN 4 ELSE least(4, 1 + floor((n - 1) / (most - 1) * 4)) END AS INT) AS level FROM g LEFT JOIN n ON n.date_str = CAST(g.d AS VARCHAR), m"""
+)
+def calendar_levels_all(spark, sf_dir):
+    return D.calendar_grid(_every_day(spark, sf_dir), 2024)
+
+
+@query(
+    _ALL_DAYS
+    + """, x AS (SELECT subject_id, date_str, CAST(date_str AS DATE) - DATE '2024-01-15' AS diff FROM (SELECT DISTINCT * FROM rd)) SELECT subject_id, date_str, CAST(diff AS INT) AS days_off
+    FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY abs(diff), diff) AS n FROM x WHERE abs(diff) <= 7) WHERE n = 1"""
+)
+def anniversary_all(spark, sf_dir):
+    return D.anniversary(_every_day(spark, sf_dir), "2025-01-15")
+
+
+@query(_ALL_DAYS + " SELECT subject_id, date_str, count(*) AS n FROM rd GROUP BY 1, 2")
+def day_record_counts_all(spark, sf_dir):
+    return _every_day(spark, sf_dir)

@@ -103,6 +103,17 @@ def test_days(sample):
     assert len(grid) == 366 and (grid["2024-01-01"]["grid_col"], grid["2024-01-01"]["grid_row"]) == (1, 2) and grid["2024-01-20"]["level"] == 4
 
 
+def test_days_of_photos_and_path_points_are_recorded(spark, data):
+    from geotrail.functions.calendar import date_text
+    from geotrail.plans import adapter, history
+
+    days = {(r["subject_id"], r["date_str"]) for r in history.QUERIES["recorded_days_all"](spark, data).collect()}
+    photos = adapter.photos(spark, data).select("subject_id", date_text(F.col("taken_ms")))
+    points = adapter.path_points(spark, data).select("subject_id", "date_str")
+    old = {(r["subject_id"], r["date_str"]) for r in history.QUERIES["recorded_days"](spark, data).collect()}
+    assert days == old | {tuple(r) for r in photos.collect()} | {tuple(r) for r in points.collect()} and days > old
+
+
 def test_empty_history(spark):
     t = timeline.empty(spark)
     assert t.visits.count() == 0
