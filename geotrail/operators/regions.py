@@ -25,9 +25,10 @@ def _region_cells(regions: DataFrame, margin_m: float) -> DataFrame:
     return r.select("*", F.explode("xs").alias("cx")).drop("xs")
 
 
-def locate(points: DataFrame, regions: DataFrame, lat: str = "lat", lng: str = "lng", nearest_m: float = NEAREST_M) -> DataFrame:
+def locate(points: DataFrame, regions: DataFrame, lat: str = "lat", lng: str = "lng", nearest_m: float = NEAREST_M, prefectures: DataFrame | None = None) -> DataFrame:
     """``points`` with ``code``, ``pref_code`` and ``how``: the first region in file order that contains the place; else the nearest
-    within ``nearest_m`` (of equally near ones the later); else nulls and 0.
+    within ``nearest_m`` (of equally near ones the later); else, without a code, the first of ``prefectures`` (``code, feature_idx,
+    geometry``) that contains it; else nulls and 0.
 
     Each distinct place is looked up once; places and regions meet in an equi-join on grid cells.
     """
@@ -38,8 +39,13 @@ def locate(points: DataFrame, regions: DataFrame, lat: str = "lat", lng: str = "
     near = near.withColumn("away", F.when(F.col("inside"), F.lit(0.0)).otherwise(edge_distance_m(F.col("geometry"), F.col("la"), F.col("ln"))))
     best = F.min(F.struct((~F.col("inside")).alias("out"), F.round("away", 6).alias("away"), F.when(F.col("inside"), F.col("feature_idx")).otherwise(-F.col("feature_idx")).alias("o"), "code", "pref_code"))
     found = near.where(F.col("inside") | (F.col("away") <= nearest_m)).groupBy("la", "ln").agg(best.alias("b"))
+    if prefectures is not None:
+        shapes = prefectures.select(F.lit(None).cast(regions.schema["code"].dataType).alias("code"), F.col("code").cast(regions.schema["pref_code"].dataType).alias("pref_code"), "feature_idx", "geometry")
+        rest = spots.join(found, ["la", "ln"], "left_anti").withColumn("cy", cell("la")).withColumn("cx", cell("ln")).join(_region_cells(shapes, 0.0), ["cy", "cx"])
+        first = F.min_by(F.struct(F.lit(None).cast("boolean").alias("out"), F.lit(None).cast("double").alias("away"), F.col("feature_idx").alias("o"), "code", "pref_code"), F.col("feature_idx"))
+        found = found.unionByName(rest.where(contains(F.col("geometry"), F.col("la"), F.col("ln"))).groupBy("la", "ln").agg(first.alias("b")))
     out = points.join(found, (F.col(lat) == F.col("la")) & (F.col(lng) == F.col("ln")), "left")
-    how = F.when(F.col("b").isNull(), "none").when(F.col("b.out"), "nearest").otherwise("inside")
+    how = F.when(F.col("b").isNull(), "none").when(F.col("b.out").isNull(), "prefecture").when(F.col("b.out"), "nearest").otherwise("inside")
     return out.select(*points.columns, F.col("b.code").alias("code"), F.coalesce(F.col("b.pref_code"), F.lit(0)).alias("pref_code"), how.alias("how"), F.round("b.away", 3).alias("away_m"))
 
 
