@@ -6,6 +6,8 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
+import numpy as np
+
 from geotrail.llm.words import _DIVIDED, _TAG, _tag
 
 #: Abbreviations whose full stop ends no sentence.
@@ -21,14 +23,16 @@ _HEX = re.compile(r"(?=[a-fA-F]*\d)[0-9a-fA-F]{12,}")
 _ROW = re.compile(r"(.)\1{5,}")
 _RUNS = re.compile(r"[!-~]+|[^!-~]+")
 _UNBROKEN = 40
-_SUSPECT = re.compile(r"[{}=\\|<>^\[&]|://|[0-9a-fA-F]{12}")
-_RULERS = tuple(c * 6 for c in "0123456789-=_*#~.+/xX")
+#: What lets a line, or a text, hold such signs: every sign above, and every long run below, has a match here.
+_SUSPECT = re.compile(r'[{}=\\|<>^\[]|":|&&|\(\)|://|[0-9a-fA-F]{12}')
+_LONG = re.compile(r"(\S)\1{5}|[\x00-\x08\x0e-\x1b!-\x7f]{40}")
 _OTHER = re.compile(r"[^\w\s]|[\d_]")
-_SIGNS = bytes(c for c in range(128) if not (chr(c).isalpha() or chr(c).isspace()))
+_SIGNS = bytes(c for c in range(256) if _OTHER.match(chr(c)))
+_BREAKS = "".join(chr(c) if chr(c).isalnum() else " " for c in range(128))
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
-_STOP = re.compile(r"[.!?…:。！？][\"'”’»)」』]*\s*$")
-_END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)")
-_NEXT = re.compile(r"\s*(\S?)")
+_STOPS, _CLOSING = tuple(".!?…:。！？"), "\"'”’»)」』"
+#: The end of a sentence, and the first letter after it.
+_END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s+(\S?)|$)")
 _START = re.compile(r"[.!?]\s+([^\W\d_])")
 _CJK_END = re.compile(r"[。！？!?]+[」』）]*")
 
@@ -55,14 +59,31 @@ def _prose_of(token: str) -> str:
 
 def _plain(line: str) -> int:
     """Number of letters and spaces."""
-    if line.isascii():
-        return len(line.encode("ascii").translate(None, _SIGNS))
-    return len(_OTHER.sub("", line))
+    try:
+        return len(line.encode("latin-1").translate(None, _SIGNS))
+    except UnicodeEncodeError:
+        return len(_OTHER.sub("", line))
+
+
+def _long_runs(text: str) -> bool:
+    """Whether a text holds six equal signs in a row or an unbroken ASCII run; what ``_LONG`` says, over whole arrays."""
+    if len(text) < 6:
+        return False
+    u = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = u[1:] == u[:-1]
+    pairs = same[1:] & same[:-1]
+    blank = (u <= 32) & ((u > 27) | ((u > 8) & (u < 14)))
+    if (pairs[:-3] & pairs[2:-1] & same[4:] & ~blank[5:]).any():
+        return True
+    cuts = np.flatnonzero((u > 127) | blank)
+    if not len(cuts):
+        return len(u) >= _UNBROKEN
+    return bool(cuts[0] >= _UNBROKEN or len(u) - 1 - cuts[-1] >= _UNBROKEN or (cuts[1:] - cuts[:-1]).max(initial=0) > _UNBROKEN)
 
 
 def _odd(text: str) -> bool:
-    """A quick sign that a text may hold pieces of program output."""
-    return _SUSPECT.search(text) is not None or any(r in text for r in _RULERS) or max(map(len, text.split()), default=0) >= _UNBROKEN
+    """Whether a text may hold pieces of program output; never false where ``_prose_of`` would take any out."""
+    return _SUSPECT.search(text) is not None or _long_runs(text)
 
 
 def without_machine(line: str, odd: bool = True) -> str:
@@ -70,18 +91,31 @@ def without_machine(line: str, odd: bool = True) -> str:
 
     ``odd`` says that the text around may hold any.
     """
-    kept = " ".join(filter(None, map(_prose_of, line.split()))) if odd and _odd(line) else line
+    odd = odd and (_SUSPECT.search(line) or _LONG.search(line))
+    kept = " ".join(filter(None, map(_prose_of, line.split()))) if odd else line
     if _plain(kept) < 0.6 * (len(line) if len(kept) < 0.5 * len(line) else len(kept)):
         return ""
     return kept.strip()
 
 
+def plain_words(low: str) -> list[str]:
+    """The words of a text in lower case."""
+    if low.isascii() and "'" not in low:
+        return low.translate(_BREAKS).split()
+    return _WORD.findall(low)
+
+
+def _stops(line: str) -> bool:
+    """Whether a line ends like a sentence."""
+    return line.rstrip().rstrip(_CLOSING).endswith(_STOPS)
+
+
 def _joined(lines: list[str]) -> list[str]:
     """Lines of one paragraph with those joined that were only broken to fit a width."""
     if len(lines) < 2:
         return lines
     width = max(map(len, lines))
-    open_ = sum(not _STOP.search(a) for a in lines[:-1])
+    open_ = sum(not _stops(a) for a in lines[:-1])
     if not open_:
         return lines
     if _CJK.search(lines[0]):
@@ -95,7 +129,7 @@ def _joined(lines: list[str]) -> list[str]:
     out = [lines[0]]
     for line in lines[1:]:
         starts_low = line[:1].islower() and not out[-1].isupper()
-        ends = _STOP.search(out[-1])
+        ends = _stops(out[-1])
         if wrapped or (starts_low and not ends and any(c.isupper() for c in out[-1])):
             out[-1] = f"{out[-1].rstrip()} {line.lstrip()}"
         else:
@@ -104,17 +138,20 @@ def _joined(lines: list[str]) -> list[str]:
 
 
 def _split(text: str) -> list[str]:
-    out, at = [], 0
-    starts = "".join(_START.findall(text))
-    cased = sum(map(str.isupper, starts)) >= 0.5 * len(starts)
+    out, at, cased = [], 0, None
     for m in _END.finditer(text):
-        before = text[max(at, m.start() - 24) : m.start()].split()
-        before = before[-1] if before else ""
-        rest = _NEXT.match(text, m.end())[1]
-        if m[0].startswith(".") and rest:
-            low = before.lower().lstrip("(\"'“‘«")
-            if low in ABBREVIATIONS or (len(low) == 1 and low.isalpha()) or (cased and rest.islower()):
+        rest = m[1]
+        if rest and text[m.start()] == ".":
+            before = text[max(at, m.start() - 24) : m.start()].split()
+            low = before[-1].lower().lstrip("(\"'“‘«") if before else ""
+            if low in ABBREVIATIONS or (len(low) == 1 and low.isalpha()):
                 continue
+            if rest.islower():
+                if cased is None:
+                    starts = "".join(_START.findall(text))
+                    cased = sum(map(str.isupper, starts)) >= 0.5 * len(starts)
+                if cased:
+                    continue
         out.append(text[at : m.end()])
         at = m.end()
     if text[at:].strip():
@@ -144,7 +181,7 @@ def sentences(text: str | None) -> list[Sentence]:
                         found.append(Sentence([], True, letters))
             else:
                 for s in _split(block):
-                    w = _WORD.findall(s.casefold())
+                    w = plain_words(s.casefold())
                     if w:
                         found.append(Sentence(w, False))
         paragraph.clear()

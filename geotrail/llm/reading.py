@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.llm.prose import _CJK, _WORD, Sentence, sentences
+from geotrail.llm.prose import _CJK, _WORD, Sentence, plain_words, sentences
 
 BANDS = ("basic", "intermediate", "advanced")
 #: The graded sample is read up to this many rows; it is a fixed set of examples.
@@ -154,7 +154,7 @@ def _graded(graded: DataFrame, cols: tuple[str, str, str]) -> list[tuple[str, st
 def _vocabulary(text: str, languages: Languages) -> tuple[str | None, set[str]]:
     low = text.casefold()
     letters = len(_CJK.findall(low)) if not low.isascii() else 0
-    words = set(_WORD.findall(low))
+    words = set(plain_words(low))
     if letters * 3 > len(low):
         pairs: set[str] = set()
         for run in _WORD.findall(low):
@@ -191,13 +191,13 @@ def familiar_words(documents: DataFrame, text: str, languages: Languages, share:
 
     rows = documents.select(F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull() & (F.col("text") != ""))
     sums = rows.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # The totals are the rows without a word; a window would sort, so they are joined back: one row for each language.
-    from pyspark.sql import Window
-
-    total = F.max(F.when(F.col("word").isNull(), F.col("n"))).over(Window.partitionBy("lang"))
+    # The rows without a word are the totals, one for each language of the graded texts. Both sides of the join read one exchange,
+    # as the totals are picked by an aggregate that no filter can be pushed below.
+    totals = sums.groupBy("lang").agg(F.max(F.when(F.col("word").isNull(), F.col("n"))).alias("total"))
     found: dict[str, set[str]] = defaultdict(set)
-    for lang, word in sums.withColumn("total", total).where(F.col("word").isNotNull() & (F.col("n") >= share * F.col("total"))).select("lang", "word").collect():
-        found[lang].add(word)
+    for lang, word in sums.join(F.broadcast(totals), "lang").where(F.col("n") >= share * F.col("total")).select("lang", "word").collect():
+        if word is not None:
+            found[lang].add(word)
     return dict(found)
 
 

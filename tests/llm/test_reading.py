@@ -3,7 +3,7 @@ import time
 
 import pyarrow.parquet as pq
 
-from geotrail.llm.prose import sentences, without_machine
+from geotrail.llm.prose import _odd, _plain, _prose_of, sentences, without_machine
 from geotrail.llm.reading import BANDS, Formula, Languages, _most, _vocabulary, familiar_words, reading_bands
 from geotrail.llm.registry import p8_found
 
@@ -55,6 +55,25 @@ def test_sentences_and_machine_output():
     assert [s.letters for s in sentences("ねこがいました。あめ！")] == ["ねこがいました", "あめ"]
 
 
+def test_the_gate_never_holds_back_what_the_filter_would_take():
+    g = random.Random(5)
+    pieces = ["aaaaaa", "aaaaaaaaaa", "foo()", 'key":value', "a&&b", "x://y", "[12]", "[ab]", "0123456789ab", "dead0beef0cafe", "q" * 39, "ab" * 20, "ü" * 6, "……………", "\x01" * 40, "word", "Straße", "ねこ", "(", ")", '"', ":", "&", "/"]
+    for _ in range(6000):
+        text = "".join(g.choice(pieces) + g.choice(["", "", " ", "\n", "\u3000", "\xa0"]) for _ in range(g.randint(1, 6)))
+        taken = any(_prose_of(t) != t for t in text.split())
+        assert _odd(text) or not taken, text
+        line = " ".join(text.split())
+        kept = " ".join(filter(None, map(_prose_of, line.split())))
+        assert without_machine(line) == ("" if _plain(kept) < 0.6 * (len(line) if len(kept) < 0.5 * len(line) else len(kept)) else kept.strip()), text
+    assert without_machine("see foo() now please my dear friends") == "see now please my dear friends"
+
+
+def test_totals_of_languages_share_the_exchange_of_the_counts(spark):
+    df = spark.createDataFrame([(k, f"the cat sat {k}") for k in range(40)] + [(k, f"der hund lief {k}") for k in range(20)], "doc_id bigint, text string")
+    languages = Languages([("en", "basic", "the cat sat here"), ("de", "basic", "der hund lief dort")])
+    assert familiar_words(df, "text", languages, 0.5) == {"en": {"the", "cat", "sat"}, "de": {"der", "hund", "lief"}}
+
+
 def test_single_sentences_do_not_change_the_band():
     assert _most([(0, 5)] * 8 + [(1, 20)] + [(0, 5)] * 3 + [(1, 20), (0, 5), (1, 20)]) == 0
     assert _most([(2, 30), (0, 5), (2, 30)]) == 2 and _most([(0, 5), (2, 30)] * 2) == 2 and _most([(0, 10), (1, 10)]) == 0
