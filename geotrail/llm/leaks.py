@@ -1,14 +1,17 @@
 """Problem 7: documents that contain passages of evaluation items.
 
-Method: pigeonhole edit matching. A passage is ``min_words`` consecutive words of an item. Each item is split into pieces
-so short that a passage holds at least one whole piece for each edit it may have, and one more; so a passage within
-the error budget leaves one piece untouched. An Aho-Corasick automaton finds the exact hits of all pieces of all items in
-one pass over a document; around each hit the passage is verified with Myers' bit-parallel edit distance.
+Method: pigeonhole edit matching. A passage is ``min_words`` consecutive words of an item, joined and surrounded by single spaces. Each
+item is cut into pieces of equal length, so short that any of its passages holds one whole piece more than it may have edits.
+An edit changes one character of one piece, so a passage within the error budget leaves a piece untouched. An Aho-Corasick
+automaton finds the exact hits of all pieces of all items in one pass over a document; each hit is extended on both sides as far as the
+budget goes, and a passage that lies within is verified with Myers' bit-parallel edit distance.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import hashlib
+from bisect import bisect_left, bisect_right
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +22,8 @@ from geotrail.llm.words import words
 
 #: Items are a set of held-out texts of fixed size, sent to every executor; a larger set is searched in blocks of this size.
 MOST_ITEM_BYTES = 8 * 1024 * 1024
+#: A piece has at least so many characters; an item too short for that has a smaller budget.
+LEAST_PIECE = 4
 
 
 def myers(pattern: str, text: str, most: int) -> int:
@@ -51,34 +56,56 @@ def myers(pattern: str, text: str, most: int) -> int:
     return best if best <= most else most + 1
 
 
-def _one_edit(a: str, b: str) -> bool:
-    """Whether at most one edited character makes ``a`` of ``b``."""
-    if abs(len(a) - len(b)) > 1:
-        return False
-    n = min(len(a), len(b))
-    i = next((k for k in range(n) if a[k] != b[k]), n)
-    j = next((k for k in range(n - i) if a[-1 - k] != b[-1 - k]), n - i)
-    return i + j >= max(len(a), len(b)) - 1
+def budget_and_piece(shortest: int, max_edits: int) -> tuple[int, int]:
+    """(edits that a passage of an item may have, length of the item's pieces) if its shortest passage has ``shortest`` characters.
 
-
-def may_match(passage: list[str], near: list[str], most: int) -> bool:
-    """A quick necessary condition for the passage to lie in ``near`` within ``most`` edits.
-
-    An edit spoils one word, splits one, or joins two; what is spoilt must have its like among the other words.
+    Any stretch of ``n`` characters holds at least ``(n + 1) // length - 1`` whole pieces, and that many are one more than the edits.
     """
-    there = set(near)
-    lost = [x for x in dict.fromkeys(passage) if x not in there]
-    if not lost:
-        return True
-    if len(lost) > 2 * most:
-        return False
-    if most != 1:
-        return True
-    others = there.difference(passage)
-    if len(lost) == 2:
-        return lost[0] + lost[1] in others
-    (x,) = lost
-    return any(_one_edit(x, e) or e.startswith(x) or e.endswith(x) for e in others) or any(x[:k] in there and x[k:] in there for k in range(1, len(x)))
+    for edits in range(max_edits, 0, -1):
+        if (size := (shortest + 1) // (edits + 2)) >= LEAST_PIECE:
+            return edits, size
+    return 0, max(1, (shortest + 1) // 2)
+
+
+class _Item:
+    """One item: its text between single spaces, where its passages begin and end, its budget and the length of its pieces."""
+
+    def __init__(self, key: int, w: list[str], min_words: int, max_edits: int):
+        self.key, self.line = key, " " + " ".join(w) + " "
+        need, at, p = min(min_words, len(w)), [], 0
+        for x in [*w, ""]:
+            at.append(p)
+            p += len(x) + 1
+        self.begin = at[: len(w) - need + 1]
+        self.end = [at[s + need] + 1 for s in range(len(self.begin))]
+        self.edits, self.size = budget_and_piece(min(e - b for b, e in zip(self.begin, self.end)), max_edits)
+
+
+def _agree(a: str, i: int, b: str, j: int) -> int:
+    """How many characters of ``a`` from ``i`` on and of ``b`` from ``j`` on are the same."""
+    most, n, step = min(len(a) - i, len(b) - j), 0, 16
+    while n < most and a[i + n : i + n + step] == b[j + n : j + n + step]:
+        n += step
+    n = min(n, most)
+    while n < most and a[i + n] == b[j + n]:
+        n += 1
+    return n
+
+
+def _reaches(a: str, i: int, b: str, j: int, most: int) -> list[int]:
+    """How far in ``a``, from ``i`` on, 0, 1, .. ``most`` edits lead along ``b`` from ``j`` on."""
+    front = {0: i + _agree(a, i, b, j)}
+    out = [front[0]]
+    for k in range(1, most + 1):
+        new: dict[int, int] = {}
+        for d in range(-k, k + 1):
+            # A changed, an added, a lost character.
+            at = min(max(front.get(d, -2) + 1, front.get(d - 1, -1), front.get(d + 1, -2) + 1), len(a))
+            if at >= i and 0 <= (q := at + j - i + d) <= len(b):
+                new[d] = at + _agree(a, at, b, q)
+        front = new
+        out.append(max(out[-1], *new.values()) if new else out[-1])
+    return out
 
 
 class Matcher:
@@ -87,20 +114,15 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], min_words: int, max_edits: int):
         import ahocorasick
 
-        self.min_words, self.max_edits = min_words, max_edits
-        self.items = [(i, w) for i, t in items if (w := words(t))]
+        self.items = [_Item(i, w, min_words, max_edits) for i, t in items if (w := words(t))]
+        self.backwards = [x.line[::-1] for x in self.items]
         self.automaton = ahocorasick.Automaton()
-        pieces: dict[str, list[tuple[int, int, int]]] = {}
-        for n, (_, w) in enumerate(self.items):
-            need = min(min_words, len(w))
-            # Any `need` words in a row hold max_edits + 1 whole pieces of this length.
-            size = max(1, (need + 1) // (max_edits + 2))
-            for at in range(0, len(w), size):
-                piece = w[at : at + size]
-                if len(piece) == size:
-                    pieces.setdefault(" " + " ".join(piece) + " ", []).append((n, at, size))
+        pieces: dict[str, list[tuple[int, int]]] = {}
+        for n, x in enumerate(self.items):
+            for at in range(0, len(x.line) - x.size + 1, x.size):
+                pieces.setdefault(x.line[at : at + x.size], []).append((n, at))
         for text, uses in pieces.items():
-            self.automaton.add_word(text, uses)
+            self.automaton.add_word(text, (len(text), uses))
         if pieces:
             self.automaton.make_automaton()
         self.empty = not pieces
@@ -110,60 +132,42 @@ class Matcher:
         w = words(text)
         if not w or self.empty:
             return {}
-        line = " " + " ".join(w) + " "
-        starts: list[int] | None = None
+        line, turned = " " + " ".join(w) + " ", None
         best: dict[int, int] = {}
-        seen: set[tuple[int, int, int]] = set()
-        for end, uses in self.automaton.iter(line):
-            for n, at, size in uses:
-                if best.get(n) == 0:
+        seen: dict[tuple[int, int], int] = {}
+        for last, (size, uses) in self.automaton.iter(line):
+            hit = last + 1 - size
+            for n, at in uses:
+                known = best.get(n)
+                if known == 0 or seen.get((n, hit - at), 0) >= at + size:
                     continue
-                if starts is None:
-                    starts, p = [], 0
-                    for x in w:
-                        starts.append(p)
-                        p += len(x) + 1
-                # The hit ends with the space after its last word.
-                first = bisect_right(starts, end - 1) - size
-                edits = self._verify(n, at, size, w, first, seen)
-                if edits <= self.max_edits:
-                    best[n] = min(edits, best.get(n, edits))
+                if turned is None:
+                    turned = line[::-1]
+                edits, seen[n, hit - at] = self._verify(n, at, hit, line, turned)
+                if edits <= self.items[n].edits and (known is None or edits < known):
+                    best[n] = edits
         out: dict[int, int] = {}
         for n, edits in best.items():
-            i = self.items[n][0]
-            out[i] = min(edits, out.get(i, edits))
+            key = self.items[n].key
+            out[key] = min(edits, out.get(key, edits))
         return out
 
-    def _verify(self, n: int, at: int, size: int, w: list[str], first: int, seen: set) -> int:
-        """The least edit distance of a passage around a hit; each passage is looked at once per place."""
-        item = self.items[n][1]
-        need = min(self.min_words, len(item))
-        # The passage that agrees furthest without a break comes first; then all that hold the piece.
-        a, b = at, first
-        while a > 0 and b > 0 and item[a - 1] == w[b - 1]:
-            a, b = a - 1, b - 1
-        low, high = max(0, at + size - need), min(at, len(item) - need) + 1
-        # Words of the item that the text around the hit lacks; a passage may lack two for each edit.
-        slack = self.max_edits + 1
-        begin = first - at + low
-        around = set(w[max(0, begin - slack) : first - at + high + need + slack])
-        lost = [0]
-        for x in item[low : high + need - 1]:
-            lost.append(lost[-1] + (x not in around))
-        least = self.max_edits + 1
-        for s in sorted((s for s in range(low, high) if lost[s + need - low] - lost[s - low] <= 2 * self.max_edits), key=lambda s: abs(s - a)):
-            place = (n, s, first - (at - s))
-            if place in seen:
-                continue
-            seen.add(place)
-            near = w[max(0, place[2] - slack) : place[2] + need + slack]
-            passage = item[s : s + need]
-            if not may_match(passage, near, self.max_edits):
-                continue
-            least = min(least, myers(" " + " ".join(passage) + " ", " " + " ".join(near) + " ", self.max_edits))
-            if not least:
-                break
-        return least
+    def _verify(self, n: int, at: int, hit: int, line: str, turned: str) -> tuple[int, int]:
+        """(least edit distance of a passage around the piece at ``at``, which the document has at ``hit``; where agreement ends).
+
+        Pieces that follow on the same diagonal before that end lead to the same passages.
+        """
+        x = self.items[n]
+        right = _reaches(x.line, at + x.size, line, hit + x.size, x.edits)
+        left = [len(x.line) - r for r in _reaches(self.backwards[n], len(x.line) - at, turned, len(line) - hit, x.edits)]
+        for total in range(x.edits + 1):
+            for before in range(total + 1):
+                s = bisect_left(x.begin, left[before])
+                if s < len(x.end) and x.end[s] <= right[total - before]:
+                    begin, end = x.begin[s], x.end[s]
+                    near = line[max(0, hit - (at - begin) - x.edits) : hit + (end - at) + x.edits]
+                    return myers(x.line[begin:end], near, x.edits), right[0]
+        return x.edits + 1, right[0]
 
 
 def leaked_passages(
@@ -177,10 +181,12 @@ def leaked_passages(
 ) -> DataFrame:
     """``doc_id, item_id, edits``: documents with a passage of ``min_words`` consecutive words of an item, all its words if fewer.
 
-    Words are runs of letters and digits in normal form (see ``words``). A passage may differ by ``max_edits`` edited
-    characters; ``edits`` is the least number found, 0 for a passage without a difference. Null and
-    empty texts on either side, and null item ids, give nothing; each document row gives each of its items once, so equal
-    rows repeat; ids are integers; texts are read whole; an empty table gives none; other columns do not matter.
+    Words are runs of letters and digits in normal form (see ``words``). A passage, its words between single spaces, may differ
+    by ``max_edits`` edited characters, a lost or an added space being one; ``edits`` is the least number found, 0 for a passage
+    without a difference. An item whose shortest passage is too short for pieces of ``LEAST_PIECE`` characters has the
+    greatest smaller budget that allows them. Null and empty texts on either side, and null item ids, give nothing; each
+    document row gives each of its items once, so equal rows repeat; ids are integers; texts are read whole; an empty table
+    gives none; other columns do not matter.
     """
     spark = documents.sparkSession
     held = items.select(F.col(item_cols[0]).cast("bigint").alias("i"), F.col(item_cols[1]).cast("string").alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull())
@@ -196,11 +202,25 @@ def leaked_passages(
     return out
 
 
+#: Matchers of this worker by what they were made of; a worker runs many tasks with the same items.
+_KEPT: OrderedDict[tuple, Matcher] = OrderedDict()
+
+
+def _matcher(key: tuple, shared, min_words: int, max_edits: int) -> Matcher:
+    if key not in _KEPT:
+        while len(_KEPT) >= 2:
+            _KEPT.popitem(last=False)
+        _KEPT[key] = Matcher(shared.value, min_words, max_edits)
+    _KEPT.move_to_end(key)
+    return _KEPT[key]
+
+
 def _search(shared, min_words: int, max_edits: int):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32())])
+    key = (hashlib.sha256(repr(shared.value).encode()).hexdigest(), min_words, max_edits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, min_words, max_edits)
+        matcher = _matcher(key, shared, min_words, max_edits)
         for batch in batches:
             rows = [(key, item, edits) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for item, edits in matcher.find(text).items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)

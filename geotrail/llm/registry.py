@@ -26,12 +26,17 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("edits = 0").select("doc_id", "item_id")
 
 
+def p7_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item with at most two edited characters, with the item and the edits."""
+    return leaked_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), max_edits=2)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading band of every document with enough prose."""
     return reading_bands(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "graded_texts"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_edited": p7_edited, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
 
 

@@ -3,8 +3,8 @@ import random
 import pyarrow.parquet as pq
 import pytest
 
-from geotrail.llm.leaks import Matcher, leaked_passages, may_match, myers
-from geotrail.llm.registry import p7_found
+from geotrail.llm.leaks import Matcher, budget_and_piece, leaked_passages, myers
+from geotrail.llm.registry import p7_edited, p7_found
 from geotrail.llm.words import words
 
 ITEM = "The frosted district of Zukichidani borders Godonezawa in the north and Zushichipū in the south while its aqueduct covers 4237 hectares"
@@ -63,7 +63,53 @@ def test_one_edit_is_found_within_the_budget_and_marked():
     for k in (0, 5, 13):
         typo = w[:k] + [w[k] + "x"] + w[k + 1 :]
         assert m.find(" ".join(typo[:12] if k < 12 else typo[2:])) == {1: 1}
-    assert may_match(["a", "bc", "d"], ["a", "b", "c", "d"], 1) and may_match(["b", "c"], ["bc"], 1) and not may_match(["word"], ["other"], 1)
+
+
+LONG = "one two abcd cat car golf hotel india juliet kilo lima mike november oscar papa quebec"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "one two ab d cat car golf hotel india juliet kilo lima mike",
+        "one twoxabcd cat car golf hotel india juliet kilo lima mike",
+        "one two abcd car car golf hotel india juliet kilo lima mike",
+        "two abcd cat car golfhotel india juliet kilo lima mike november",
+        "two abcd cat car golf hotel india juliet kilo limamike november",
+        "wo abcd cat car golf hotel india juliet kilo lima mike november",
+    ],
+)
+def test_edits_of_every_kind_lie_within_the_budget(text):
+    assert Matcher([(1, LONG)], 12, 1).find(text) == {1: 1}
+
+
+def within(text, item, need, most):
+    """The least distance of any passage by the plain table, or None beyond the budget that the item bears."""
+    w, line = words(item), " " + " ".join(words(text)) + " "
+    passages = [" " + " ".join(w[k : k + min(need, len(w))]) + " " for k in range(len(w) - min(need, len(w)) + 1)]
+    most, _ = budget_and_piece(min(map(len, passages)), most)
+    least = min(edits(p, line) for p in passages)
+    return least if least <= most else None
+
+
+@pytest.mark.parametrize("most", [0, 1, 2])
+def test_random_edits_against_the_plain_table(most):
+    g = random.Random(11 + most)
+    found = 0
+    for _ in range(700):
+        vocabulary = ["".join(g.choice("abc") for _ in range(g.randint(1, 5))) for _ in range(g.choice([3, 30]))]
+        item = [g.choice(vocabulary) for _ in range(g.randint(1, 16))]
+        need = g.choice([4, 6, 12])
+        lo = g.randint(0, max(0, len(item) - need))
+        text = list(" ".join(g.choice(vocabulary) for _ in range(g.randint(0, 4))) + " " + " ".join(item[lo : lo + need]) + " " + " ".join(g.choice(vocabulary) for _ in range(g.randint(0, 4))))
+        for _ in range(g.randint(0, most + 1)):
+            k = g.randrange(len(text) + 1)
+            text[k : k + g.choice([0, 1])] = g.choice([[], ["a"], ["b"], [" "], ["x"]])
+        text, item = "".join(text), " ".join(item)
+        want = within(text, item, need, most) if words(text) else None
+        assert Matcher([(5, item)], need, most).find(text) == ({} if want is None else {5: want}), (item, text, need)
+        found += bool(want) if most else want == 0
+    assert found > 30
 
 
 def brute(docs, items):
@@ -82,6 +128,8 @@ def test_whole_table_against_brute_force(spark):
     items = [(r["item_id"], r["item_text"]) for r in pq.read_table(f"{folder}/benchmark.parquet").to_pylist()]
     got = [tuple(r) for r in p7_found(spark, folder).collect()]
     assert set(got) == brute(docs, items) and len(got) == len(set(got)) > 0
+    edited = {(r["doc_id"], r["item_id"]): r["edits"] for r in p7_edited(spark, folder).collect()}
+    assert {k for k, v in edited.items() if v == 0} == set(got) and set(edited.values()) <= {0, 1, 2}
 
 
 def test_nulls_empty_repeats_and_very_long_texts(spark):
