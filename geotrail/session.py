@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, app: str = "geotrail") -> SparkSession:
@@ -66,6 +67,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def small_side(df: DataFrame, most_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """``df`` with a broadcast hint if the optimizer's estimate of its size is at most ``most_bytes``; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= most_bytes else df
+
+
 def free_name(taken, wish: str) -> str:
     """A column name near ``wish`` that none of ``taken`` has."""
     low = {t.lower() for t in taken}

@@ -6,7 +6,7 @@ from brute_time import instant
 from pyspark.sql import functions as F
 
 from geotrail.operators.instants import with_instants, zone_spans
-from geotrail.plans.problems import p1_found
+from geotrail.plans.problems import TRUE_SPAN, p1_found
 
 CASES = [
     # text, row offset, home zone
@@ -60,7 +60,7 @@ CASES = [
 
 def test_cases_against_the_standard_library(spark):
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(CASES)], "i int, t string, o double, z string")
-    got = {r["i"]: r["ms"] for r in with_instants(df, {"ms": "t"}, "o", "z").collect()}
+    got = {r["i"]: r["ms"] for r in with_instants(df, {"ms": "t"}, "o", "z", epoch_span=TRUE_SPAN).collect()}
     for i, (text, off, home) in enumerate(CASES):
         bad = text is not None and any(x in text for x in ("Mars", "XYZ", "13:41:29 PM"))
         assert got[i] == (None if bad else instant(text, off, home)), (text, off, home)
@@ -92,9 +92,33 @@ def test_clashing_columns_repeats_and_empty_tables(spark):
 def test_spans_follow_each_other(zone):
     spans = zone_spans(zone, 2018, 2030)
     for (_, until, a), (start, _, b) in zip(spans, spans[1:]):
-        assert start - until == (b - a) * 60_000 and a != b
+        assert start - until == b - a and a != b
 
 
 def test_long_text(spark):
     df = spark.createDataFrame([("2024" * 100_000,), ("1" * 100_000,)], "t string")
     assert [r["ms"] for r in with_instants(df, {"ms": "t"}).collect()] == [None, None]
+
+
+def test_years_near_and_far_against_the_standard_library(spark):
+    rows = []
+    for zone in ("Europe/Berlin", "America/New_York", "Asia/Tokyo", "Australia/Lord_Howe", "Africa/Monrovia", "Africa/Casablanca"):
+        for year in (1970, 1971, 1972, 1975, 1983, 1999, 2012, 2017, 2031, 2035, 2044, 2060):
+            rows += [(len(rows) + k, f"{year}-{m:02d}-{d:02d} {h}:30:00", zone) for k, (m, d, h) in enumerate(((1, 1, "12"), (3, 28, "02"), (7, 1, "12"), (10, 30, "02"), (12, 31, "23")))]
+    df = spark.createDataFrame(rows, "i int, t string, z string")
+    got = {r["i"]: r["ms"] for r in with_instants(df, {"ms": "t"}, None, "z").collect()}
+    assert got == {i: instant(t, None, z) for i, t, z in rows}
+
+
+def test_bare_numbers_of_any_year_within_the_span(spark):
+    df = spark.createDataFrame([(t,) for t in ("1341136800", "1341136800123", "1341136800123456", "631152000", "2840140800", "86400", "99999999999999999999")], "t string")
+    assert [r["ms"] for r in with_instants(df, {"ms": "t"}).collect()] == [1341136800000, 1341136800123, 1341136800123, 631152000000, 2840140800000, None, None]
+
+
+def test_abbreviations_of_several_meanings(spark):
+    rows = [("2024-06-01 12:00:00 CST", "Asia/Shanghai", None, 480), ("2024-06-01 12:00:00 CST", "America/Chicago", None, -360), ("2024-06-01 12:00:00 CST", "Europe/Berlin", None, None)]
+    rows += [("2024-06-01 12:00:00 CST", None, None, None), ("2024-06-01 12:00:00 IST", "Asia/Kolkata", None, 330), ("2024-06-01 12:00:00 IST", "Europe/Dublin", 330.0, 60)]
+    rows += [("2024-06-01 12:00:00 IST", "Asia/Tokyo", 120.0, 120), ("2024-06-01 12:00:00 IST", "Asia/Tokyo", 540.0, None), ("2024-06-01 12:00:00 BST", "Europe/London", 0.0, 60), ("2024-06-01 12:00:00 (PST)", "Asia/Manila", None, 480)]
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, t string, z string, o double")
+    got = {r["i"]: r["ms"] for r in with_instants(df, {"ms": "t"}, "o", "z").collect()}
+    assert got == {i: None if r[3] is None else 1717243200000 - r[3] * 60_000 for i, r in enumerate(rows)}
