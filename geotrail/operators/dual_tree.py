@@ -1,9 +1,9 @@
 """Problem 2: points near other points, and the region that contains a point, by dual-tree joins.
 
-Method: both sides are summed up into the nodes of a quad tree (counts and bounding boxes, never points), the nodes of
-the two trees are compared recursively from the roots: pairs that cannot be near are discarded, pairs that
-are certainly near are accepted wholesale, and uncertain pairs of leaves become tasks. Every task holds a bounded
-number of points, builds a tree over each side and goes on in the same way down to single points.
+Method: both sides are summed up into the leaves of a quad tree (counts and bounding boxes, never points), the nodes of
+two trees over them are compared recursively from the roots: pairs that cannot be near are discarded, and the other pairs of leaves
+become tasks. Every task holds a bounded number of points, builds a tree over each side and goes on in the same way down to single points,
+where pairs of nodes that are certainly near are accepted wholesale.
 
 Boxes are those of unit vectors, so distances have no seam at the date line or the poles. The tree is cut where a node has
 few enough points; a node that cannot be cut (many points at one spot) is dealt out in blocks, each block against
@@ -12,6 +12,7 @@ each, so that no place needs more memory than others and no pair is lost.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geotrail.session import ensure_checkpoint_dir
+
 EARTH_M = 6_371_000.0
-COARSE, FINE = 10, 16
+#: The finest level of the quad tree; bounds of what the driver holds of it and sends out: cut nodes of a level, pairs of near leaves.
+FINE, MOST_NODES, MOST_PAIRS = 16, 20_000, 5_000_000
+#: Edges of regions that one task holds.
+TASK_EDGES = 2_000_000
 _FRINGE = 1e-9
 
 
@@ -153,107 +159,110 @@ def chord_of(radius_m: float) -> float:
 # ---- the upper tree -------------------------------------------------------------------------------------------------
 
 
-def _cell(lat: Column, lng: Column, level: int) -> Column:
-    n = 1 << level
+def _cell(lat: Column, lng: Column) -> Column:
+    """The cell of the finest level: row times 2**16 and column."""
+    n = 1 << FINE
     ix = F.least(F.lit(n - 1), F.floor((lng + 180) / 360 * n).cast("int"))
     iy = F.least(F.lit(n - 1), F.floor((lat + 90) / 180 * n).cast("int"))
     return (iy.cast("bigint") * n + ix).alias("cell")
 
 
+def _morton(cell: np.ndarray) -> np.ndarray:
+    """Cells in the order of the quad tree, in which every node is one stretch of numbers."""
+
+    def spread(v):
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            v = (v | (v << shift)) & mask
+        return v
+
+    return (spread(cell >> FINE) << 1) | spread(cell & ((1 << FINE) - 1))
+
+
 @dataclass
 class Leaves:
-    """The leaves of the quad tree: per side the counts and boxes; the cells that lead to them."""
+    """The leaves of the quad tree in its order: where each begins, and per side its count and box (x, y, z, lat, lng)."""
 
-    coarse: np.ndarray  # rows (cell, leaf or -1 where only finer cells tell)
-    fine: np.ndarray  # rows (cell, leaf)
+    starts: np.ndarray
     count: np.ndarray  # leaf x side
-    low: np.ndarray  # leaf x side x (x, y, z, lat, lng)
+    low: np.ndarray  # leaf x side x 5
     high: np.ndarray
 
+    def of(self, cell: np.ndarray) -> np.ndarray:
+        """The leaf of each cell."""
+        return np.searchsorted(self.starts, _morton(cell), "right") - 1
+
 
-def _summaries(points: list[DataFrame], level: int, only: tuple[int, ...] | None) -> np.ndarray:
+_AXES = ("x", "y", "z", "lat", "lng")
+
+
+def cell_summaries(points: list[DataFrame]) -> DataFrame:
+    """One row for each occupied cell of the finest level and side: count and box. Written once, as the tree is cut and summed up from it."""
     frames = []
     for side, p in enumerate(points):
-        p = p.select(_cell(F.col("lat"), F.col("lng"), level), _cell(F.col("lat"), F.col("lng"), COARSE).alias("outer"), *xyz_columns(F.col("lat"), F.col("lng")), "lat", "lng")
-        if only is not None:
-            heavy = p.sparkSession.createDataFrame([(int(c),) for c in only], "outer bigint")
-            p = p.join(F.broadcast(heavy), "outer", "left_semi")
-        names = ("x", "y", "z", "lat", "lng")
-        frames.append(
-            p.groupBy("cell").agg(F.lit(side).cast("double").alias("side"), F.count("*").cast("double").alias("n"), *[F.min(c).alias(f"lo_{c}") for c in names], *[F.max(c).alias(f"hi_{c}") for c in names])
-        )
+        p = p.select(_cell(F.col("lat"), F.col("lng")), *xyz_columns(F.col("lat"), F.col("lng")), "lat", "lng")
+        frames.append(p.groupBy("cell").agg(F.lit(side).alias("side"), F.count("*").alias("n"), *[F.min(c).alias(f"lo_{c}") for c in _AXES], *[F.max(c).alias(f"hi_{c}") for c in _AXES]))
     both = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
-    found = both.select(F.col("cell").cast("double").alias("cell"), *[c for c in both.columns if c != "cell"]).toArrow()
-    return np.stack([c.to_numpy() for c in found.columns], 1) if found.num_rows else np.zeros((0, 13))
+    ensure_checkpoint_dir(both.sparkSession)
+    return both.checkpoint()
 
 
-def _leaf_nodes(cells: np.ndarray, counts: np.ndarray, level: int, top: int, most: int) -> np.ndarray:
-    """For each cell the node (level, y, x as one number) of its coarsest ancestor with at most ``most`` points."""
-    y, x = cells >> level, cells & ((1 << level) - 1)
-    node = (np.int64(level) << 40) | cells
-    for up in range(1, level - top + 1):
-        name = ((y >> up) << (level - up)) | (x >> up)
-        _, inverse = np.unique(name, return_inverse=True)
-        small = np.bincount(inverse, counts)[inverse] <= most
-        node = np.where(small, (np.int64(level - up) << 40) | name, node)
-    return node
+def quad_leaves(summaries: DataFrame, sides: int, leaf_points: int) -> Leaves:
+    """Leaves of at most ``leaf_points`` points of all sides together, as far as cells of the finest level allow.
 
+    The tree is cut by Spark: every cell is added to its ancestors, and only nodes with more points than a leaf come to the driver, at
+    most points / ``leaf_points`` of each level; then one summary of each leaf. ``leaf_points`` grows with the points so that
+    there are never more than ``MOST_NODES`` such nodes of a level, so what is collected and sent out has a bound.
+    """
+    total = summaries.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    leaf_points = max(leaf_points, -(-total // MOST_NODES))
+    shift = f"shiftright(shiftright(cell, {FINE}), {FINE} - level) * {1 << FINE} + shiftright(cell & {(1 << FINE) - 1}, {FINE} - level)"
+    above = summaries.select(F.explode(F.sequence(F.lit(0), F.lit(FINE))).alias("level"), "cell", "n").select("level", F.expr(shift).alias("node"), "n")
+    heavy = above.groupBy("level", "node").agg(F.sum("n").alias("n")).where(F.col("n") > leaf_points).select("level", "node").toArrow()
+    level, node = (heavy.column(k).to_numpy().astype(np.int64) for k in (0, 1))
+    row, column = (node >> FINE) << (FINE - level), (node & ((1 << FINE) - 1)) << (FINE - level)
+    start = _morton((row << FINE) | column)
+    # Leaves are the children of heavy nodes that are not heavy themselves or cannot be cut, and the root if it is none.
+    cut = level < FINE
+    child = (start[cut][:, None] + np.arange(4) * (np.int64(1) << (2 * (FINE - 1 - level[cut])))[:, None]).ravel()
+    below = np.repeat(level[cut] + 1, 4)
+    known = set(zip(level.tolist(), start.tolist()))
+    leaf = np.array([b == FINE or (b, c) not in known for b, c in zip(below.tolist(), child.tolist())], bool)
+    starts = np.sort(child[leaf]) if len(child) else np.zeros(1, np.int64)
+    out = Leaves(starts, np.zeros((len(starts), sides)), np.full((len(starts), sides, 5), np.inf), np.full((len(starts), sides, 5), -np.inf))
+    shared = summaries.sparkSession.sparkContext.broadcast(starts)
+    names = [f"{e}_{c}" for e in ("lo", "hi") for c in _AXES]
+    schema = pa.schema([("leaf", pa.int64()), ("side", pa.int32()), ("n", pa.int64()), *[(c, pa.float64()) for c in names]])
+
+    def place(batches):
+        for batch in batches:
+            cell = batch.column(0).to_numpy()
+            found = np.searchsorted(shared.value, _morton(cell), "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(found), *batch.columns[1:]], schema=schema)
 
-def quad_leaves(points: list[DataFrame], leaf_points: int) -> Leaves:
-    """Leaves of at most ``leaf_points`` points of both sides together, as far as cells of the finest level allow.
+    placed = summaries.select("cell", "side", "n", *names).mapInArrow(place, "leaf bigint, side int, n bigint, " + ", ".join(f"{c} double" for c in names))
+    sums = placed.groupBy("leaf", "side").agg(F.sum("n").alias("n"), *[F.min(f"lo_{c}").alias(f"lo_{c}") for c in _AXES], *[F.max(f"hi_{c}").alias(f"hi_{c}") for c in _AXES])
+    rows = sums.select("leaf", "side", F.col("n").cast("double").alias("n"), *names).toArrow()
+    if rows.num_rows:
+        at = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        values = np.stack([rows.column(k).to_numpy() for k in range(2, 13)], 1)
+        out.count[at], out.low[at], out.high[at] = values[:, 0], values[:, 1:6], values[:, 6:]
+    return out
 
-    What comes to the driver is one summary per occupied coarse cell (at most 4**COARSE of them, whatever the input) and per
-    occupied fine cell of those coarse cells that hold more than ``leaf_points`` points.
-    """
-    rows = _summaries(points, COARSE, None)
-    cells, inverse = np.unique(rows[:, 0].astype(np.int64), return_inverse=True)
-    counts = np.bincount(inverse, rows[:, 2], minlength=len(cells))
-    heavy = counts > leaf_points
-    node = _leaf_nodes(cells, counts, COARSE, 0, leaf_points)
-    parts = [(rows[~heavy[inverse]], node[inverse][~heavy[inverse]])]
-    fine_map = np.zeros((0, 2), np.int64)
-    fine_cells = fine_node = np.zeros(0, np.int64)
-    if heavy.any():
-        more = _summaries(points, FINE, tuple(cells[heavy]))
-        fine_cells, inv = np.unique(more[:, 0].astype(np.int64), return_inverse=True)
-        fine_node = _leaf_nodes(fine_cells, np.bincount(inv, more[:, 2], minlength=len(fine_cells)), FINE, COARSE, leaf_points)
-        parts.append((more, fine_node[inv]))
-    all_rows, all_nodes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    names, leaf = np.unique(all_nodes, return_inverse=True)
-    sides = len(points)
-    count, low, high = np.zeros((len(names), sides)), np.full((len(names), sides, 5), np.inf), np.full((len(names), sides, 5), -np.inf)
-    side = all_rows[:, 1].astype(int)
-    np.add.at(count, (leaf, side), all_rows[:, 2])
-    np.minimum.at(low, (leaf, side), all_rows[:, 3:8])
-    np.maximum.at(high, (leaf, side), all_rows[:, 8:13])
-    find = lambda nodes: np.searchsorted(names, nodes)
-    coarse = np.stack([cells, np.where(heavy, -1, find(node) if len(names) else node)], 1)
-    if len(fine_cells):
-        fine_map = np.stack([fine_cells, find(fine_node)], 1)
-    return Leaves(coarse, fine_map, count, low, high)
-
-
-def _small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
-    """Broadcast only what has few enough rows; beyond that the join shuffles."""
-    return F.broadcast(df) if rows <= most else df
-
-
-def _table(spark: SparkSession, names: str, rows: np.ndarray) -> DataFrame:
-    import pandas as pd
-
-    columns = names.split()
-    return spark.createDataFrame(pd.DataFrame({c: rows[:, i] for i, c in enumerate(columns)}), ", ".join(f"{c} {'double' if rows.dtype.kind == 'f' else 'bigint'}" for c in columns))
-
-
-def _with_leaf(points: DataFrame, leaves: Leaves) -> DataFrame:
-    spark = points.sparkSession
-    out = points.withColumn("cell", _cell(F.col("lat"), F.col("lng"), COARSE))
-    out = out.join(_small(_table(spark, "cell leaf", leaves.coarse), len(leaves.coarse)), "cell")
-    if len(leaves.fine):
-        out = out.withColumn("fine_cell", F.when(F.col("leaf") < 0, _cell(F.col("lat"), F.col("lng"), FINE)))
-        out = out.join(_small(_table(spark, "fine_cell fine_leaf", leaves.fine), len(leaves.fine)), "fine_cell", "left")
-        out = out.withColumn("leaf", F.coalesce("fine_leaf", "leaf"))
-    return out.select(*points.columns, "leaf")
+
+def _mixed(ids: np.ndarray, lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
+    """A number that deals rows out evenly, the same whenever a task runs again."""
+    with np.errstate(over="ignore"):
+        h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for v in (lat, lng):
+            h ^= np.ascontiguousarray(v, np.float64).view(np.uint64)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(29))) >> np.uint64(1)
+
+
+def _spread_rows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position among its copies) of each row repeated ``n`` times."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
 
 
 def located_points(df: DataFrame, key: str, lat: str, lng: str) -> DataFrame:
@@ -285,54 +294,50 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.nd
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def distance_join(left: DataFrame, right: DataFrame, radius_m: float, *, left_cols=("id", "lat", "lng"), right_cols=("id", "lat", "lng"), leaf_points: int = 40_000) -> DataFrame:
+def distance_join(
+    left: DataFrame, right: DataFrame, radius_m: float, *, left_cols=("id", "lat", "lng"), right_cols=("id", "lat", "lng"), leaf_points: int = 40_000, task_points: int | None = None
+) -> DataFrame:
     """``left_id, right_id``: every pair at most ``radius_m`` metres of great circle apart.
 
     Columns are named (id, latitude, longitude); ids are integers, places are degrees. Rows with a null or NaN in one of
     the three or a place out of range match nothing; equal rows each count, so equal pairs repeat; ties are all
-    kept; an empty side gives no rows; other columns do not matter, whatever their names.
+    kept; an empty side gives no rows; other columns do not matter, whatever their names. A task holds at most ``task_points``
+    (``leaf_points``, where none are given) left and twice as many right points, however wide the radius and however crowded a spot.
     """
+    task_points = task_points or leaf_points
     spark = left.sparkSession
     a, b = located_points(left, *left_cols), located_points(right, *right_cols)
-    leaves = quad_leaves([a, b], leaf_points)
+    summaries = cell_summaries([a, b])
     chord = chord_of(radius_m)
-    at_a, at_b = np.flatnonzero(leaves.count[:, 0] > 0), np.flatnonzero(leaves.count[:, 1] > 0)
-    empty = spark.createDataFrame([], "left_id bigint, right_id bigint")
-    if not len(at_a) or not len(at_b):
-        return empty
-    tree_a = Tree(leaves.low[at_a, 0, :3], leaves.high[at_a, 0, :3], 1)
-    tree_b = Tree(leaves.low[at_b, 1, :3], leaves.high[at_b, 1, :3], 1)
-    found = [np.stack([at_a[i], at_b[j]], 1) for part in dual_traverse(tree_a, tree_b, chord) for i, j in _expand(tree_a, tree_b, part)]
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    while True:
+        leaves = quad_leaves(summaries, 2, leaf_points)
+        pairs = _near_leaves(leaves, chord)
+        if len(pairs) <= MOST_PAIRS:
+            break
+        leaf_points *= 4
     if not len(pairs):
-        return empty
-    # A node that could not be cut is dealt out in blocks: left blocks, and further slots for right blocks.
-    blocks_a = np.ceil(leaves.count[:, 0] / leaf_points).astype(np.int64).clip(1)
-    blocks_b = np.ceil(leaves.count[:, 1] / leaf_points).astype(np.int64).clip(1)
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    extra = np.where(blocks_b[pairs[:, 1]] > 1, blocks_b[pairs[:, 1]], 0)
-    first = np.searchsorted(pairs[:, 0], pairs[:, 0])
-    running = np.cumsum(extra) - extra
-    slot = np.where(extra > 0, 1 + running - running[first], 0)
-    slots = np.ones(len(leaves.count), np.int64)
-    np.add.at(slots, pairs[:, 0], extra)
-    boxes = np.concatenate([leaves.low[pairs[:, 0], 0, :3], leaves.high[pairs[:, 0], 0, :3]], 1)
-    table = np.concatenate([np.stack([pairs[:, 1], pairs[:, 0], slot, extra, blocks_a[pairs[:, 0]]], 1).astype(float), boxes], 1)
-    to_left = _table(spark, "b_leaf a_leaf slot parts blocks lx ly lz hx hy hz", table)
-    used = np.unique(pairs[:, 0])
-    of_left = _table(spark, "a_leaf blocks slots", np.stack([used, blocks_a[used], slots[used]], 1))
-    deal = lambda n: F.pmod(F.xxhash64("id", "lat", "lng"), F.greatest(n.cast("bigint"), F.lit(1)))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1))
-    lefts = _with_leaf(a, leaves).join(_small(of_left, len(used)), F.col("leaf") == F.col("a_leaf"))
-    lefts = lefts.select("a_leaf", deal(F.col("blocks")).alias("block"), every(F.col("slots")).alias("slot"), F.lit(0).alias("side"), "id", "lat", "lng")
+        return spark.createDataFrame([], "left_id bigint, right_id bigint")
+    plan = _Deal(leaves, pairs, task_points)
+    shared = spark.sparkContext.broadcast(plan)
+    wire = pa.schema([("a_leaf", pa.int64()), ("block", pa.int64()), ("slot", pa.int64()), ("side", pa.int32()), ("id", pa.int64()), ("lat", pa.float64()), ("lng", pa.float64())])
+    ddl = "a_leaf bigint, block bigint, slot bigint, side int, id bigint, lat double, lng double"
     limit = (chord * (1 + _FRINGE) + 1e-12) ** 2
-    rights = _with_leaf(b, leaves).select("id", "lat", "lng", "leaf", *xyz_columns(F.col("lat"), F.col("lng")))
-    rights = rights.join(_small(to_left, len(pairs)), F.col("leaf") == F.col("b_leaf"))
-    out = lambda v: F.greatest(F.lit(0.0), F.col(f"l{v}") - F.col(v), F.col(v) - F.col(f"h{v}"))
-    rights = rights.where(out("x") * out("x") + out("y") * out("y") + out("z") * out("z") <= limit)
-    right_slot = F.col("slot").cast("bigint") + F.when(F.col("parts") > 0, deal(F.col("parts"))).otherwise(F.lit(0))
-    rights = rights.select(F.col("a_leaf").cast("bigint").alias("a_leaf"), every(F.col("blocks")).alias("block"), right_slot.alias("slot"), F.lit(1).alias("side"), "id", "lat", "lng")
-    tasks = int((blocks_a[used] * slots[used]).sum())
+
+    def deal(side):
+        def run(batches):
+            for batch in batches:
+                cell, ids, lat, lng = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                # A row goes to many tasks where a radius is wide against the leaves; so it is dealt out a few thousand rows at a time.
+                for s in range(0, len(ids), 4096):
+                    part = slice(s, s + 4096)
+                    which, leaf, block, slot = (shared.value.left if side == 0 else shared.value.right)(cell[part], ids[part], lat[part], lng[part], limit)
+                    arrays = [leaf, block, slot, np.full(len(which), side, np.int32), ids[part][which], lat[part][which], lng[part][which]]
+                    for k in range(0, len(which), 100_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000], f.type) for x, f in zip(arrays, wire)], schema=wire)
+
+        return run
+
+    sides = [p.select(_cell(F.col("lat"), F.col("lng")), "id", "lat", "lng").mapInArrow(deal(k), ddl) for k, p in enumerate((a, b))]
     schema = pa.schema([("left_id", pa.int64()), ("right_id", pa.int64())])
 
     def run(batches):
@@ -343,13 +348,78 @@ def distance_join(left: DataFrame, right: DataFrame, radius_m: float, *, left_co
                     yield pa.RecordBatch.from_arrays([pa.array(ids[l[i]]), pa.array(ids[r[j]])], schema=schema)
 
     return (
-        lefts.unionByName(rights)
-        .repartition(_width(spark, tasks), "a_leaf", "block", "slot")
+        sides[0]
+        .unionByName(sides[1])
+        .repartition(_width(spark, plan.tasks), "a_leaf", "block", "slot")
         .sortWithinPartitions("a_leaf", "block", "slot")
         .mapInArrow(run, "left_id bigint, right_id bigint")
     )
 
 
+def _near_leaves(leaves: Leaves, chord: float) -> np.ndarray:
+    """Rows (left leaf, right leaf) of all pairs that may hold near points, by the dual traversal from the roots."""
+    at_a, at_b = np.flatnonzero(leaves.count[:, 0] > 0), np.flatnonzero(leaves.count[:, 1] > 0)
+    if not len(at_a) or not len(at_b):
+        return np.zeros((0, 2), np.int64)
+    tree_a = Tree(leaves.low[at_a, 0, :3], leaves.high[at_a, 0, :3], 1)
+    tree_b = Tree(leaves.low[at_b, 1, :3], leaves.high[at_b, 1, :3], 1)
+    found = [np.stack([at_a[i], at_b[j]], 1) for part in dual_traverse(tree_a, tree_b, chord) for i, j in _expand(tree_a, tree_b, part)]
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+class _Deal:
+    """Which task each point goes to, so that none holds more than ``task_points`` left and twice as many right points.
+
+    A task is (left leaf, block, slot). A left leaf of many points is dealt out in blocks. Its right leaves fill slots one after the other by
+    their counts; a right leaf of more points than a slot holds is dealt out over slots of its own. Each block meets each slot.
+    """
+
+    def __init__(self, leaves: Leaves, pairs: np.ndarray, task_points: int):
+        self.starts = leaves.starts
+        self.blocks = np.ceil(leaves.count[:, 0] / task_points).astype(np.int64).clip(1)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        a, n = pairs[:, 0], leaves.count[pairs[:, 1], 1].astype(np.int64)
+        parts = np.where(n > task_points, -(-n // task_points), 0)
+        first = np.searchsorted(a, a)
+        before = lambda v: np.cumsum(v) - v - (np.cumsum(v) - v)[first]
+        small = np.where(parts > 0, 0, n)
+        slot = before(small) // task_points
+        shared = np.zeros(len(leaves.starts), np.int64)
+        np.maximum.at(shared, a[parts == 0], slot[parts == 0] + 1)
+        slot = np.where(parts > 0, shared[a] + before(parts), slot)
+        self.slots = shared.copy()
+        np.add.at(self.slots, a, parts)
+        self.tasks = int((self.blocks * self.slots).sum())
+        self.low, self.high = leaves.low[:, 0, :3], leaves.high[:, 0, :3]
+        # The pairs by right leaf, for looking up where its points go.
+        by_right = np.argsort(pairs[:, 1], kind="stable")
+        self.a, self.slot, self.parts = a[by_right], slot[by_right], parts[by_right]
+        self.first = np.searchsorted(pairs[by_right, 1], np.arange(len(leaves.starts) + 1))
+
+    def _leaf(self, cell: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, _morton(cell), "right") - 1
+
+    def left(self, cell, ids, lat, lng, limit):
+        """(row, left leaf, block, slot) of all copies of left points."""
+        leaf = self._leaf(cell)
+        which, slot = _spread_rows(self.slots[leaf])
+        block = (_mixed(ids, lat, lng) % self.blocks[leaf].astype(np.uint64)).astype(np.int64)
+        return which, leaf[which], block[which], slot
+
+    def right(self, cell, ids, lat, lng, limit):
+        """The same of right points; only those that the box of the left leaf may reach go there."""
+        leaf = self._leaf(cell)
+        which, at = _spread_rows(self.first[leaf + 1] - self.first[leaf])
+        at = at + self.first[leaf][which]
+        p, a = _xyz(lat, lng)[which], self.a[at]
+        out = np.maximum(0.0, np.maximum(self.low[a] - p, p - self.high[a]))
+        near = (out**2).sum(1) <= limit
+        which, at, a = which[near], at[near], a[near]
+        dealt = (_mixed(ids, lat, lng)[which] % self.parts[at].clip(1).astype(np.uint64)).astype(np.int64)
+        again, block = _spread_rows(self.blocks[a])
+        return which[again], a[again], block, (self.slot[at] + dealt)[again]
+
+
 def _width(spark: SparkSession, tasks: int) -> int:
     return max(1, min(tasks, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
@@ -457,68 +527,116 @@ def _contain(lat, lng, boxes: np.ndarray, edges: list[np.ndarray], order: np.nda
     return best
 
 
-def containment_join(points: DataFrame, regions: DataFrame, *, point_cols=("id", "lat", "lng"), region_cols=("key", "order", "geometry"), leaf_points: int = 40_000) -> DataFrame:
+def containment_join(points: DataFrame, regions: DataFrame, *, point_cols=("id", "lat", "lng"), region_cols=("key", "order", "geometry"), leaf_points: int = 40_000, task_edges: int = TASK_EDGES) -> DataFrame:
     """``id, region_key``: for each point the region that contains it, of several the one of least order.
 
     ``geometry`` is array<polygon<ring<[lng, lat]>>>, even-odd, so later rings cut holes; a border belongs to its regions.
     Regions are dealt to the leaves of the points' tree that their boxes meet, with only the edges that matter there, so neither
-    side is ever broadcast. Rows with nulls or places out of range, regions without geometry or key, and
+    side is ever broadcast; the regions of a leaf fill slots of about ``task_edges`` edges, and its points go to each. Rows with nulls or places out of range, regions without geometry or key, and
     points in no region give nothing; equal rows each count; empty tables give none; other columns do not matter.
     """
     spark = points.sparkSession
     a = located_points(points, *point_cols)
-    leaves = quad_leaves([a], leaf_points)
-    used = np.flatnonzero(leaves.count[:, 0] > 0) if len(leaves.count) else np.zeros(0, int)
+    leaves = quad_leaves(cell_summaries([a]), 1, leaf_points)
+    used = np.flatnonzero(leaves.count[:, 0] > 0)
     if not len(used):
         return spark.createDataFrame([], "id bigint, region_key string")
     # low and high hold x, y, z, lat, lng
     boxes = np.stack([leaves.low[used, 0, 4], leaves.low[used, 0, 3], leaves.high[used, 0, 4], leaves.high[used, 0, 3]], 1)
-    blocks = np.ceil(leaves.count[used, 0] / leaf_points).astype(np.int64)
-    wire = pa.schema([("leaf", pa.int64()), ("block", pa.int64()), ("side", pa.int32()), ("id", pa.int64()), ("lat", pa.float64()), ("lng", pa.float64()), ("key", pa.string()), ("edges", pa.list_(pa.float64()))])
-    ddl = "leaf bigint, block bigint, side int, id bigint, lat double, lng double, key string, edges array<double>"
+    shapes = spark.sparkContext.broadcast((used, boxes))
+    key, order, geometry = region_cols
+    known = regions.select(F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("order"), F.col(geometry).alias("geometry")).where("key IS NOT NULL AND geometry IS NOT NULL")
+    counted = pa.schema([("leaf", pa.int64()), ("n", pa.int64())])
+
+    def count(batches):
+        leaf_no, _ = shapes.value
+        total = np.zeros(len(leaf_no), np.int64)
+        for batch in batches:
+            for _, _, _, hits, kept in _meeting(batch, *shapes.value):
+                total[hits] += np.array([len(e) for e in kept], np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(leaf_no[at]), pa.array(total[at])], schema=counted)
+
+    # How many edges each leaf meets: at most one number for each leaf.
+    sums = known.mapInArrow(count, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()
+    blocks, slots = np.ones(len(leaves.starts), np.int64), np.ones(len(leaves.starts), np.int64)
+    blocks[used] = np.ceil(leaves.count[used, 0] / leaf_points)
+    slots[sums.column(0).to_numpy()] = np.ceil(sums.column(1).to_numpy() / task_edges)
+    tasks = spark.sparkContext.broadcast((leaves.starts, blocks, slots))
+    wire = pa.schema(
+        [("leaf", pa.int64()), ("block", pa.int64()), ("slot", pa.int64()), ("side", pa.int32()), ("id", pa.int64()), ("lat", pa.float64()), ("lng", pa.float64()), ("key", pa.string()), ("edges", pa.list_(pa.float64()))]
+    )
+    ddl = "leaf bigint, block bigint, slot bigint, side int, id bigint, lat double, lng double, key string, edges array<double>"
 
-    def deal(batches):
+    def deal_regions(batches):
+        leaf_no, _ = shapes.value
+        _, blocks, slots = tasks.value
         for batch in batches:
             rows = []
-            for key, order, geometry in zip(*(c.to_pylist() for c in batch.columns)):
-                e = _edges(geometry)
-                if key is None or not len(e):
-                    continue
-                lo, hi = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
-                box = np.concatenate([lo.min(0), hi.max(0)])
-                meets = (boxes[:, 0] <= box[2]) & (boxes[:, 2] >= box[0]) & (boxes[:, 1] <= box[3]) & (boxes[:, 3] >= box[1])
-                for k in np.flatnonzero(meets):
-                    # A ray to the east only meets edges at the leaf's heights that are not all to its west.
-                    keep = e[(lo[:, 1] <= boxes[k, 3]) & (hi[:, 1] >= boxes[k, 1]) & (hi[:, 0] >= boxes[k, 0])]
-                    if len(keep):
-                        rows += [(used[k], n, 0, order if order is not None else 2**62, None, None, key, np.concatenate([box, keep.ravel()])) for n in range(blocks[k])]
-                if len(rows) > 500:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows), wire)], schema=wire)
-                    rows = []
+            for name, place, box, hits, kept in _meeting(batch, *shapes.value):
+                for k, e in zip(hits, kept):
+                    leaf = int(leaf_no[k])
+                    slot = zlib.crc32(f"{place} {name}".encode()) % int(slots[leaf])
+                    rows += [(leaf, n, slot, 0, place, None, None, name, np.concatenate([box, e.ravel()])) for n in range(blocks[leaf])]
+                    if len(rows) > 500:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows), wire)], schema=wire)
+                        rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows), wire)], schema=wire)
 
-    key, order, geometry = region_cols
-    pieces = regions.select(F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("order"), F.col(geometry).alias("geometry")).mapInArrow(deal, ddl)
-    number = _table(spark, "leaf blocks", np.stack([used, blocks], 1))
-    placed = _with_leaf(a, leaves).join(_small(number, len(used)), "leaf")
-    placed = placed.select("leaf", F.pmod(F.xxhash64("id", "lat", "lng"), F.col("blocks")).alias("block"), F.lit(1).alias("side"), "id", "lat", "lng", F.lit(None).cast("string").alias("key"), F.lit(None).cast("array<double>").alias("edges"))
-    schema = pa.schema([("id", pa.int64()), ("region_key", pa.string())])
+    def deal_points(batches):
+        starts, blocks, slots = tasks.value
+        for batch in batches:
+            cell, ids, lat, lng = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            leaf = np.searchsorted(starts, _morton(cell), "right") - 1
+            block = (_mixed(ids, lat, lng) % blocks[leaf].astype(np.uint64)).astype(np.int64)
+            which, slot = _spread_rows(slots[leaf])
+            for s in range(0, len(which), 100_000):
+                w = which[s : s + 100_000]
+                arrays = [leaf[w], block[w], slot[s : s + 100_000], np.ones(len(w), np.int32), ids[w], lat[w], lng[w]]
+                columns = [pa.array(x, f.type) for x, f in zip(arrays, wire)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(w), pa.string()), pa.nulls(len(w), wire.field("edges").type)], schema=wire)
+
+    pieces = known.mapInArrow(deal_regions, ddl)
+    placed = a.select(_cell(F.col("lat"), F.col("lng")), "id", "lat", "lng").mapInArrow(deal_points, ddl)
+    schema = pa.schema([("id", pa.int64()), ("lat", pa.float64()), ("lng", pa.float64()), ("slot", pa.int64()), ("order", pa.int64()), ("region_key", pa.string())])
 
     def run(batches):
-        for leaf, block, side, ids, lat, lng, keys, edges in _groups(batches, 2):
+        for leaf, block, slot, side, ids, lat, lng, keys, edges in _groups(batches, 3):
             r, p = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(r) or not len(p):
                 continue
             shapes = [np.asarray(edges[k], float) for k in r]
             found = _contain(lat[p], lng[p], np.array([s[:4] for s in shapes]), [s[4:].reshape(-1, 4) for s in shapes], ids[r])
-            ok = found >= 0
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[p][ok]), pa.array(keys[r[found[ok]]], pa.string())], schema=schema)
+            ok = np.flatnonzero(found >= 0)
+            if len(ok):
+                at, region = p[ok], r[found[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids[at], lat[at], lng[at], slot[at], ids[region], keys[region]), schema)], schema=schema)
 
-    return (
+    found = (
         pieces.unionByName(placed)
-        .repartition(_width(spark, int(blocks.sum())), "leaf", "block")
-        .sortWithinPartitions("leaf", "block", "side")
-        .mapInArrow(run, "id bigint, region_key string")
+        .repartition(_width(spark, int((blocks[used] * slots[used]).sum())), "leaf", "block", "slot")
+        .sortWithinPartitions("leaf", "block", "slot", "side")
+        .mapInArrow(run, "id bigint, lat double, lng double, slot bigint, order bigint, region_key string")
     )
+    if slots.max() == 1:
+        return found.select("id", "region_key")
+    # Where the regions of a leaf fill several slots, a point has an answer from each; equal rows have as many answers each.
+    by_slot = found.groupBy("id", "lat", "lng", "slot").agg(F.count("*").alias("n"), F.min(F.struct("order", "region_key")).alias("b"))
+    best = by_slot.groupBy("id", "lat", "lng").agg(F.max("n").alias("n"), F.min("b").alias("b"))
+    return best.select("id", F.col("b.region_key").alias("region_key"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).drop("col")
+
+
+def _meeting(batch: pa.RecordBatch, used: np.ndarray, boxes: np.ndarray) -> Iterator[tuple]:
+    """(key, order, box, positions of the leaves whose points it may hold, its edges for each) of every region of a batch."""
+    for key, order, geometry in zip(*(c.to_pylist() for c in batch.columns)):
+        e = _edges(geometry)
+        if not len(e):
+            continue
+        lo, hi = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
+        box = np.concatenate([lo.min(0), hi.max(0)])
+        hits = np.flatnonzero((boxes[:, 0] <= box[2]) & (boxes[:, 2] >= box[0]) & (boxes[:, 1] <= box[3]) & (boxes[:, 3] >= box[1]))
+        # A ray to the east only meets edges at the leaf's heights that are not all to its west.
+        kept = [e[(lo[:, 1] <= boxes[k, 3]) & (hi[:, 1] >= boxes[k, 1]) & (hi[:, 0] >= boxes[k, 0])] for k in hits]
+        some = np.array([k for k, x in enumerate(kept) if len(x)], int)
+        yield key, order if order is not None else 2**62, box, hits[some], [kept[k] for k in some]
