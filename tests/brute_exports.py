@@ -9,19 +9,22 @@ def get(o, *names):
     return next((o[n] for n in names if isinstance(o, dict) and o.get(n) is not None), None)
 
 
-def segments(o):
-    if isinstance(o, list):
-        return o
+def held(o):
     if isinstance(o, dict):
         for n in ("semanticSegments", "semantic_segments"):
             if n in o:
-                return o[n]
-        for v in o.values():
-            if isinstance(v, dict) and segments(v) is not None:
-                return segments(v)
+                return [o[n]]
+    for v in o.values() if isinstance(o, dict) else o if isinstance(o, list) else ():
+        if found := held(v):
+            return found
     return None
 
 
+def segments(o):
+    found = held(o)
+    return found[0] if found else o if isinstance(o, list) else None
+
+
 def rows(payload):
     try:
         o = payload
