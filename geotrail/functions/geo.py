@@ -48,30 +48,53 @@ def _edges(ring: Column) -> Column:
     return F.arrays_zip(ring.alias("p"), nxt.alias("q"))
 
 
-def contains(geometry: Column, lat: Column, lng: Column) -> Column:
-    """Whether a multi-polygon (array<polygon<ring<[lng, lat]>>>) contains a point, by the even-odd rule over all rings."""
+def _meets(ring: Column, lat: Column, lng: Column) -> tuple[Column, Column]:
+    """(number of the ring's edges that a ray to the east crosses, whether the point lies on an edge)."""
+
+    def turn(e: Column) -> Column:
+        return (e["q"][0] - e["p"][0]) * (lat - e["p"][1]) - (lng - e["p"][0]) * (e["q"][1] - e["p"][1])
 
     def crossing(e: Column) -> Column:
-        x1, y1, x2, y2 = e["p"][0], e["p"][1], e["q"][0], e["q"][1]
-        return ((y1 > lat) != (y2 > lat)) & (lng < (x2 - x1) * (lat - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
+        return ((e["p"][1] > lat) != (e["q"][1] > lat)) & ((turn(e) > 0) == (e["q"][1] > e["p"][1]))
 
-    flips = F.transform(F.flatten(geometry), lambda ring: F.size(F.filter(_edges(ring), crossing)))
-    return F.aggregate(flips, F.lit(0), lambda s, n: s + n) % 2 == 1
+    def on(e: Column) -> Column:
+        between = lambda v, k: (F.least(e["p"][k], e["q"][k]) <= v) & (v <= F.greatest(e["p"][k], e["q"][k]))
+        return (turn(e) == 0) & between(lng, 0) & between(lat, 1)
 
+    edges = _edges(ring)
+    return F.size(F.filter(edges, crossing)), F.exists(edges, on)
 
-def edge_distance_m(geometry: Column, lat: Column, lng: Column) -> Column:
-    """Least metres from a point to an edge, on a plane scaled at the point's latitude (110,540 m and 111,320 m a degree)."""
+
+def contains(geometry: Column, lat: Column, lng: Column) -> Column:
+    """Whether a multi-polygon (array<polygon<ring<[lng, lat]>>>) contains a point, by the even-odd rule over all rings; borders belong to it."""
+    rings = F.flatten(geometry)
+    flips = F.aggregate(F.transform(rings, lambda r: _meets(r, lat, lng)[0]), F.lit(0), lambda s, n: s + n)
+    return (flips % 2 == 1) | F.exists(rings, lambda r: _meets(r, lat, lng)[1])
+
+
+def outline_contains(geometry: Column, lat: Column, lng: Column) -> Column:
+    """The same by the outer rings alone; holes do not count."""
+
+    def inside(polygon: Column) -> Column:
+        n, on = _meets(polygon[0], lat, lng)
+        return (n % 2 == 1) | on
+
+    return F.exists(geometry, inside)
+
+
+def segment_distance_m(lat: Column, lng: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Metres from a point to an edge, on a plane scaled at the point's latitude (110,540 m and 111,320 m a degree)."""
     kx, ky = F.cos(F.radians(lat)) * 111_320.0, F.lit(110_540.0)
+    ax, ay, bx, by = (x1 - lng) * kx, (y1 - lat) * ky, (x2 - lng) * kx, (y2 - lat) * ky
+    dx, dy = bx - ax, by - ay
+    size = dx * dx + dy * dy
+    t = F.when(size == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.nullif(size, F.lit(0.0)))))
+    return F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
 
-    def one(e: Column) -> Column:
-        ax, ay = (e["p"][0] - lng) * kx, (e["p"][1] - lat) * ky
-        bx, by = (e["q"][0] - lng) * kx, (e["q"][1] - lat) * ky
-        dx, dy = bx - ax, by - ay
-        size = dx * dx + dy * dy
-        t = F.when(size == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / size)))
-        px, py = ax + t * dx, ay + t * dy
-        return F.sqrt(px * px + py * py)
 
+def edge_distance_m(geometry: Column, lat: Column, lng: Column) -> Column:
+    """Least metres from a point to an edge of a multi-polygon."""
+    one = lambda e: segment_distance_m(lat, lng, e["p"][0], e["p"][1], e["q"][0], e["q"][1])
     return F.array_min(F.transform(F.flatten(F.transform(F.flatten(geometry), _edges)), one))
 
 

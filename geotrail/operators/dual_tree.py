@@ -535,12 +535,23 @@ def containment_join(points: DataFrame, regions: DataFrame, *, point_cols=("id",
     side is ever broadcast; the regions of a leaf fill slots of about ``task_edges`` edges, and its points go to each. Rows with nulls or places out of range, regions without geometry or key, and
     points in no region give nothing; equal rows each count; empty tables give none; other columns do not matter.
     """
+    found = _contained(points, regions, point_cols, region_cols, leaf_points, task_edges)
+    return found.select("id", "region_key")
+
+
+def contained_spots(points: DataFrame, regions: DataFrame, *, point_cols=("id", "lat", "lng"), region_cols=("key", "order", "geometry"), leaf_points: int = 40_000) -> DataFrame:
+    """The same with the place instead of the id, under the names of its columns."""
+    found = _contained(points, regions, point_cols, region_cols, leaf_points, TASK_EDGES)
+    return found.select(F.col("lat").alias(point_cols[1]), F.col("lng").alias(point_cols[2]), "region_key")
+
+
+def _contained(points: DataFrame, regions: DataFrame, point_cols, region_cols, leaf_points: int, task_edges: int) -> DataFrame:
     spark = points.sparkSession
     a = located_points(points, *point_cols)
     leaves = quad_leaves(cell_summaries([a]), 1, leaf_points)
     used = np.flatnonzero(leaves.count[:, 0] > 0)
     if not len(used):
-        return spark.createDataFrame([], "id bigint, region_key string")
+        return spark.createDataFrame([], "id bigint, lat double, lng double, region_key string")
     # low and high hold x, y, z, lat, lng
     boxes = np.stack([leaves.low[used, 0, 4], leaves.low[used, 0, 3], leaves.high[used, 0, 4], leaves.high[used, 0, 3]], 1)
     shapes = spark.sparkContext.broadcast((used, boxes))
@@ -620,11 +631,11 @@ def containment_join(points: DataFrame, regions: DataFrame, *, point_cols=("id",
         .mapInArrow(run, "id bigint, lat double, lng double, slot bigint, order bigint, region_key string")
     )
     if slots.max() == 1:
-        return found.select("id", "region_key")
+        return found.select("id", "lat", "lng", "region_key")
     # Where the regions of a leaf fill several slots, a point has an answer from each; equal rows have as many answers each.
     by_slot = found.groupBy("id", "lat", "lng", "slot").agg(F.count("*").alias("n"), F.min(F.struct("order", "region_key")).alias("b"))
     best = by_slot.groupBy("id", "lat", "lng").agg(F.max("n").alias("n"), F.min("b").alias("b"))
-    return best.select("id", F.col("b.region_key").alias("region_key"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).drop("col")
+    return best.select("id", "lat", "lng", F.col("b.region_key").alias("region_key"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).drop("col")
 
 
 def _meeting(batch: pa.RecordBatch, used: np.ndarray, boxes: np.ndarray) -> Iterator[tuple]:

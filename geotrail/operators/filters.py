@@ -5,51 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.functions.geo import haversine_m
+from geotrail.functions.geo import EARTH_M, haversine_m
 
 #: Fixed value: the radius around a home or workplace that privacy hides, in metres.
 PRIVACY_RADIUS_M = 1000.0
-_CELL = 0.05
+_LEAST_CELL_M, _ANY_CELL_M = 100.0, 5_500.0
 
 
-def _cell(value: Column) -> Column:
-    return F.floor(value / F.lit(_CELL)).cast("int")
+def _rings(radius: float | Column) -> int:
+    """How many grid cells go round the globe: of twice the radius where it is one number, of a few kilometres where rows have their own."""
+    return int(40_000_000 / (_ANY_CELL_M if isinstance(radius, Column) else max(2 * radius, _LEAST_CELL_M))) or 1
 
 
-def _covered_cells(centres: DataFrame, lat: str, lng: str, radius: Column, keep: list[str]) -> DataFrame:
-    """One row for every grid cell that a circle may touch."""
-    dlat = radius / 110_000.0
-    dlng = radius / (110_000.0 * F.greatest(F.cos(F.radians(F.abs(F.col(lat)) + dlat)), F.lit(0.01)))
-    rows = lambda v, d: F.sequence(_cell(F.col(v) - d), _cell(F.col(v) + d))
-    out = centres.where(F.col(lat).isNotNull() & F.col(lng).isNotNull())
-    out = out.select(F.col(lat).alias("__clat"), F.col(lng).alias("__clng"), radius.alias("__r"), *[F.col(k).alias(f"__k_{k}") for k in keep], F.explode(rows(lat, dlat)).alias("__cy"), rows(lng, dlng).alias("__xs"))
-    return out.withColumn("__cx", F.explode("__xs")).drop("__xs")
+def _cell(value: Column, rings: int) -> Column:
+    return F.floor(value / 360 * rings).cast("int")
 
 
-def near_any(df: DataFrame, lat: str, lng: str, centres: DataFrame, centre_lat: str, centre_lng: str, radius: Column, *, by: tuple[str, ...] = (), keep_near: bool) -> DataFrame:
+def _at(lat: Column, lng: Column, rings: int) -> tuple[Column, Column]:
+    """Row and column of a place; columns go round the globe."""
+    return _cell(lat, rings), F.pmod(_cell(lng, rings), F.lit(rings))
+
+
+def _covered_cells(centres: DataFrame, lat: str, lng: str, radius: float | Column, keep: list[str]) -> DataFrame:
+    """One row for every grid cell that a circle may touch, also across the 180th meridian and the poles."""
+    rings = _rings(radius)
+    r = radius if isinstance(radius, Column) else F.lit(float(radius))
+    angle = r / EARTH_M
+    dlat = F.degrees(angle) * 1.000001 + 1e-9
+    spread = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(angle) / F.cos(F.radians(lat))))) * 1.000001 + 1e-9
+    dlng = F.when(F.abs(lat) + dlat >= 90, F.lit(180.0)).otherwise(spread)
+    out = centres.where(F.col(lat).isNotNull() & F.col(lng).isNotNull() & (r >= 0))
+    out = out.select(F.col(lat).alias("__clat"), F.col(lng).alias("__clng"), r.alias("__r"), *[F.col(k).alias(f"__k_{k}") for k in keep], dlat.alias("__dy"), dlng.alias("__dx"))
+    first = _cell(F.col("__clng") - F.col("__dx"), rings)
+    last = F.least(_cell(F.col("__clng") + F.col("__dx"), rings), first + rings - 1)
+    out = out.select("*", F.explode(F.sequence(_cell(F.col("__clat") - F.col("__dy"), rings), _cell(F.col("__clat") + F.col("__dy"), rings))).alias("__cy"), F.sequence(first, last).alias("__xs"))
+    return out.select("*", F.explode("__xs").alias("__x")).withColumn("__cx", F.pmod("__x", F.lit(rings))).drop("__xs", "__x", "__dy", "__dx")
+
+
+def _met(lat: str, lng: str, radius: float | Column, by: tuple[str, ...]) -> Column:
+    """The condition of a join with ``_covered_cells``: equal cells, equal ``by`` columns, and the distance itself."""
+    cy, cx = _at(F.col(lat), F.col(lng), _rings(radius))
+    on = (cy == F.col("__cy")) & (cx == F.col("__cx"))
+    for b in by:
+        on = on & (F.col(b) == F.col(f"__k_{b}"))
+    return on & (haversine_m(F.col(lat), F.col(lng), F.col("__clat"), F.col("__clng")) <= F.col("__r"))
+
+
+def near_any(df: DataFrame, lat: str, lng: str, centres: DataFrame, centre_lat: str, centre_lng: str, radius: float | Column, *, by: tuple[str, ...] = (), keep_near: bool) -> DataFrame:
     """Rows that lie (``keep_near``) or do not lie within ``radius`` of any centre; the edge counts as near, null places as far.
 
-    An equi-join on grid cells with the exact distance as residual condition, so neither side needs to be small.
+    An equi-join on grid cells of about the radius with the exact distance as residual condition, so neither side needs to be small; a
+    crowded cell of ``df`` is split by adaptive execution, as its rows need not stay together.
     """
     cells = _covered_cells(centres, centre_lat, centre_lng, radius, list(by))
-    on = (_cell(F.col(lat)) == F.col("__cy")) & (_cell(F.col(lng)) == F.col("__cx"))
-    for b in by:
-        on = on & (F.col(b) == F.col(f"__k_{b}"))
-    on = on & (haversine_m(F.col(lat), F.col(lng), F.col("__clat"), F.col("__clng")) <= F.col("__r"))
-    return df.join(cells, on, "left_semi" if keep_near else "left_anti")
+    return df.join(cells, _met(lat, lng, radius, by), "left_semi" if keep_near else "left_anti")
 
 
-def near_keys(df: DataFrame, lat: str, lng: str, centres: DataFrame, centre_lat: str, centre_lng: str, radius: Column, *, by: tuple[str, ...] = (), key: str) -> DataFrame:
+def near_keys(df: DataFrame, lat: str, lng: str, centres: DataFrame, centre_lat: str, centre_lng: str, radius: float | Column, *, by: tuple[str, ...] = (), key: str) -> DataFrame:
     """Rows with the ``key`` of each centre they lie within ``radius`` of, one row per centre; the edge counts as near, null places as far."""
     cells = _covered_cells(centres, centre_lat, centre_lng, radius, [*by, key])
-    on = (_cell(F.col(lat)) == F.col("__cy")) & (_cell(F.col(lng)) == F.col("__cx"))
-    for b in by:
-        on = on & (F.col(b) == F.col(f"__k_{b}"))
-    on = on & (haversine_m(F.col(lat), F.col(lng), F.col("__clat"), F.col("__clng")) <= F.col("__r"))
-    return df.join(cells, on).select(*df.columns, F.col(f"__k_{key}").alias(key))
+    return df.join(cells, _met(lat, lng, radius, by)).select(*df.columns, F.col(f"__k_{key}").alias(key))
 
 
-def flag_near(df: DataFrame, lat: str, lng: str, centres: DataFrame, centre_lat: str, centre_lng: str, radius: Column, flag: str) -> DataFrame:
+def flag_near(df: DataFrame, lat: str, lng: str, centres: DataFrame, centre_lat: str, centre_lng: str, radius: float | Column, flag: str) -> DataFrame:
     """``df`` with a boolean column instead of a filter; each distinct place is tested once."""
     places = df.select(F.col(lat).alias("__la"), F.col(lng).alias("__ln")).where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).distinct()
     near = near_any(places, "__la", "__ln", centres, centre_lat, centre_lng, radius, keep_near=True).withColumn("__hit", F.lit(True))
@@ -61,7 +79,7 @@ def apply_privacy(df: DataFrame, homes: DataFrame, places: list[tuple[str, str]]
     """Rows none of whose ``places`` (pairs of latitude and longitude columns) is near a home or workplace of their subject."""
     labelled = homes.where(F.col("label").isin("HOME", "WORK"))
     for lat, lng in places:
-        df = near_any(df, lat, lng, labelled, "home_lat", "home_lng", F.lit(PRIVACY_RADIUS_M), by=("subject_id",), keep_near=False)
+        df = near_any(df, lat, lng, labelled, "home_lat", "home_lng", PRIVACY_RADIUS_M, by=("subject_id",), keep_near=False)
     return df
 
 

@@ -82,13 +82,13 @@ def estimate_places(photos: DataFrame, stays: DataFrame, samples: DataFrame) ->
 
 def photos_near_stays(photos: DataFrame, stays: DataFrame, threshold_m: float) -> DataFrame:
     """Photos within the threshold of any of the stays of their subject."""
-    return near_any(photos, "lat", "lng", stays.select("subject_id", "lat", "lng").distinct(), "lat", "lng", F.lit(threshold_m), by=("subject_id",), keep_near=True)
+    return near_any(photos, "lat", "lng", stays.select("subject_id", "lat", "lng").distinct(), "lat", "lng", threshold_m, by=("subject_id",), keep_near=True)
 
 
 def photos_by_place(photos: DataFrame, stays: DataFrame, threshold_m: float) -> DataFrame:
     """``cluster_id, photo_idx``: for every place the photos of its subject within the threshold of any of its stays."""
     spots = stays.select("subject_id", "cluster_id", "lat", "lng").distinct()
-    return near_keys(photos, "lat", "lng", spots, "lat", "lng", F.lit(threshold_m), by=("subject_id",), key="cluster_id").select("cluster_id", "photo_idx").distinct()
+    return near_keys(photos, "lat", "lng", spots, "lat", "lng", threshold_m, by=("subject_id",), key="cluster_id").select("cluster_id", "photo_idx").distinct()
 
 
 def photo_summary(photos: DataFrame) -> DataFrame:

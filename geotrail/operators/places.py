@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geotrail.functions.geo import destination, flat_bearing, haversine_m
-from geotrail.operators.filters import _cell, _covered_cells, near_any
+from geotrail.operators.dual_tree import _groups
+from geotrail.operators.dual_tree import haversine_m as sphere_m
+from geotrail.operators.filters import _covered_cells, _met, near_any
+from geotrail.session import ensure_checkpoint_dir
 
 #: Fixed values in metres: a bookmark's reach, a photo's reach of a pin and where it is then drawn, suggestions near a home.
 BOOKMARK_M, NUDGE_M, NUDGED_M, SUGGEST_M = 200.0, 15.0, 10.0, 300.0
@@ -20,21 +27,68 @@ WAYFINDING = "(改札口?|出口|入口|連絡通路|地下通路|連絡橋|コ
 
 def pairs_within(left: DataFrame, right: DataFrame, radius: float, left_cols: tuple[str, str], right_cols: tuple[str, str], by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs at most ``radius`` metres apart, with ``away_m``, by an equi-join on grid cells; columns of the right side must differ."""
-    cells = _covered_cells(right.withColumn("__all", F.struct("*")), *right_cols, F.lit(radius), ["__all", *by])
-    on = (_cell(F.col(left_cols[0])) == F.col("__cy")) & (_cell(F.col(left_cols[1])) == F.col("__cx"))
-    for b in by:
-        on = on & (F.col(b) == F.col(f"__k_{b}"))
-    d = haversine_m(F.col(left_cols[0]), F.col(left_cols[1]), F.col("__clat"), F.col("__clng"))
+    cells = _covered_cells(right.withColumn("__all", F.struct("*")), *right_cols, radius, ["__all", *by])
     rest = [c for c in right.columns if c not in by]
-    return left.join(cells, on).withColumn("away_m", d).where(F.col("away_m") <= radius).select(*left.columns, *[F.col(f"__k___all.{c}").alias(c) for c in rest], "away_m")
+    d = haversine_m(F.col(left_cols[0]), F.col(left_cols[1]), F.col("__clat"), F.col("__clng"))
+    return left.join(cells, _met(*left_cols, radius, by)).select(*left.columns, *[F.col(f"__k___all.{c}").alias(c) for c in rest], d.alias("away_m"))
+
+
+#: Subjects of at most so many places are compared within one task; nearest places of the others are sought in growing circles.
+FEW_PLACES = 2_000
+_FIRST_REACH_M, _HALF_ROUND_M = 200.0, 20_100_000.0
+_NEAR = "subject_id bigint, cluster_id bigint, rank int, near_id bigint, away_m double"
+
 
+def _nearest_of_few(k: int):
+    """Nearest places within each subject of a sorted partition, a few thousand rows at most for one of them."""
 
-def nearest_places(places: DataFrame, k: int = 5, reach_m: float = 5000.0) -> DataFrame:
-    """For each place the ``k`` nearest other places of its subject within reach, nearest first."""
-    other = places.select("subject_id", F.col("cluster_id").alias("near_id"), F.col("lat").alias("near_lat"), F.col("lng").alias("near_lng"))
-    pairs = pairs_within(places, other, reach_m, ("lat", "lng"), ("near_lat", "near_lng"), ("subject_id",)).where("cluster_id <> near_id")
-    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.round("away_m", 3), "near_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("subject_id", "cluster_id", "rank", "near_id", F.round("away_m", 3).alias("away_m"))
+    def run(batches):
+        for subject, ids, lat, lng in _groups(batches, 1):
+            n = len(ids)
+            for s in range(0, n, 256):
+                part = slice(s, min(s + 256, n))
+                d = np.round(sphere_m(lat[part, None], lng[part, None], lat[None], lng[None]), 3)
+                d[np.arange(d.shape[0]), np.arange(part.start, part.stop)] = np.inf
+                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, : min(k, n - 1)]
+                m, width = order.shape
+                if width:
+                    columns = [np.repeat(subject[part], width), np.repeat(ids[part], width), np.tile(np.arange(1, width + 1, dtype=np.int32), m), ids[order].ravel(), np.take_along_axis(d, order, 1).ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["subject_id", "cluster_id", "rank", "near_id", "away_m"])
+
+    return run
+
+
+def nearest_places(places: DataFrame, k: int = 5) -> DataFrame:
+    """For each place (``subject_id, cluster_id, lat, lng``) the ``k`` nearest other places of its subject however far, nearest first, by
+    millimetres and then id.
+
+    Subjects with few places are compared within one task. For the places of the others circles of four times the radius are drawn
+    until each holds ``k`` others, so crowded places, whose circles stay small, make few pairs.
+    """
+    ensure_checkpoint_dir(places.sparkSession)
+    places = places.select(F.col("subject_id").cast("bigint").alias("subject_id"), F.col("cluster_id").cast("bigint").alias("cluster_id"), "lat", "lng").where("lat IS NOT NULL AND lng IS NOT NULL").checkpoint()
+    many = places.groupBy("subject_id").agg(F.count("*").alias("n")).where(F.col("n") > FEW_PLACES).select("subject_id").checkpoint()
+    few = places.join(many, "subject_id", "left_anti").repartition("subject_id").sortWithinPartitions("subject_id").mapInArrow(_nearest_of_few(k), _NEAR)
+    if many.isEmpty():
+        return few
+    crowd = places.join(many, "subject_id", "left_semi").checkpoint()
+    other = crowd.select("subject_id", F.col("cluster_id").alias("near_id"), F.col("lat").alias("near_lat"), F.col("lng").alias("near_lng"))
+    found, open_, reach = [few], crowd, _FIRST_REACH_M
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("away_m", "near_id"))
+    while True:
+        last = reach >= _HALF_ROUND_M
+        pairs = pairs_within(open_, other, reach, ("lat", "lng"), ("near_lat", "near_lng"), ("subject_id",)).where("cluster_id <> near_id")
+        ranked = pairs.select("subject_id", "cluster_id", "near_id", F.round("away_m", 3).alias("away_m")).withColumn("rank", rank).where(F.col("rank") <= k).select("subject_id", "cluster_id", "rank", "near_id", "away_m")
+        if last:
+            return reduce(DataFrame.unionByName, [*found, ranked])
+        ranked = ranked.checkpoint()
+        # A circle that is full holds the nearest; a place whose last one lies at the very edge may have an equal just outside.
+        full = ranked.where((F.col("rank") == k) & (F.col("away_m") < reach - 0.001)).select(F.col("cluster_id").alias("full_id"))
+        found.append(ranked.join(full, F.col("cluster_id") == F.col("full_id"), "left_semi"))
+        open_ = open_.join(full, F.col("cluster_id") == F.col("full_id"), "left_anti").checkpoint()
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        reach *= 4
 
 
 def suggestions(homes: DataFrame, ranking: DataFrame, zones: DataFrame, top: int = 10) -> DataFrame:
@@ -46,7 +100,7 @@ def suggestions(homes: DataFrame, ranking: DataFrame, zones: DataFrame, top: int
     rank = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc("visits"), "cluster_id"))
     t = ranking.withColumn("rank", rank).where(F.col("rank") <= top)
     t = near_any(t, "lat", "lng", zones, "zone_lat", "zone_lng", F.col("radius_m"), keep_near=False)
-    t = near_any(t, "lat", "lng", h, "home_lat", "home_lng", F.lit(SUGGEST_M), by=("subject_id",), keep_near=False)
+    t = near_any(t, "lat", "lng", h, "home_lat", "home_lng", SUGGEST_M, by=("subject_id",), keep_near=False)
     return h.select("subject_id", F.col("label").alias("kind"), F.lit(None).cast("bigint").alias("cluster_id"), F.col("home_lat").alias("lat"), F.col("home_lng").alias("lng")).unionByName(
         t.select("subject_id", F.lit("PLACE").alias("kind"), "cluster_id", "lat", "lng")
     )

@@ -5,48 +5,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.functions.geo import bounds, contains, edge_distance_m, haversine_m, ring_area
+from geotrail.functions.geo import bounds, haversine_m, ring_area, segment_distance_m
+from geotrail.operators.dual_tree import contained_spots
+from geotrail.session import ensure_checkpoint_dir
 
 #: Fixed value: how far outside every region a place may lie and still belong to the nearest, in metres.
 NEAREST_M = 3000.0
-_CELL = 0.25
+_CELL = 0.05
 
 
 def _cells(low: Column, high: Column) -> Column:
     return F.sequence(F.floor(low / F.lit(_CELL)).cast("int"), F.floor(high / F.lit(_CELL)).cast("int"))
 
 
-def _region_cells(regions: DataFrame, margin_m: float) -> DataFrame:
-    """A row for every grid cell near a region, found by its box."""
-    r = regions.select("code", "pref_code", "feature_idx", "geometry", bounds(F.col("geometry")).alias("box"))
-    dy = margin_m / 110_000.0
-    dx = dy / F.greatest(F.cos(F.radians(F.greatest(F.abs("box.min_lat"), F.abs("box.max_lat")) + dy)), F.lit(0.01))
-    r = r.select("*", F.explode(_cells(F.col("box.min_lat") - dy, F.col("box.max_lat") + dy)).alias("cy"), _cells(F.col("box.min_lng") - dx, F.col("box.max_lng") + dx).alias("xs"))
-    return r.select("*", F.explode("xs").alias("cx")).drop("xs")
+def edge_cells(regions: DataFrame, margin_m: float) -> DataFrame:
+    """``code, pref_code, feature_idx, x1, y1, x2, y2, cy, cx``: every edge of the regions, once for each grid cell within the margin of its box."""
+    ring = regions.select("code", "pref_code", "feature_idx", F.explode(F.flatten("geometry")).alias("ring")).where(F.size("ring") > 1)
+    turned = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
+    e = ring.select("code", "pref_code", "feature_idx", F.explode(F.arrays_zip(F.col("ring").alias("p"), turned.alias("q"))).alias("e"))
+    e = e.select("code", "pref_code", "feature_idx", F.col("e.p")[0].alias("x1"), F.col("e.p")[1].alias("y1"), F.col("e.q")[0].alias("x2"), F.col("e.q")[1].alias("y2"))
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    dy = margin_m / 110_540.0 * 1.000001
+    dx = margin_m / 111_320.0 * 1.000001 / F.greatest(F.cos(F.radians(F.least(F.lit(89.9), F.greatest(F.abs(low), F.abs(high)) + dy))), F.lit(0.001))
+    e = e.select("*", F.explode(_cells(low - dy, high + dy)).alias("cy"), _cells(F.least("x1", "x2") - dx, F.greatest("x1", "x2") + dx).alias("xs"))
+    return e.select("*", F.explode("xs").alias("cx")).drop("xs")
 
 
 def locate(points: DataFrame, regions: DataFrame, lat: str = "lat", lng: str = "lng", nearest_m: float = NEAREST_M, prefectures: DataFrame | None = None) -> DataFrame:
-    """``points`` with ``code``, ``pref_code`` and ``how``: the first region in file order that contains the place; else the nearest
-    within ``nearest_m`` (of equally near ones the later); else, without a code, the first of ``prefectures`` (``code, feature_idx,
-    geometry``) that contains it; else nulls and 0.
+    """``points`` with ``code``, ``pref_code``, ``how`` and ``away_m``: the first region in file order that contains the place, borders
+    included; else the nearest within ``nearest_m`` (of equally near ones the later); else, without a code, the first of ``prefectures``
+    (``code, feature_idx, geometry``) that contains it; else nulls and 0.
 
-    Each distinct place is looked up once; places and regions meet in an equi-join on grid cells.
+    Each distinct place is looked up once: by the dual-tree containment join, then against single edges in small grid cells.
     """
-    spots = points.select(F.col(lat).alias("la"), F.col(lng).alias("ln")).where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).distinct()
+    ensure_checkpoint_dir(points.sparkSession)
+    spots = points.select(F.col(lat).cast("double").alias("la"), F.col(lng).cast("double").alias("ln")).where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).distinct()
+    spots = spots.select("la", "ln", F.lit(0).cast("bigint").alias("id")).checkpoint()
+    codes = regions.select(F.col("code").alias("r_code"), F.col("pref_code").cast("int").alias("pref_code"), "feature_idx")
+
+    def within(rest: DataFrame, shapes: DataFrame) -> DataFrame:
+        return contained_spots(rest, shapes.select(F.col("feature_idx").cast("string").alias("key"), "feature_idx", "geometry"), point_cols=("id", "la", "ln"), region_cols=("key", "feature_idx", "geometry"))
+
+    answer = lambda code, pref, how, away: F.struct(code.alias("code"), pref.cast("int").alias("pref_code"), F.lit(how).alias("how"), away.cast("double").alias("away_m")).alias("b")
+    none = F.lit(None).cast("string")
+    inside = within(spots, regions).join(codes, F.col("region_key") == F.col("feature_idx").cast("string"))
+    found = inside.select("la", "ln", answer(F.col("r_code"), F.col("pref_code"), "inside", F.lit(0.0))).checkpoint()
+    rest = spots.join(found, ["la", "ln"], "left_anti")
     cell = lambda c: F.floor(F.col(c) / F.lit(_CELL)).cast("int")
-    near = spots.withColumn("cy", cell("la")).withColumn("cx", cell("ln")).join(_region_cells(regions, nearest_m), ["cy", "cx"])
-    near = near.withColumn("inside", contains(F.col("geometry"), F.col("la"), F.col("ln")))
-    near = near.withColumn("away", F.when(F.col("inside"), F.lit(0.0)).otherwise(edge_distance_m(F.col("geometry"), F.col("la"), F.col("ln"))))
-    best = F.min(F.struct((~F.col("inside")).alias("out"), F.round("away", 6).alias("away"), F.when(F.col("inside"), F.col("feature_idx")).otherwise(-F.col("feature_idx")).alias("o"), "code", "pref_code"))
-    found = near.where(F.col("inside") | (F.col("away") <= nearest_m)).groupBy("la", "ln").agg(best.alias("b"))
+    near = rest.withColumn("cy", cell("la")).withColumn("cx", cell("ln")).join(edge_cells(regions, nearest_m), ["cy", "cx"])
+    near = near.select("la", "ln", "code", "pref_code", "feature_idx", segment_distance_m(*(F.col(c) for c in ("la", "ln", "x1", "y1", "x2", "y2"))).alias("away")).where(F.col("away") <= nearest_m)
+    best = near.groupBy("la", "ln").agg(F.min(F.struct(F.round("away", 6).alias("away"), (-F.col("feature_idx")).alias("o"), "code", "pref_code")).alias("n"))
+    found = found.unionByName(best.select("la", "ln", answer(F.col("n.code"), F.col("n.pref_code"), "nearest", F.col("n.away"))))
     if prefectures is not None:
-        shapes = prefectures.select(F.lit(None).cast(regions.schema["code"].dataType).alias("code"), F.col("code").cast(regions.schema["pref_code"].dataType).alias("pref_code"), "feature_idx", "geometry")
-        rest = spots.join(found, ["la", "ln"], "left_anti").withColumn("cy", cell("la")).withColumn("cx", cell("ln")).join(_region_cells(shapes, 0.0), ["cy", "cx"])
-        first = F.min_by(F.struct(F.lit(None).cast("boolean").alias("out"), F.lit(None).cast("double").alias("away"), F.col("feature_idx").alias("o"), "code", "pref_code"), F.col("feature_idx"))
-        found = found.unionByName(rest.where(contains(F.col("geometry"), F.col("la"), F.col("ln"))).groupBy("la", "ln").agg(first.alias("b")))
+        found = found.checkpoint()
+        rest = spots.join(found, ["la", "ln"], "left_anti").checkpoint()
+        names = prefectures.select(F.col("code").alias("p_code"), "feature_idx")
+        held = within(rest, prefectures).join(names, F.col("region_key") == F.col("feature_idx").cast("string"))
+        found = found.unionByName(held.select("la", "ln", answer(none, F.col("p_code"), "prefecture", F.lit(None))))
     out = points.join(found, (F.col(lat) == F.col("la")) & (F.col(lng) == F.col("ln")), "left")
-    how = F.when(F.col("b").isNull(), "none").when(F.col("b.out").isNull(), "prefecture").when(F.col("b.out"), "nearest").otherwise("inside")
-    return out.select(*points.columns, F.col("b.code").alias("code"), F.coalesce(F.col("b.pref_code"), F.lit(0)).alias("pref_code"), how.alias("how"), F.round("b.away", 3).alias("away_m"))
+    return out.select(*points.columns, F.col("b.code").alias("code"), F.coalesce(F.col("b.pref_code"), F.lit(0)).alias("pref_code"), F.coalesce("b.how", F.lit("none")).alias("how"), F.round("b.away_m", 3).alias("away_m"))
+
+
+def first_outline(points: DataFrame, regions: DataFrame, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """``points`` with ``code`` of the first region whose outer rings contain it, holes not counting; null for none."""
+    shells = regions.select("code", "feature_idx", F.transform("geometry", lambda polygon: F.slice(polygon, 1, 1)).alias("geometry"))
+    # Outer rings that overlap would cancel each other under the even-odd rule; each becomes a region of its own.
+    shells = shells.select("code", "feature_idx", F.explode("geometry").alias("p")).select("code", "feature_idx", F.array("p").alias("geometry"))
+    spots = points.select(F.col(lat).alias("la"), F.col(lng).alias("ln"), F.lit(0).cast("bigint").alias("id")).where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).distinct()
+    found = contained_spots(spots, shells, point_cols=("id", "la", "ln"), region_cols=("code", "feature_idx", "geometry"))
+    return points.join(found, (F.col(lat) == F.col("la")) & (F.col(lng) == F.col("ln")), "left").select(*points.columns, F.col("region_key").alias("code"))
 
 
 def nearest_centre(lat: float, lng: float, centres: DataFrame) -> DataFrame:

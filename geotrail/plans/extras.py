@@ -119,11 +119,6 @@ def random_day(spark, sf_dir):
     return D.random_day(D.day_counts(T.visits(spark, sf_dir)), 7)
 
 
-@query("SELECT subject_id, date_str, count(*) AS n FROM (SELECT subject_id, date_str FROM visits UNION ALL SELECT subject_id, date_str FROM activities UNION ALL SELECT subject_id, date_str FROM path_points) GROUP BY 1, 2")
-def day_record_counts(spark, sf_dir):
-    return D.day_counts(T.visits(spark, sf_dir), T.activities(spark, sf_dir), T.path_points(spark, sf_dir))
-
-
 @query(
     """SELECT DISTINCT mode, CASE mode WHEN 'IN_PASSENGER_VEHICLE' THEN 'Car' WHEN 'FLYING' THEN 'Plane' WHEN 'IN_GONDOLA_LIFT' THEN 'Gondola' ELSE upper(left(replace(mode, 'IN_', ''), 1)) ||
     lower(substr(replace(mode, 'IN_', ''), 2)) END AS name, CASE WHEN mode IN ('IN_TRAIN', 'IN_SUBWAY', 'IN_TRAM') THEN 'rail' WHEN mode IN ('WALKING', 'RUNNING') THEN 'dotted' ELSE 'solid' END AS pattern FROM activities"""

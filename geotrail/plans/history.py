@@ -18,6 +18,8 @@ from geotrail.operators.stays import numbered, stay_points
 from geotrail.plans import adapter as T
 from geotrail.plans.adapter import metres, sql
 from geotrail.plans.tables import table
+from geotrail.session import ensure_checkpoint_dir
+from geotrail.sources.stores import cached_result, file_key
 
 QUERIES, ORACLES = {}, {}
 
@@ -35,8 +37,9 @@ def query(oracle: str | None = None):
 
 
 def clustered(spark: SparkSession, sf_dir: str, threshold: float = 50.0) -> DataFrame:
-    """Stays with their stay point."""
-    return stay_points(T.visits(spark, sf_dir), threshold)
+    """Stays with their stay point; made once for a file as it is and a threshold, and kept in the shared folder for all questions."""
+    key = f"{file_key(spark, f'{sf_dir}/events.parquet')}-{threshold:g}"
+    return cached_result(spark, f"{ensure_checkpoint_dir(spark)}/results", key, lambda: stay_points(T.visits(spark, sf_dir), threshold))
 
 
 def _components(threshold: int) -> str:
@@ -92,11 +95,11 @@ def walking_ratio(spark, sf_dir):
 )
 def longest_trips(spark, sf_dir):
     top = A.longest_trips(T.activities(spark, sf_dir)).select("activity_idx", "subject_id", "mode", "distance_m", "start_lat", "start_lng", "end_lat", "end_lng")
-    names = T.regions(spark).select(F.col("code").alias("rc"), "name")
-    for end in ("start", "end"):
-        top = R.locate(top, T.regions(spark), f"{end}_lat", f"{end}_lng").drop("pref_code", "how", "away_m")
-        top = top.join(names, F.col("code") == F.col("rc"), "left").withColumn(f"{end}_region", F.coalesce("name", F.lit("Unknown"))).drop("code", "rc", "name")
-    return top.select("activity_idx", "subject_id", "mode", "distance_m", "start_region", "end_region")
+    ends = [top.select("activity_idx", F.lit(e).alias("end"), F.col(f"{e}_lat").alias("lat"), F.col(f"{e}_lng").alias("lng")) for e in ("start", "end")]
+    found = R.locate(ends[0].unionByName(ends[1]), T.regions(spark)).select("activity_idx", "end", "code")
+    names = found.join(T.regions(spark).select("code", "name"), "code", "left").groupBy("activity_idx")
+    named = names.agg(*[F.coalesce(F.max(F.when(F.col("end") == e, F.col("name"))), F.lit("Unknown")).alias(f"{e}_region") for e in ("start", "end")])
+    return top.join(named, "activity_idx").select("activity_idx", "subject_id", "mode", "distance_m", "start_region", "end_region")
 
 
 @query(
@@ -241,8 +244,8 @@ def modal_location(spark, sf_dir):
     _CV
     + f""", pl AS (SELECT subject_id, cluster_id, arg_min(lat, visit_idx) AS lat, arg_min(lng, visit_idx) AS lng FROM cv GROUP BY 1, 2),
     pr AS (SELECT a.subject_id, a.cluster_id, b.cluster_id AS near_id, round({metres('a.lat', 'a.lng', 'b.lat', 'b.lng')}, 3) AS away_m FROM pl a JOIN pl b ON a.subject_id = b.subject_id
-    AND a.cluster_id <> b.cluster_id) SELECT * FROM (SELECT subject_id, cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY away_m, near_id) AS INT) AS rank, near_id, away_m FROM pr
-    WHERE away_m <= 5000) WHERE rank <= 5"""
+    AND a.cluster_id <> b.cluster_id) SELECT * FROM (SELECT subject_id, cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY away_m, near_id) AS INT) AS rank, near_id, away_m FROM pr)
+    WHERE rank <= 5"""
 )
 def nearby_places(spark, sf_dir):
     first = F.min(F.struct("visit_idx", "lat", "lng")).alias("f")
@@ -381,35 +384,11 @@ def bookmark_resolve(spark, sf_dir):
     return P.resolve_bookmarks(marks, T.visits(spark, sf_dir), T.zones(spark))
 
 
-@query("SELECT subject_id, date_str, lag(date_str) OVER w AS prev_day, lead(date_str) OVER w AS next_day FROM (SELECT DISTINCT subject_id, date_str FROM (SELECT subject_id, date_str FROM visits UNION ALL SELECT subject_id, date_str FROM activities)) WINDOW w AS (PARTITION BY subject_id ORDER BY date_str)")
-def recorded_days(spark, sf_dir):
-    return D.recorded_days(D.day_counts(T.visits(spark, sf_dir), T.activities(spark, sf_dir)))
-
-
 @query(_CV + " SELECT cluster_id, date_str, lag(date_str) OVER w AS prev_day, lead(date_str) OVER w AS next_day FROM (SELECT DISTINCT cluster_id, date_str FROM cv) WINDOW w AS (PARTITION BY cluster_id ORDER BY date_str)")
 def prev_next_day(spark, sf_dir):
     return D.neighbour_days(clustered(spark, sf_dir))
 
 
-@query(
-    """, n AS (SELECT date_str, count(*) AS n FROM (SELECT date_str FROM visits UNION ALL SELECT date_str FROM activities) GROUP BY 1),
-    g AS (SELECT CAST(d AS DATE) AS d FROM generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY) t(d)), m AS (SELECT max(n) AS most FROM n WHERE date_str LIKE '2024-%')
-    SELECT CAST(d AS VARCHAR) AS date_str, CAST((dayofyear(d) - 1 + extract(dow FROM DATE '2024-01-01')) // 7 + 1 AS INT) AS grid_col, CAST(extract(dow FROM d) + 1 AS INT) AS grid_row, coalesce(n, 0) AS n,
-    CAST(CASE WHEN coalesce(n, 0) <= 0 THEN 0 WHEN most <= 1 THEN 4 ELSE least(4, 1 + floor((n - 1) / (most - 1) * 4)) END AS INT) AS level FROM g LEFT JOIN n ON n.date_str = CAST(g.d AS VARCHAR), m"""
-)
-def calendar_levels(spark, sf_dir):
-    return D.calendar_grid(D.day_counts(T.visits(spark, sf_dir), T.activities(spark, sf_dir)), 2024)
-
-
-@query(
-    """, x AS (SELECT subject_id, date_str, CAST(date_str AS DATE) - DATE '2024-01-15' AS diff FROM (SELECT DISTINCT subject_id, date_str FROM (SELECT subject_id, date_str FROM visits UNION ALL
-    SELECT subject_id, date_str FROM activities))) SELECT subject_id, date_str, CAST(diff AS INT) AS days_off FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY abs(diff), diff) AS n FROM x
-    WHERE abs(diff) <= 7) WHERE n = 1"""
-)
-def anniversary(spark, sf_dir):
-    return D.anniversary(D.day_counts(T.visits(spark, sf_dir), T.activities(spark, sf_dir)), "2025-01-15")
-
-
 def _every_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records by day of stays, moves, path points and photos; photos by the date that ``photos_for_day`` goes by."""
     photos = T.photos(spark, sf_dir).withColumn("date_str", C.date_text(F.col("taken_ms")))
@@ -421,7 +400,7 @@ _ALL_DAYS = """, rd AS (SELECT subject_id, date_str FROM visits UNION ALL SELECT
 
 
 @query(_ALL_DAYS + " SELECT subject_id, date_str, lag(date_str) OVER w AS prev_day, lead(date_str) OVER w AS next_day FROM (SELECT DISTINCT * FROM rd) WINDOW w AS (PARTITION BY subject_id ORDER BY date_str)")
-def recorded_days_all(spark, sf_dir):
+def recorded_days(spark, sf_dir):
     return D.recorded_days(_every_day(spark, sf_dir))
 
 
@@ -432,7 +411,7 @@ def recorded_days_all(spark, sf_dir):
     SELECT CAST(d AS VARCHAR) AS date_str, CAST((dayofyear(d) - 1 + extract(dow FROM DATE '2024-01-01')) // 7 + 1 AS INT) AS grid_col, CAST(extract(dow FROM d) + 1 AS INT) AS grid_row, coalesce(n, 0) AS n,
     CAST(CASE WHEN coalesce(n, 0) <= 0 THEN 0 WHEN most <= 1 THEN 4 ELSE least(4, 1 + floor((n - 1) / (most - 1) * 4)) END AS INT) AS level FROM g LEFT JOIN n ON n.date_str = CAST(g.d AS VARCHAR), m"""
 )
-def calendar_levels_all(spark, sf_dir):
+def calendar_levels(spark, sf_dir):
     return D.calendar_grid(_every_day(spark, sf_dir), 2024)
 
 
@@ -441,10 +420,10 @@ def calendar_levels_all(spark, sf_dir):
     + """, x AS (SELECT subject_id, date_str, CAST(date_str AS DATE) - DATE '2024-01-15' AS diff FROM (SELECT DISTINCT * FROM rd)) SELECT subject_id, date_str, CAST(diff AS INT) AS days_off
     FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY abs(diff), diff) AS n FROM x WHERE abs(diff) <= 7) WHERE n = 1"""
 )
-def anniversary_all(spark, sf_dir):
+def anniversary(spark, sf_dir):
     return D.anniversary(_every_day(spark, sf_dir), "2025-01-15")
 
 
 @query(_ALL_DAYS + " SELECT subject_id, date_str, count(*) AS n FROM rd GROUP BY 1, 2")
-def day_record_counts_all(spark, sf_dir):
+def day_record_counts(spark, sf_dir):
     return _every_day(spark, sf_dir)

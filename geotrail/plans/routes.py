@@ -177,11 +177,11 @@ def photo_estimates(spark, sf_dir):
 
 
 @query(
-    f"""SELECT photo_idx FROM photos p WHERE lat IS NOT NULL AND EXISTS (SELECT 1 FROM visits v WHERE v.subject_id = p.subject_id AND v.visit_idx % 3 = 0
+    f"""SELECT photo_idx FROM photos p WHERE lat IS NOT NULL AND EXISTS (SELECT 1 FROM visits v WHERE v.subject_id = p.subject_id
     AND {metres('p.lat', 'p.lng', 'v.lat', 'v.lng')} <= 50)"""
 )
 def photos_for_place(spark, sf_dir):
-    return H.photos_near_stays(T.photos(spark, sf_dir), T.visits(spark, sf_dir).where("visit_idx % 3 = 0"), 50.0).select("photo_idx")
+    return H.photos_near_stays(T.photos(spark, sf_dir), T.visits(spark, sf_dir), 50.0).select("photo_idx")
 
 
 @query("SELECT photo_idx, taken_ms FROM photos p WHERE NOT coalesce(" + _inside_zone("p.lat", "p.lng") + ", false) AND CAST(DATE '1970-01-01' + CAST(floor((taken_ms + 32400000) / 86400000.0) AS INT) AS VARCHAR) = '2024-01-10'")
@@ -197,12 +197,14 @@ def photos_for_day(spark, sf_dir):
     GROUP BY 1, 2, 3), pr AS (SELECT p.photo_idx, p.lat, p.lng, q.lat AS pl, q.lng AS pn, {metres('p.lat', 'p.lng', 'q.lat', 'q.lng')} AS d, q.pin_id FROM ph p JOIN pins q ON p.subject_id = q.subject_id
     WHERE abs(p.lat - q.lat) < 0.001 AND abs(p.lng - q.lng) < 0.001), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY photo_idx ORDER BY round(d, 6), pin_id) AS n FROM pr WHERE d <= 15) WHERE n = 1)
     SELECT p.photo_idx, b.photo_idx IS NOT NULL AS nudged, round(CASE WHEN b.photo_idx IS NULL THEN p.lat ELSE degrees(asin(sin(radians(pl)) * cos(10 / 6371000.0) + cos(radians(pl)) * sin(10 / 6371000.0)
-    * cos(CASE WHEN round(d, 6) <= 0.5 THEN 0 ELSE atan2(b.lng - pn, b.lat - pl) END))) END, 7) AS lat FROM ph p LEFT JOIN b USING (photo_idx)"""
+    * cos(turn))) END, 7) AS lat, round(CASE WHEN b.photo_idx IS NULL THEN p.lng ELSE pn + degrees(atan2(sin(turn) * sin(10 / 6371000.0) * cos(radians(pl)), cos(10 / 6371000.0) - sin(radians(pl))
+    * (sin(radians(pl)) * cos(10 / 6371000.0) + cos(radians(pl)) * sin(10 / 6371000.0) * cos(turn)))) END, 7) AS lng
+    FROM ph p LEFT JOIN (SELECT *, CASE WHEN round(d, 6) <= 0.5 THEN 0 ELSE atan2(b.lng - pn, b.lat - pl) END AS turn FROM b) b USING (photo_idx)"""
 )
 def photo_nudge(spark, sf_dir):
     ph = T.photos(spark, sf_dir).where("lat IS NOT NULL").withColumn("lat", F.col("lat") + 0.00001 * (F.col("photo_idx") % 3))
     pins = T.visits(spark, sf_dir).groupBy("subject_id", "lat", "lng").agg(F.min("visit_idx").alias("pin_id"))
-    return P.nudge_photos(ph, pins).select("photo_idx", "nudged", F.round("lat", 7).alias("lat"))
+    return P.nudge_photos(ph, pins).select("photo_idx", "nudged", F.round("lat", 7).alias("lat"), F.round("lng", 7).alias("lng"))
 
 
 @query("SELECT coalesce(source, 'none') AS source, count(*) AS n FROM photos GROUP BY 1")
@@ -336,17 +338,10 @@ def comparison_year(spark, sf_dir):
     return D.default_comparison(years, 2024).unionByName(D.default_comparison(years, None))
 
 
-@query(
-    """SELECT activity_idx, CASE WHEN distance_m < 1000 THEN distance_m || ' m' ELSE format('{:,}', CAST(trunc(distance_m / 1000.0) AS BIGINT)) END AS how_far FROM activities WHERE distance_m < 1000"""
-)
-def distance_format(spark, sf_dir):
-    return T.activities(spark, sf_dir).where("distance_m < 1000").select("activity_idx", X.distance_text(F.col("distance_m")).alias("how_far"))
-
-
 @query(
     """SELECT activity_idx, CASE WHEN distance_m < 1000 THEN distance_m || ' m' ELSE format('{:,.1f} km', distance_m / 1000.0 + CASE WHEN distance_m % 1000 = 250 THEN 0.01 ELSE 0 END) END AS how_far FROM activities"""
 )
-def distance_format_all(spark, sf_dir):
+def distance_format(spark, sf_dir):
     return T.activities(spark, sf_dir).select("activity_idx", X.distance_text(F.col("distance_m")).alias("how_far"))
 
 

@@ -19,6 +19,7 @@ def local_session(cpus: int = 8, app: str = "geotrail") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("GEOTRAIL_DRIVER_MEMORY", "6g"))
@@ -53,17 +54,22 @@ def ship_code(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for ``checkpoint()``: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in tests on one machine, a folder of our own is made.
+    Only on one machine, as in tests, a folder of our own is made where that setting is absent; it goes with the process. On a cluster
+    its absence is an error, as each machine's own disk would not survive it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
     if named:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
+        if current.isEmpty():
             context.setCheckpointDir(named)
         return named
-    current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="geotrail-checkpoint-"))
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="geotrail-checkpoint-")
+        atexit.register(shutil.rmtree, folder, True)
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 

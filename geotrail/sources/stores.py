@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -51,6 +52,25 @@ def recent_files(opened: DataFrame, most: int = RECENT_FILES) -> DataFrame:
     return opened.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n").orderBy(F.desc("opened_ms")).limit(most)
 
 
+def evicted_files(opened: DataFrame, most: int = RECENT_FILES) -> DataFrame:
+    """The contents beyond the ``most`` latest; their backups may go."""
+    return opened.select("hash").distinct().join(recent_files(opened, most).select("hash"), "hash", "left_anti")
+
+
+def without_file(opened: DataFrame, content: str) -> DataFrame:
+    """The registry without one content."""
+    return opened.where(F.col("hash") != content)
+
+
+def resolve_file(spark: SparkSession, path: str, backup: str | None) -> str | None:
+    """Where a recent file can be read: at its own place, else from its backup, else nowhere."""
+    for p in filter(None, (path, backup)):
+        at, fs = _fs(spark, p)
+        if fs.exists(at):
+            return p
+    return None
+
+
 def content_hash(content: Column) -> Column:
     """Key of a file's content."""
     return F.sha2(content, 256)
@@ -70,14 +90,68 @@ def cached_labels(places: DataFrame, cache: DataFrame) -> DataFrame:
 RESULT_VERSION = 1
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def file_key(spark: SparkSession, path: str) -> str:
+    """``result_key`` of a file, or of a folder with all its files, as it is now."""
+    p, fs = _fs(spark, path)
+    summary = fs.getContentSummary(p)
+    last = max([fs.getFileStatus(p).getModificationTime(), *(s.getModificationTime() for s in fs.listStatus(p))])
+    return hashlib.sha1(f"{fs.resolvePath(p)}|{summary.getLength()}|{summary.getFileCount()}|{last}".encode()).hexdigest()
+
+
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a result was written to its end."""
+    p, fs = _fs(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
 def cached_result(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The result kept under ``key`` (see ``result_key``; a threshold may be part of it), made and written if there is none of the present form."""
+    """The result kept under ``key`` (see ``file_key``; a threshold may be part of it), made and written if there is none of the present form."""
     path = f"{folder}/v{RESULT_VERSION}/{key}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    if not is_whole(spark, path):
         make().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+#: The tables whose row counts tell whether an entry is the whole of what was made of a file.
+COUNTED = ("visits", "activities", "path_points")
+
+
+def keep_entry(spark: SparkSession, folder: str, key: str, tables: dict[str, DataFrame]) -> None:
+    """Writes all tables of a file's entry, and last their counts, by which it is valid."""
+    path = f"{folder}/v{RESULT_VERSION}/{key}"
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    counts = [(name, spark.read.parquet(f"{path}/{name}").count()) for name in COUNTED]
+    spark.createDataFrame(counts, "name string, n bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def kept_entry(spark: SparkSession, folder: str, key: str) -> dict[str, DataFrame] | None:
+    """The tables of an entry of the present form whose counts are what they were; None where there is none or it is damaged."""
+    path = f"{folder}/v{RESULT_VERSION}/{key}"
+    if not all(is_whole(spark, f"{path}/{name}") for name in (*COUNTED, "counts")):
+        return None
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in COUNTED}
+    counts = {r["name"]: r["n"] for r in spark.read.parquet(f"{path}/counts").collect()}
+    return tables if all(tables[name].count() == counts.get(name) for name in COUNTED) else None
+
+
+def keep_clusters(spark: SparkSession, folder: str, key: str, threshold_m: float, clusters: DataFrame) -> bool:
+    """Adds the places of one more threshold to an entry; only if the entry is whole, so that no half entry comes of it."""
+    if kept_entry(spark, folder, key) is None:
+        return False
+    clusters.write.mode("overwrite").parquet(f"{folder}/v{RESULT_VERSION}/{key}/clusters_{threshold_m:g}")
+    return True
+
+
+def kept_clusters(spark: SparkSession, folder: str, key: str, threshold_m: float) -> DataFrame | None:
+    """The places of a threshold, if the entry has them."""
+    path = f"{folder}/v{RESULT_VERSION}/{key}/clusters_{threshold_m:g}"
+    return spark.read.parquet(path) if kept_entry(spark, folder, key) is not None and is_whole(spark, path) else None
 
 
 def clear_results(spark: SparkSession, folder: str) -> int:

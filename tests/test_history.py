@@ -107,10 +107,11 @@ def test_days_of_photos_and_path_points_are_recorded(spark, data):
     from geotrail.functions.calendar import date_text
     from geotrail.plans import adapter, history
 
-    days = {(r["subject_id"], r["date_str"]) for r in history.QUERIES["recorded_days_all"](spark, data).collect()}
+    days = {(r["subject_id"], r["date_str"]) for r in history.QUERIES["recorded_days"](spark, data).collect()}
     photos = adapter.photos(spark, data).select("subject_id", date_text(F.col("taken_ms")))
     points = adapter.path_points(spark, data).select("subject_id", "date_str")
-    old = {(r["subject_id"], r["date_str"]) for r in history.QUERIES["recorded_days"](spark, data).collect()}
+    rest = [f(spark, data).select("subject_id", "date_str") for f in (adapter.visits, adapter.activities)]
+    old = {tuple(r) for r in rest[0].union(rest[1]).collect()}
     assert days == old | {tuple(r) for r in photos.collect()} | {tuple(r) for r in points.collect()} and days > old
 
 
@@ -140,6 +141,40 @@ def test_components_of_a_chain_in_any_order_of_ids(spark, order):
     assert sorted((r["id"], r["label"]) for r in got) == [(i, 0) for i in range(n)]
 
 
+def test_components_of_a_shuffled_chain_of_a_hundred_thousand(spark):
+    import numpy as np
+
+    ids = np.random.default_rng(3).permutation(100_000)
+    cut = 60_000
+    edges = spark.createDataFrame([(int(a), int(b)) for k, (a, b) in enumerate(zip(ids, ids[1:])) if k != cut], "a bigint, b bigint")
+    want = np.empty(100_000, int)
+    want[ids[: cut + 1]], want[ids[cut + 1 :]] = ids[: cut + 1].min(), ids[cut + 1 :].min()
+    for task_edges in (2_000_000, 1_000):
+        got = connected_components(spark.range(100_000).select("id"), edges, task_edges).toArrow()
+        assert (want[got.column(0).to_numpy()] == got.column(1).to_numpy()).all() and got.num_rows == 100_000
+
+
+def test_components_of_stars_rings_and_lone_nodes_by_rounds(spark):
+    import random
+
+    g = random.Random(2)
+    edges = [(90, k) for k in range(80, 90)] + [(k, k + 1) for k in range(20)] + [(20, 0), (5, 5), (3, 4), (4, 3)] + [(g.randrange(100, 160), g.randrange(100, 160)) for _ in range(40)]
+    parent = list(range(200))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    for most in (0, 3, 1000):
+        got = {r["id"]: r["label"] for r in connected_components(spark.range(200).select("id"), df, most).collect()}
+        assert got == {i: root(i) for i in range(200)}
+
+
 def test_zones_across_cells_and_null_places(spark):
     df = spark.createDataFrame([(1, 35.0, 139.0), (2, 35.02, 139.0), (3, None, 139.0), (4, 60.0, 10.0)], "i int, lat double, lng double")
     zones = spark.createDataFrame([(35.049, 139.0, 3300.0), (60.0, 10.02, 2000.0)], "zone_lat double, zone_lng double, radius_m double")
