@@ -9,12 +9,12 @@ from geotrail.functions.geo import EARTH_M, haversine_m
 
 #: Fixed value: the radius around a home or workplace that privacy hides, in metres.
 PRIVACY_RADIUS_M = 1000.0
-_LEAST_CELL_M, _ANY_CELL_M = 100.0, 5_500.0
+_LEAST_CELL_M, _ANY_CELL_M = 200.0, 5_500.0
 
 
 def _rings(radius: float | Column) -> int:
-    """How many grid cells go round the globe: of twice the radius where it is one number, of a few kilometres where rows have their own."""
-    return int(40_000_000 / (_ANY_CELL_M if isinstance(radius, Column) else max(2 * radius, _LEAST_CELL_M))) or 1
+    """How many grid cells go round the globe: of four times the radius where it is one number, of a few kilometres where rows have their own."""
+    return int(40_000_000 / (_ANY_CELL_M if isinstance(radius, Column) else max(4 * radius, _LEAST_CELL_M))) or 1
 
 
 def _cell(value: Column, rings: int) -> Column:
@@ -38,8 +38,8 @@ def _covered_cells(centres: DataFrame, lat: str, lng: str, radius: float | Colum
     out = out.select(F.col(lat).alias("__clat"), F.col(lng).alias("__clng"), r.alias("__r"), *[F.col(k).alias(f"__k_{k}") for k in keep], dlat.alias("__dy"), dlng.alias("__dx"))
     first = _cell(F.col("__clng") - F.col("__dx"), rings)
     last = F.least(_cell(F.col("__clng") + F.col("__dx"), rings), first + rings - 1)
-    out = out.select("*", F.explode(F.sequence(_cell(F.col("__clat") - F.col("__dy"), rings), _cell(F.col("__clat") + F.col("__dy"), rings))).alias("__cy"), F.sequence(first, last).alias("__xs"))
-    return out.select("*", F.explode("__xs").alias("__x")).withColumn("__cx", F.pmod("__x", F.lit(rings))).drop("__xs", "__x", "__dy", "__dx")
+    out = out.select("*", F.explode_outer(F.sequence(_cell(F.col("__clat") - F.col("__dy"), rings), _cell(F.col("__clat") + F.col("__dy"), rings))).alias("__cy"), F.sequence(first, last).alias("__xs"))
+    return out.select("*", F.explode_outer("__xs").alias("__x")).withColumn("__cx", F.pmod("__x", F.lit(rings))).drop("__xs", "__x", "__dy", "__dx")
 
 
 def _met(lat: str, lng: str, radius: float | Column, by: tuple[str, ...]) -> Column:

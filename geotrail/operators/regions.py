@@ -27,8 +27,8 @@ def edge_cells(regions: DataFrame, margin_m: float) -> DataFrame:
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     dy = margin_m / 110_540.0 * 1.000001
     dx = margin_m / 111_320.0 * 1.000001 / F.greatest(F.cos(F.radians(F.least(F.lit(89.9), F.greatest(F.abs(low), F.abs(high)) + dy))), F.lit(0.001))
-    e = e.select("*", F.explode(_cells(low - dy, high + dy)).alias("cy"), _cells(F.least("x1", "x2") - dx, F.greatest("x1", "x2") + dx).alias("xs"))
-    return e.select("*", F.explode("xs").alias("cx")).drop("xs")
+    e = e.select("*", F.explode_outer(_cells(low - dy, high + dy)).alias("cy"), _cells(F.least("x1", "x2") - dx, F.greatest("x1", "x2") + dx).alias("xs"))
+    return e.select("*", F.explode_outer("xs").alias("cx")).drop("xs")
 
 
 def locate(points: DataFrame, regions: DataFrame, lat: str = "lat", lng: str = "lng", nearest_m: float = NEAREST_M, prefectures: DataFrame | None = None) -> DataFrame:

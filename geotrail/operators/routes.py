@@ -90,7 +90,7 @@ def visible_moves(moves: DataFrame, segments: DataFrame, zones: DataFrame) -> Da
     """
     ends = flag_near(moves, "start_lat", "start_lng", zones, "zone_lat", "zone_lng", F.col("radius_m"), "start_hidden")
     ends = flag_near(ends, "end_lat", "end_lng", zones, "zone_lat", "zone_lng", F.col("radius_m"), "end_hidden")
-    hours = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 3_600_000), F.floor(F.col(b) / 3_600_000)))
+    hours = lambda a, b: F.explode_outer(F.sequence(F.floor(F.col(a) / 3_600_000), F.floor(F.col(b) / 3_600_000)))
     m = moves.where(F.col("start_ms") <= F.col("end_ms")).select("subject_id", "activity_idx", F.col("start_ms").alias("a0"), F.col("end_ms").alias("a1"), hours("start_ms", "end_ms").alias("h"))
     s = segments.select("subject_id", F.col("run_no").alias("r"), F.col("piece").alias("pc"), "trimmed", "points", "start_ms", "end_ms", hours("start_ms", "end_ms").alias("h"))
     # Each overlapping pair counts once, in the first hour that both share.

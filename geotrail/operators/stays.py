@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geotrail.operators.asof import with_global_index
 from geotrail.operators.dual_tree import _groups, near_pairs
+from geotrail.operators.dual_tree import haversine_m as sphere_m
 from geotrail.session import ensure_checkpoint_dir
 
 #: So many edges are closed within one task (some 200 MB); more are contracted by rounds of joins first.
@@ -81,6 +82,19 @@ def connected_components(nodes: DataFrame, edges: DataFrame, task_edges: int = T
     return nodes.join(found, F.col("id") == F.col("__n"), "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
+def _short_links(groups: list[tuple], threshold_m: float, d: float) -> pa.RecordBatch:
+    """The (label, label) of those groups of a few spots that any two near ones link, all groups at once."""
+    n, m = (np.array([len(g[k]) for g in groups]) for k in (2, 4))
+    lat_l, lng_l, lat_r, lng_r = (np.concatenate([g[k] for g in groups]) for k in (2, 3, 4, 5))
+    first_l, first_r = np.cumsum(n) - n, np.cumsum(m) - m
+    group = np.repeat(np.arange(len(groups)), n * m)
+    at = np.arange(len(group)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+    i, j = first_l[group] + at // m[group], first_r[group] + at % m[group]
+    near = (np.abs(lat_l[i] - lat_r[j]) <= d) & (np.abs(lng_l[i] - lng_r[j]) <= d) & (sphere_m(lat_l[i], lng_l[i], lat_r[j], lng_r[j]) <= threshold_m)
+    hit = np.flatnonzero(np.bincount(group, near, len(groups)))
+    return pa.RecordBatch.from_arrays([pa.array(np.array([groups[k][c] for k in hit], np.int64)) for c in (0, 1)], names=["a", "b"])
+
+
 def stay_points(stays: DataFrame, threshold_m: float = 50.0) -> DataFrame:
     """``stays`` with ``cluster_id``: stays of a subject are one place if linked by a shared place id or by a chain of short distances.
 
@@ -98,7 +112,7 @@ def stay_points(stays: DataFrame, threshold_m: float = 50.0) -> DataFrame:
     spots = stays.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).groupBy(*spot).agg(F.min("visit_idx").alias("id"))
     spots = spots.withColumn("fy", grid("lat", side)).withColumn("fx", grid("lng", side)).checkpoint()
     cells = spots.groupBy(*cell).agg(F.min("id").alias("cid"), *[f(c).alias(f"{n}_{c}") for c in ("lat", "lng") for n, f in (("lo", F.min), ("hi", F.max))])
-    half = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    half = F.explode_outer(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in ((0, 1), (1, -1), (1, 0), (1, 1))]))
     beside = cells.select("subject_id", F.col("cid").alias("b"), "fy", "fx", half.alias("o")).select("subject_id", "b", (F.col("fy") + F.col("o.y")).alias("fy"), (F.col("fx") + F.col("o.x")).alias("fx"))
     touching = cells.join(beside, cell).select(F.col("cid").alias("a"), "b")
     first = connected_components(cells.select(F.col("cid").alias("id")), touching)
@@ -107,8 +121,8 @@ def stay_points(stays: DataFrame, threshold_m: float = 50.0) -> DataFrame:
     wide = d + side
     here = cells.withColumn("cy", grid("lo_lat", wide)).withColumn("cx", grid("lo_lng", wide))
     around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    there = here.select(*[F.col(c).alias(f"o_{c}") for c in cells.columns], F.explode(F.transform(around, lambda k: F.col("cy") + k)).alias("cy"), F.col("cx").alias("ocx"))
-    there = there.select("*", F.explode(F.transform(around, lambda k: F.col("ocx") + k)).alias("cx")).drop("ocx")
+    there = here.select(*[F.col(c).alias(f"o_{c}") for c in cells.columns], F.explode_outer(F.transform(around, lambda k: F.col("cy") + k)).alias("cy"), F.col("cx").alias("ocx"))
+    there = there.select("*", F.explode_outer(F.transform(around, lambda k: F.col("ocx") + k)).alias("cx")).drop("ocx")
     gap = lambda c: F.greatest(F.lit(0.0), F.col(f"o_lo_{c}") - F.col(f"hi_{c}"), F.col(f"lo_{c}") - F.col(f"o_hi_{c}"))
     near = (gap("lat") <= d) & (gap("lng") <= d) & (gap("lat") * 111_190 <= threshold_m * 1.001)
     pair = here.join(there, (F.col("subject_id") == F.col("o_subject_id")) & (here["cy"] == there["cy"]) & (here["cx"] == there["cx"]))
@@ -126,12 +140,23 @@ def stay_points(stays: DataFrame, threshold_m: float = 50.0) -> DataFrame:
         return met.select(*[F.col(f"{x}{c}").alias(o) for c, o1, o2 in (("cid", "c1", "c2"), ("label", "a", "b")) for x, o in ((a, o1), (b, o2))], F.lit(n).alias("side"), "lat", "lng")
 
     def linked(batches):
+        held, size = [], 0
         for _, _, a, b, which, lat, lng in _groups(batches, 2):
             l, r = np.flatnonzero(which == 0), np.flatnonzero(which == 1)
+            if len(l) * len(r) <= 1000:
+                if len(l) and len(r):
+                    held.append((a[0], b[0], lat[l], lng[l], lat[r], lng[r]))
+                    size += len(l) * len(r)
+                if size > 200_000:
+                    yield _short_links(held, threshold_m, d)
+                    held, size = [], 0
+                continue
             for i, j in near_pairs(lat[l], lng[l], lat[r], lng[r], threshold_m):
                 if ((np.abs(lat[l[i]] - lat[r[j]]) <= d) & (np.abs(lng[l[i]] - lng[r[j]]) <= d)).any():
                     yield pa.RecordBatch.from_arrays([pa.array(a[:1]), pa.array(b[:1])], names=["a", "b"])
                     break
+        if held:
+            yield _short_links(held, threshold_m, d)
 
     links = side(0).unionByName(side(1)).repartition("c1", "c2").sortWithinPartitions("c1", "c2").mapInArrow(linked, "a bigint, b bigint")
     owned = spots.join(cells.select(*cell, "label"), cell).select(*spot, "label")
