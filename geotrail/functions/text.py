@@ -55,10 +55,15 @@ def clock_text(epoch_ms: Column, offset_min: Column) -> Column:
     return F.format_string("%02d:%02d", F.floor(minute / 60).cast("int"), minute % 60)
 
 
+def normal_form(text: str) -> str:
+    """Compatibility form and lower case."""
+    return unicodedata.normalize("NFKC", text).lower()
+
+
 @F.pandas_udf(StringType())
 def search_form(texts: pd.Series) -> pd.Series:
-    """Compatibility form and lower case; Spark has no such function of its own."""
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t).lower(), na_action="ignore")
+    """The same of a column; Spark has no such function of its own."""
+    return texts.map(normal_form, na_action="ignore")
 
 
 #: Names of the kinds of moves and how their lines are drawn.
@@ -79,3 +84,82 @@ def mode_name(mode: Column) -> Column:
 def line_pattern(mode: Column) -> Column:
     """How a route of this kind is drawn."""
     return F.when(mode.isin(*RAIL), "rail").when(mode.isin(*ON_FOOT), "dotted").otherwise("solid")
+
+
+#: Colours of the kinds of moves, of others, of regions not visited and only passed, and the ends of the heat scale.
+MODE_COLORS = {
+    "WALKING": "#008300", "RUNNING": "#006400", "CYCLING": "#4d8a00", "IN_PASSENGER_VEHICLE": "#c98500", "IN_TAXI": "#1f5aa8", "IN_BUS": "#2a78d6", "IN_TRAIN": "#e34948",
+    "IN_SUBWAY": "#b62e2d", "IN_TRAM": "#d9534f", "FLYING": "#4a3aa7", "IN_FERRY": "#0e8a74", "IN_GONDOLA_LIFT": "#d55181",
+}
+OTHER_COLOR, UNVISITED_COLOR, PASSED_COLOR = "#75736e", "#e0e0e0", "#b9e2da"
+HEAT_LOW, HEAT_HIGH = (222, 235, 247), (8, 81, 156)
+#: The closest zoom, and that under privacy.
+MOST_ZOOM, MOST_ZOOM_PRIVATE = 18, 12
+LANGUAGES = ("ja", "en")
+
+
+def mode_color(mode: Column) -> Column:
+    """The colour of a route of this kind."""
+    names = F.create_map(*[F.lit(x) for kv in MODE_COLORS.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, mode), F.lit(OTHER_COLOR))
+
+
+def heat_color(share: Column) -> Column:
+    """``rgb(r, g, b)`` between the ends of the heat scale."""
+    parts = [F.floor(F.lit(a) + (b - a) * share + 0.5).cast("int") for a, b in zip(HEAT_LOW, HEAT_HIGH)]
+    return F.format_string("rgb(%d, %d, %d)", *parts)
+
+
+def period_label(year: Column, month: Column) -> Column:
+    """``All time``, ``2024`` or ``2024-01``."""
+    return F.when(year.isNull(), "All time").when(month.isNull(), year.cast("string")).otherwise(F.format_string("%d-%02d", year, month))
+
+
+def taken_text(epoch_ms: Column, is_fallback: Column, offset_min: Column) -> Column:
+    """When a photo was taken, by the local clock; a time that is only the file's says so."""
+    local = F.timestamp_millis(epoch_ms + offset_min.cast("bigint") * 60_000)
+    said = F.concat(F.date_format(local, "yyyy/M/d HH:mm"), F.when(is_fallback, " (estimated from file creation time)").otherwise(""))
+    return F.when(epoch_ms.isNull(), "Date taken unknown").otherwise(said)
+
+
+def source_text(source: Column, gap_ms: Column) -> Column:
+    """Where a photo's place comes from; an estimate with its distance in time."""
+    gap = F.when(gap_ms > 0, F.concat(F.lit(" (about "), gap_text(gap_ms), F.lit(" from the nearest record)"))).otherwise("")
+    return F.when(source == "exif", "Location: Exif").when(source == "takeout", "Location: Takeout").when(source == "estimated", F.concat(F.lit("Location: estimated"), gap)).otherwise("")
+
+
+def date_title(day: Column) -> Column:
+    """``Sat, Jan 20, 2024`` of a date text."""
+    return F.date_format(F.to_date(day), "EEE, MMM d, yyyy")
+
+
+def imported_text(epoch_ms: Column, offset_min: Column) -> Column:
+    """``2024/1/20``, empty for none."""
+    return F.when(F.coalesce(epoch_ms, F.lit(0)) == 0, "").otherwise(F.date_format(F.timestamp_millis(epoch_ms + offset_min.cast("bigint") * 60_000), "yyyy/M/d"))
+
+
+def place_path(*parts: Column) -> Column:
+    """Names from the outermost to the place itself."""
+    return F.concat_ws(" › ", *parts)
+
+
+def filled(template: Column, **values: Column) -> Column:
+    """A text with ``{name}`` replaced by values; names that are not given stay as they are."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), value.cast("string"))
+    return template
+
+
+def in_language(df, names, key: str, language: str):
+    """``df`` with ``local_name`` of its ``key`` in a language (``names``: key, language, local_name), else its own ``name``."""
+    n = names.where(F.col("language") == language).select(F.col(key).alias("__key"), "local_name")
+    out = df.join(n, F.col(key) == F.col("__key"), "left")
+    return out.select(*df.columns, F.coalesce("local_name", "name").alias("local_name"))
+
+
+def language(forced: str | None, saved: str | None, system: str | None) -> str:
+    """The forced language, else the saved one, else the system's; English where none is known."""
+    for wish in (forced, saved):
+        if wish in LANGUAGES:
+            return wish
+    return "ja" if (system or "").lower().startswith("ja") else "en"

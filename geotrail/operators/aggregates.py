@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geotrail.functions.calendar import DAY_MS, local_date, month_key
+from geotrail.functions.text import PASSED_COLOR, UNVISITED_COLOR, heat_color
 
 #: Longest stay that counts, in ms; length of the walking comparison, in km.
 MOST_DWELL_MS, WALK_KM = DAY_MS, 490.0
@@ -223,3 +224,54 @@ def marker_sizes(ranking: DataFrame) -> DataFrame:
     """Radii of a place's pin and dot by its visits, less visited places first, as they are drawn."""
     n = F.log1p("visits")
     return ranking.select("cluster_id", F.round(6 + F.least(F.lit(10.0), 3 * n), 6).alias("pin_px"), F.round(2.5 + F.least(F.lit(4.0), n), 6).alias("dot_px")).orderBy("visits", "cluster_id")
+
+
+def region_summaries(coverage: DataFrame, shown: DataFrame) -> DataFrame:
+    """What is said of each second-level region: its shown stays, or why there are none: all excluded, only passed, or none at all.
+
+    ``coverage`` knows nothing of zones, ``shown`` are the stays outside them.
+    """
+    s = region_ranking(shown).withColumnRenamed("muni_code", "__code")
+    out = coverage.select("muni_code", "stay_count", "pass_only").join(s, F.col("muni_code") == F.col("__code"), "left")
+    note = F.when(F.col("visits") > 0, "shown").when(F.col("stay_count") > 0, "all excluded").when(F.col("pass_only"), "pass only").otherwise("none")
+    return out.select("muni_code", F.coalesce("visits", F.lit(0)).alias("visits"), F.coalesce("dwell_ms", F.lit(0)).alias("dwell_ms"), F.col("first_ms"), F.col("last_ms"), note.alias("note"))
+
+
+def fill_colors(coverage: DataFrame) -> DataFrame:
+    """The colour of each second-level region on a map."""
+    c = heat(coverage)
+    color = F.when(F.col("kind") == "heat", heat_color(F.col("intensity"))).when(F.col("kind") == "pass_only", PASSED_COLOR).otherwise(UNVISITED_COLOR)
+    return c.select("muni_code", color.alias("color"))
+
+
+def stats_report(moves: DataFrame, coverage: DataFrame, hours: DataFrame, weekdays: DataFrame) -> DataFrame:
+    """``section, label, value``: what a page of statistics shows: distance and trips in all and by mode, months, weekdays, hours, and visited
+    shares of first-level regions in whole per cent."""
+    say = lambda df, section, label, value: df.select(F.lit(section).alias("section"), F.col(label).cast("string").alias("label") if isinstance(label, str) else label.alias("label"), F.round(value.cast("double"), 3).alias("value"))
+    modes = travel_by_mode(moves)
+    parts = [
+        say(modes.agg(F.coalesce(F.sum("trips"), F.lit(0)).alias("n")), "trips", F.lit("all"), F.col("n")),
+        say(modes, "mode_km", "mode", F.col("distance_m") / 1000),
+        say(travel_monthly(moves), "month_km", "month_key", F.col("distance_m") / 1000),
+        say(day_of_week_means(moves, weekdays), "weekday_km", "dow", F.col("mean_m") / 1000),
+        say(hourly_histogram(moves, hours), "hour", "hour", F.col("n")),
+        say(visited_rates(coverage), "visited_percent", "pref_code", F.floor(F.col("rate") * 100 + 0.5)),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def first_visit_targets(events: DataFrame, shown: DataFrame, regions: DataFrame, private: bool = False) -> DataFrame:
+    """Where the events of a chronology lead: ``kind, code, pref_code, cluster_id, muni_code``.
+
+    A first-level event leads to its region. A second-level one leads to the place of its earliest stay outside the zones, under privacy
+    to the region itself; with no stay left to show, only to the first-level region.
+    """
+    first = shown.groupBy("muni_code").agg(F.min(F.struct("start_ms", "visit_idx", "cluster_id")).alias("f")).select(F.col("muni_code").alias("__m"), F.col("f.cluster_id").alias("__c"))
+    r = regions.select(F.col("code").alias("__r"), F.col("pref_code").cast("string").alias("__p"))
+    out = events.join(r, (F.col("kind") == "municipality") & (F.col("code") == F.col("__r")), "left").join(first, (F.col("kind") == "municipality") & (F.col("code") == F.col("__m")), "left")
+    seen = F.col("__m").isNotNull()
+    place, muni = (F.lit(None).cast("bigint"), F.when(seen, F.col("code"))) if private else (F.when(seen, F.col("__c")), F.lit(None).cast("string"))
+    return out.select("kind", "code", F.coalesce("__p", "code").alias("pref_code"), place.alias("cluster_id"), muni.alias("muni_code"))

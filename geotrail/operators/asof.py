@@ -44,20 +44,22 @@ def asof(
     return both.where(F.col("__row").isNotNull()).select("__row.*", F.col("__hit.__rt").alias(right_time), *[F.col(f"__hit.{p}").alias(p) for p in payload])
 
 
-def runs(df: DataFrame, *, by: str, time: str, order: list[str], value: str, gap_ms: int, block_ms: int = BLOCK_MS) -> DataFrame:
-    """``df`` with ``is_break`` and ``run_no`` (from 0): a new run where ``value`` changes or more than ``gap_ms`` pass.
+def runs(df: DataFrame, *, by: str, time: str, order: list[str], value: str, gap_ms: int, block_ms: int = BLOCK_MS, block: Column | None = None) -> DataFrame:
+    """``df`` with ``is_break`` and ``run_no`` (from 0): a new run where ``value`` changes or more than ``gap_ms`` pass since the last time.
 
-    ``order`` sorts rows within an entity; it must begin with ``time``, which is not null.
+    ``order`` sorts rows within an entity, by time or as they came; ``block`` grows with it and cuts an entity's rows into parts that
+    fit into tasks (where none is given, ``order`` begins with ``time`` and blocks are stretches of ``block_ms``). Rows without a time make no gap.
     """
-    blocked = df.withColumn("__b", _block(F.col(time), block_ms))
+    blocked = df.withColumn("__b", block if block is not None else _block(F.col(time), block_ms))
     key = F.struct(*order)
-    last = blocked.groupBy(by, "__b").agg(F.max_by(F.struct(F.col(time).alias("t"), F.col(value).alias("v")), key).alias("__last"))
+    last = blocked.groupBy(by, "__b").agg(F.max_by(F.struct(F.col(value).alias("v")), key).alias("__v"), F.max_by(time, F.when(F.col(time).isNotNull(), key)).alias("__t"))
     before = Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(F.col(by).alias("__by"), F.col("__b").alias("__cb"), F.last("__last").over(before).alias("__carry"))
-    out = blocked.join(carried, (F.col(by) == F.col("__by")) & (F.col("__b") == F.col("__cb")), "left").drop("__by", "__cb")
+    carried = last.select(F.col(by).alias("__by"), F.col("__b").alias("__cb"), F.last("__v").over(before).alias("__cv"), F.last("__t", True).over(before).alias("__ct"))
+    out = blocked.join(carried, (F.col(by) == F.col("__by")) & F.col("__b").eqNullSafe(F.col("__cb")), "left").drop("__by", "__cb")
     inside = Window.partitionBy(by, "__b").orderBy(*order)
-    out = out.withColumn("__prev", F.coalesce(F.lag(F.struct(F.col(time).alias("t"), F.col(value).alias("v"))).over(inside), F.col("__carry")))
-    changed = (F.col("__prev.v") != F.col(value)) | (F.col(time) - F.col("__prev.t") > gap_ms)
+    out = out.withColumn("__pv", F.coalesce(F.lag(F.struct(F.col(value).alias("v"))).over(inside), F.col("__cv")))
+    out = out.withColumn("__pt", F.coalesce(F.last(time, True).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("__ct")))
+    changed = F.coalesce(F.col("__pv.v") != F.col(value), F.lit(False)) | F.coalesce(F.col(time) - F.col("__pt") > gap_ms, F.lit(False))
     # Used twice below; written once, so that what came before is not computed again.
     ensure_checkpoint_dir(df.sparkSession)
     out = out.withColumn("is_break", F.coalesce(changed, F.lit(False))).checkpoint()
@@ -65,7 +67,7 @@ def runs(df: DataFrame, *, by: str, time: str, order: list[str], value: str, gap
     count = count.select(F.col(by).alias("__by"), F.col("__b").alias("__cb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     out = out.join(count, (F.col(by) == F.col("__by")) & (F.col("__b") == F.col("__cb")), "left")
     so_far = F.sum(F.col("is_break").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("run_no", (F.col("__base") + so_far).cast("bigint")).drop("__b", "__carry", "__prev", "__by", "__cb", "__base")
+    return out.withColumn("run_no", (F.col("__base") + so_far).cast("bigint")).drop("__b", "__cv", "__ct", "__pv", "__pt", "__by", "__cb", "__base")
 
 
 def with_global_index(df: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -77,6 +77,24 @@ def default_comparison(years: DataFrame, year: int | None) -> DataFrame:
     return y.agg(F.coalesce(F.max(F.when(F.col("year") < year, F.col("year"))), F.max(F.when(F.col("year") != year, F.col("year")))).alias("year"))
 
 
+def year_options(*years: DataFrame) -> DataFrame:
+    """The years that any table has (each with a column ``year``), for a choice; nulls and 0 are none."""
+    both = None
+    for y in years:
+        y = y.select(F.col("year").cast("int").alias("year"))
+        both = y if both is None else both.unionByName(y)
+    return both.where(F.col("year") != 0).distinct().orderBy("year")
+
+
+def comparison_years(years: DataFrame) -> DataFrame:
+    """``year, other``: for each year the one to compare with, as in ``default_comparison``."""
+    y = years.select("year").where(F.col("year").isNotNull()).distinct()
+    # One row for each year of the data: a handful, whatever the input.
+    w = Window.partitionBy(F.lit(0)).orderBy("year")
+    later = F.max("year").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return y.select("year", F.coalesce(F.lag("year").over(w), F.nullif(later, F.col("year"))).alias("other"))
+
+
 def random_day(counts: DataFrame, seed: int) -> DataFrame:
     """One recorded day of each subject, the same for the same seed: the least of the days' hashes."""
     return counts.groupBy("subject_id").agg(F.min_by("date_str", F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("subject_id").cast("string"), "date_str")), "date_str")).alias("date_str"))

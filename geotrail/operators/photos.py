@@ -94,3 +94,14 @@ def photos_by_place(photos: DataFrame, stays: DataFrame, threshold_m: float) ->
 def photo_summary(photos: DataFrame) -> DataFrame:
     """Number of photos by where their place comes from."""
     return photos.groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count("*").alias("n"))
+
+
+def gallery(photos: DataFrame, most: int = 80) -> DataFrame:
+    """The first photos by time, as many as a gallery shows."""
+    return photos.orderBy("taken_ms", "photo_idx").limit(most)
+
+
+def pin_changes(drawn: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``photo_idx, action``: which pins to add and which to remove."""
+    add = wanted.select("photo_idx").distinct().join(drawn.select("photo_idx"), "photo_idx", "left_anti").select("photo_idx", F.lit("add").alias("action"))
+    return add.unionByName(drawn.select("photo_idx").distinct().join(wanted.select("photo_idx"), "photo_idx", "left_anti").select("photo_idx", F.lit("remove").alias("action")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geotrail.functions.geo import destination, flat_bearing, haversine_m
+from geotrail.functions.text import place_label
 from geotrail.operators.dual_tree import _groups
 from geotrail.operators.dual_tree import haversine_m as sphere_m
 from geotrail.operators.filters import _covered_cells, _met, near_any
@@ -178,3 +179,46 @@ def nearest_station(places: DataFrame, stations: DataFrame, radius_m: float = 25
 def unlabelled(places: DataFrame, labels: DataFrame) -> DataFrame:
     """Places whose cache key has no label yet."""
     return places.join(labels.select(F.col("cache_key")), "cache_key", "left_anti")
+
+
+def open_bookmarks(marks: DataFrame, stays: DataFrame, zones: DataFrame, years: DataFrame, private: bool = False) -> DataFrame:
+    """What opening each bookmark shows: ``mark_id, year, month, target, pref_code, cluster_id, muni_code, day, found``.
+
+    ``marks`` are ``mark_id, subject_id, view, pref_code, muni_code, anchor_lat, anchor_lng, day, year, month``; ``stays`` need ``cluster_id``,
+    ``pref_code`` and ``muni_code``. The period counts only if its year is there. A place's anchor leads to the nearest stay within reach:
+    to its place, under privacy to its region; if there is none, to the bookmark's first-level region, not found. Days are
+    not shown under privacy.
+    """
+    at = resolve_bookmarks(marks.where((F.col("view") == "place") & F.col("anchor_lat").isNotNull() & F.col("anchor_lng").isNotNull()), stays, zones).where(F.col("visit_idx").isNotNull())
+    s = stays.select(F.col("visit_idx").alias("__v"), F.col("cluster_id").alias("__c"), F.col("muni_code").alias("__m"), F.col("pref_code").alias("__p"))
+    hit = at.join(s, F.col("visit_idx") == F.col("__v")).select(F.col("mark_id").alias("__id"), "__c", "__m", "__p")
+    y = years.select(F.col("year").alias("__y")).distinct()
+    out = marks.join(hit, F.col("mark_id") == F.col("__id"), "left").join(y, F.col("year") == F.col("__y"), "left")
+    known, place = F.col("__y").isNotNull(), F.col("view") == "place"
+    anchored, seen = place & F.col("anchor_lat").isNotNull() & F.col("anchor_lng").isNotNull(), F.col("__id").isNotNull()
+    direct = place & ~anchored & F.col("muni_code").isNotNull()
+    target = F.when(seen | direct, "place").when(place | (F.col("view") == "prefecture"), "prefecture").otherwise("national")
+    muni = F.when(direct, F.col("muni_code")).when(seen & F.lit(private), F.col("__m"))
+    return out.select(
+        "mark_id",
+        F.when(known, F.col("year")).alias("year"),
+        F.when(known, F.col("month")).alias("month"),
+        target.alias("target"),
+        F.when(target != "national", F.coalesce("__p", "pref_code")).alias("pref_code"),
+        (F.lit(None).cast("bigint") if private else F.col("__c")).alias("cluster_id"),
+        muni.alias("muni_code"),
+        (F.lit(None).cast("string") if private else F.col("day")).alias("day"),
+        (~anchored | seen).alias("found"),
+    )
+
+
+def with_cache_key(modal: DataFrame) -> DataFrame:
+    """Places (``cluster_id, lat, lng, place_id``) with the key of their label in the cache."""
+    return modal.withColumn("cache_key", cache_key(F.col("place_id"), F.col("lat"), F.col("lng")))
+
+
+def named_stays(stays: DataFrame, labels: DataFrame, regions: DataFrame) -> DataFrame:
+    """``visit_idx, name``: the label of each stay's place (``labels``: cluster_id, label) with its region, or the region alone."""
+    r = regions.select(F.col("code").alias("__r"), F.col("name").alias("__n"))
+    named = stays.join(labels.select(F.col("cluster_id").alias("__c"), "label"), F.col("cluster_id") == F.col("__c"), "left").join(r, F.col("muni_code") == F.col("__r"), "left")
+    return named.select("visit_idx", place_label(F.col("label"), F.coalesce("__n", F.lit("Unknown"))).alias("name"))

@@ -33,21 +33,30 @@ def point_modes(points: DataFrame, moves: DataFrame) -> DataFrame:
     return out.select(*points.columns, mode.alias("mode"), F.when(inside, F.col("b_idx")).alias("inside_idx"), tier.alias("tier")).checkpoint()
 
 
-def route_runs(points: DataFrame) -> DataFrame:
+#: Points of a subject that one task numbers where they keep the order they came in.
+SOURCE_BLOCK = 100_000
+
+
+def route_runs(points: DataFrame, source_order: str | None = None) -> DataFrame:
     """Rows of points per run: a run ends where the mode changes or after a pause, and the point there also ends the run before.
 
-    ``points`` need ``mode``. Runs of fewer than two points are left out.
+    ``points`` need ``mode``. They follow each other by time, or as they came by the integer column ``source_order``; then the pause is
+    counted from the last point with a time. Runs of fewer than two points are left out.
     """
-    numbered = runs(points, by="subject_id", time="t_ms", order=["t_ms", "point_idx"], value="mode", gap_ms=MOST_GAP_MS)
+    if source_order is None:
+        numbered = runs(points, by="subject_id", time="t_ms", order=["t_ms", "point_idx"], value="mode", gap_ms=MOST_GAP_MS)
+    else:
+        block = F.floor(F.col(source_order) / F.lit(SOURCE_BLOCK)).cast("bigint")
+        numbered = runs(points, by="subject_id", time="t_ms", order=[source_order], value="mode", gap_ms=MOST_GAP_MS, block=block)
     own = numbered.withColumn("shared", F.lit(0))
     # The breaking point closes the run before: same place and time, run number one less.
     closing = numbered.where("is_break").withColumn("run_no", F.col("run_no") - 1).withColumn("shared", F.lit(1))
     return own.unionByName(closing)
 
 
-def run_segments(run_points: DataFrame) -> DataFrame:
+def run_segments(run_points: DataFrame, source_order: str | None = None) -> DataFrame:
     """One row per run: ``points`` in order, the mode of the run's own points, and its times."""
-    pack = F.sort_array(F.collect_list(F.struct(F.col("t_ms").alias("t"), F.col("point_idx").alias("i"), "lat", "lng")))
+    pack = F.sort_array(F.collect_list(F.struct(*([source_order] if source_order else []), F.col("t_ms").alias("t"), F.col("point_idx").alias("i"), "lat", "lng")))
     mode = F.max(F.when(F.col("shared") == 0, F.col("mode")))
     out = run_points.groupBy("subject_id", "run_no").agg(pack.alias("points"), mode.alias("mode")).where(F.size("points") >= 2)
     return out.select("subject_id", "run_no", "mode", F.lit(False).alias("inferred"), "points", F.col("points")[0]["t"].alias("start_ms"), F.element_at("points", -1)["t"].alias("end_ms"))
@@ -90,12 +99,17 @@ def visible_moves(moves: DataFrame, segments: DataFrame, zones: DataFrame) -> Da
     """
     ends = flag_near(moves, "start_lat", "start_lng", zones, "zone_lat", "zone_lng", F.col("radius_m"), "start_hidden")
     ends = flag_near(ends, "end_lat", "end_lng", zones, "zone_lat", "zone_lng", F.col("radius_m"), "end_hidden")
+    ensure_checkpoint_dir(moves.sparkSession)
+    segments = segments.checkpoint()
     hours = lambda a, b: F.explode_outer(F.sequence(F.floor(F.col(a) / 3_600_000), F.floor(F.col(b) / 3_600_000)))
     m = moves.where(F.col("start_ms") <= F.col("end_ms")).select("subject_id", "activity_idx", F.col("start_ms").alias("a0"), F.col("end_ms").alias("a1"), hours("start_ms", "end_ms").alias("h"))
-    s = segments.select("subject_id", F.col("run_no").alias("r"), F.col("piece").alias("pc"), "trimmed", "points", "start_ms", "end_ms", hours("start_ms", "end_ms").alias("h"))
+    s = segments.select("subject_id", F.col("run_no").alias("r"), F.col("piece").alias("pc"), "trimmed", "start_ms", "end_ms", hours("start_ms", "end_ms").alias("h"))
     # Each overlapping pair counts once, in the first hour that both share.
     first = F.col("h") == F.greatest(F.floor(F.col("a0") / 3_600_000), F.floor(F.col("start_ms") / 3_600_000))
     pair = m.join(s, ["subject_id", "h"]).where((F.col("start_ms") <= F.col("a1")) & (F.col("end_ms") >= F.col("a0")) & first)
+    # Only now the points, once for each pair that overlaps.
+    points = segments.select("subject_id", F.col("run_no").alias("r"), F.col("piece").alias("pc"), "points")
+    pair = pair.select("subject_id", "activity_idx", "a0", "a1", "r", "pc", "trimmed").join(points, ["subject_id", "r", "pc"])
     seen = F.filter("points", lambda p: (p["t"] >= F.col("a0")) & (p["t"] <= F.col("a1")))
     pair = pair.withColumn("seen", seen)
     enough = F.size("seen") >= 2
@@ -123,6 +137,11 @@ def visible_moves(moves: DataFrame, segments: DataFrame, zones: DataFrame) -> Da
     )
 
 
+def without_modes(segments: DataFrame, hidden: tuple[str, ...]) -> DataFrame:
+    """Segments but for those of hidden modes."""
+    return segments.where(~F.coalesce(F.col("mode").isin(*hidden), F.lit(False))) if hidden else segments
+
+
 def even_sample(df: DataFrame, order: str, most: int) -> DataFrame:
     """At most ``most`` rows, evenly spread over the order; the feature is the thinning itself."""
     n = df.count()

@@ -13,101 +13,101 @@ from geotrail.operators import routes as U
 from geotrail.operators.stays import connected_components, stay_points
 from geotrail.sources import timeline
 
-A_PLACE, B_PLACE, OSAKA = "35.6812000°, 139.7671000°", "35.6820980°, 139.7671000°", "34.7024850°, 135.4959510°"
+# Three places of our own: a quay, a stall 130 m north of it, and a hut beyond the strait.
+QUAY, STALL, HUT = "43.5081300°, 16.4401900°", "43.5093000°, 16.4401900°", "42.9602500°, 17.1361700°"
 
 
-def visit(day, hour, place, pid=None, minutes=30):
-    return {
-        "startTime": f"2024-{day}T{hour:02d}:00:00.000+09:00",
-        "endTime": f"2024-{day}T{hour:02d}:{minutes:02d}:00.000+09:00",
-        "startTimeTimezoneUtcOffsetMinutes": 540,
-        "visit": {"probability": 0.9, "topCandidate": {"placeId": pid or "", "semanticType": "UNKNOWN", "placeLocation": {"latLng": place}}},
-    }
+def segment(day, start, end, **what):
+    return {"startTime": f"2023-{day}T{start}:00.000+01:00", "endTime": f"2023-{day}T{end}:00.000+01:00", "startTimeTimezoneUtcOffsetMinutes": 60, **what}
 
 
-def move(day, t0, t1, km, kind, a=A_PLACE, b=OSAKA):
-    return {
-        "startTime": f"2024-{day}T{t0}:00.000+09:00",
-        "endTime": f"2024-{day}T{t1}:00.000+09:00",
-        "startTimeTimezoneUtcOffsetMinutes": 540,
-        "activity": {"start": {"latLng": a}, "end": {"latLng": b}, "distanceMeters": km * 1000.0, "topCandidate": {"type": kind}},
-    }
+def visit(day, hour, place, pid=None, minutes=40):
+    return segment(day, f"{hour:02d}:00", f"{hour:02d}:{minutes:02d}", visit={"probability": 0.7, "topCandidate": {"placeId": pid or "", "semanticType": "UNKNOWN", "placeLocation": {"latLng": place}}})
+
+
+def move(day, t0, t1, km, kind, a=QUAY, b=HUT):
+    return segment(day, t0, t1, activity={"start": {"latLng": a}, "end": {"latLng": b}, "distanceMeters": km * 1000.0, "topCandidate": {"type": kind}})
 
 
 @pytest.fixture(scope="module")
 def sample(spark, tmp_path_factory):
-    segments = [visit(f"01-{d:02d}", 8, A_PLACE, "pa") for d in range(1, 11)] + [visit(f"02-{d:02d}", 8, B_PLACE) for d in (1, 2)] + [visit(f"01-{d}", 14, OSAKA, "po") for d in (20, 21, 22)]
-    segments.append(move("01-20", "10:00", "12:30", 403, "IN_TRAIN"))
-    path = [("35.68°, 139.76°", "10:00"), ("35.1°, 137.0°", "11:15"), ("34.70°, 135.49°", "12:30"), ("broken", "12:40")]
-    segments.append({"startTime": "2024-01-20T10:00:00+09:00", "endTime": "2024-01-20T12:00:00+09:00", "timelinePath": [{"point": p, "time": f"2024-01-20T{t}:00.000+09:00"} for p, t in path]})
-    segments.append({"startTime": "2024-01-20T10:00:00+09:00", "timelineMemory": {}})
-    segments.append(visit("01-03", 3, "nowhere"))
-    doc = {"semanticSegments": segments, "userLocationProfile": {"frequentPlaces": [{"placeId": "pa", "placeLocation": A_PLACE, "label": "HOME"}, {"placeId": "x", "placeLocation": "bad", "label": "WORK"}]}, "rawSignals": []}
+    segments = [visit(f"03-{d:02d}", 9, QUAY, "quay") for d in range(2, 9)] + [visit(f"05-{d:02d}", 17, STALL) for d in (4, 5, 6)] + [visit(f"03-{d}", 19, HUT, "hut") for d in (11, 12, 13, 14)]
+    segments.append(move("03-11", "13:20", "17:05", 96, "IN_FERRY"))
+    path = [("43.50°, 16.44°", "13:20"), ("43.20°, 16.80°", "14:40"), ("42.96°, 17.13°", "17:05"), ("off the chart", "17:10")]
+    segments.append({"startTime": "2023-03-11T13:20:00+01:00", "endTime": "2023-03-11T17:00:00+01:00", "startTimeTimezoneUtcOffsetMinutes": 60, "timelinePath": [{"point": p, "time": f"2023-03-11T{t}:00.000+01:00"} for p, t in path]})
+    segments.append({"startTime": "2023-03-11T13:20:00+01:00", "timelineMemory": {}})
+    segments.append(visit("03-05", 4, "at sea"))
+    doc = {"semanticSegments": segments, "userLocationProfile": {"frequentPlaces": [{"placeId": "quay", "placeLocation": QUAY, "label": "WORK"}, {"placeId": "none", "placeLocation": "?", "label": "HOME"}]}, "rawSignals": []}
     folder = tmp_path_factory.mktemp("export")
     (folder / "timeline.json").write_text(json.dumps(doc))
-    t = timeline.normalize(timeline.read_documents(spark, str(folder)))
-    return t
+    return timeline.normalize(timeline.read_documents(spark, str(folder)))
+
+
+def history(tables):
+    stays = stay_points(tables.visits).withColumn("muni_code", F.lit("m")).withColumn("pref_code", F.lit(1))
+    return History(stays, tables.activities, tables.path_points, tables.frequent_places)
 
 
 def test_tables(sample):
-    assert (sample.visits.count(), sample.activities.count(), sample.path_points.count(), sample.frequent_places.count()) == (15, 1, 3, 1)
+    assert (sample.visits.count(), sample.activities.count(), sample.path_points.count(), sample.frequent_places.count()) == (14, 1, 3, 1)
     r = sample.activities.first()
-    assert (r["mode"], r["distance_m"], r["date_str"], r["hour"], r["dow"]) == ("IN_TRAIN", 403000.0, "2024-01-20", 10, 6)
+    assert (r["mode"], r["distance_m"], r["date_str"], r["hour"], r["dow"]) == ("IN_FERRY", 96000.0, "2023-03-11", 13, 6)
     assert sample.visits.where("place_id = ''").count() == 0
 
 
 def test_stay_points_at_two_thresholds(sample):
     sizes = lambda m: sorted(r["count"] for r in stay_points(sample.visits, m).groupBy("cluster_id").count().collect())
-    assert sizes(50.0) == [2, 3, 10] and sizes(200.0) == [3, 12]
+    assert sizes(60.0) == [3, 4, 7] and sizes(150.0) == [4, 10]
 
 
 def test_zone_hides_a_place_but_no_statistics(spark, sample):
-    zones = spark.createDataFrame([(35.6812, 139.7671, 50.0)], "zone_lat double, zone_lng double, radius_m double")
-    h = History(stay_points(sample.visits).withColumn("muni_code", F.lit("m")).withColumn("pref_code", F.lit(1)), sample.activities, sample.path_points, sample.frequent_places)
-    assert [r["visits"] for r in h.ranking().collect()] == [10, 3, 2]
-    assert [r["visits"] for r in h.zones(zones).ranking().collect()] == [3, 2]
-    assert h.zones(zones).stats().first()["distance_m"] == 403000.0
+    zones = spark.createDataFrame([(43.50813, 16.44019, 70.0)], "zone_lat double, zone_lng double, radius_m double")
+    h = history(sample)
+    assert [r["visits"] for r in h.ranking().collect()] == [7, 4, 3]
+    assert [r["visits"] for r in h.zones(zones).ranking().collect()] == [4, 3]
+    assert h.zones(zones).stats().first()["distance_m"] == 96000.0
     assert h.zones(zones).zones(None).ranking().count() == 3
 
 
 def test_privacy_and_periods(sample):
-    h = History(stay_points(sample.visits).withColumn("muni_code", F.lit("m")).withColumn("pref_code", F.lit(1)), sample.activities, sample.path_points, sample.frequent_places)
-    assert h.privacy().stays().count() == 3 and h.privacy().moves().count() == 0
-    assert h.period(2024, 2).stays().count() == 2 and h.period(month=1).stays().count() == 13 and h.up_to(2024, 1).stays().count() == 13
-    assert h.privacy().ranking().first()["visits"] == 3
+    h = history(sample)
+    assert h.privacy().stays().count() == 4 and h.privacy().moves().count() == 0
+    assert h.period(2023, 5).stays().count() == 3 and h.period(month=3).stays().count() == 11 and h.up_to(2023, 4).stays().count() == 11
+    assert h.privacy().ranking().first()["visits"] == 4
 
 
 def test_routes_of_a_trip(spark, sample):
     moves = sample.activities.withColumn("subject_id", F.lit(1).cast("bigint"))
     points = sample.path_points.withColumn("subject_id", F.lit(1).cast("bigint")).withColumn("point_idx", F.col("pt_idx"))
     modes = U.point_modes(points, moves)
-    assert {r["mode"] for r in modes.collect()} == {"IN_TRAIN"}
+    assert {r["mode"] for r in modes.collect()} == {"IN_FERRY"}
     segments = U.run_segments(U.route_runs(modes))
-    # The pauses are 75 minutes, so the trip is two runs that share the point between them.
-    clock = lambda ms: f"{(ms // 60_000 + 540) // 60 % 24:02d}:{ms // 60_000 % 60:02d}"
-    assert sorted((clock(r["start_ms"]), clock(r["end_ms"]), len(r["points"])) for r in segments.collect()) == [("10:00", "11:15", 2), ("11:15", "12:30", 2)]
+    # Both pauses are longer than a run bears, so the trip is two runs that share the point between them.
+    clock = lambda ms: f"{(ms // 60_000 + 60) // 60 % 24:02d}:{ms // 60_000 % 60:02d}"
+    assert sorted((clock(r["start_ms"]), clock(r["end_ms"]), len(r["points"])) for r in segments.collect()) == [("13:20", "14:40", 2), ("14:40", "17:05", 2)]
     assert U.inferred_segments(moves, modes).count() == 0
-    zone = spark.createDataFrame([(35.68, 139.76, 2000.0)], "zone_lat double, zone_lng double, radius_m double")
+    zone = spark.createDataFrame([(43.50, 16.44, 1500.0)], "zone_lat double, zone_lng double, radius_m double")
     seen = U.visible_moves(moves, U.trimmed_segments(segments, zone), zone).first()
-    assert (clock(seen["start_ms"]), clock(seen["end_ms"]), seen["partial"], seen["start_cut"], seen["end_cut"]) == ("11:15", "12:30", True, True, False)
-    both = zone.union(spark.createDataFrame([(34.70, 135.49, 2000.0), (35.1, 137.0, 50.0)], zone.schema))
+    assert (clock(seen["start_ms"]), clock(seen["end_ms"]), seen["partial"], seen["start_cut"], seen["end_cut"]) == ("14:40", "17:05", True, True, False)
+    both = zone.union(spark.createDataFrame([(42.96, 17.13, 1500.0), (43.2, 16.8, 40.0)], zone.schema))
     assert U.visible_moves(moves, U.trimmed_segments(segments, both), both).count() == 0
 
 
 def test_days(sample):
     counts = D.day_counts(sample.visits, sample.activities)
     got = {r["date_str"]: (r["prev_day"], r["next_day"]) for r in D.recorded_days(counts).collect()}
-    assert got["2024-01-20"] == ("2024-01-10", "2024-01-21")
-    assert D.anniversary(counts, "2025-01-21").first()["date_str"] == "2024-01-21" and D.anniversary(counts, "2025-06-15").count() == 0
-    grid = {r["date_str"]: r for r in D.calendar_grid(counts, 2024).collect()}
-    assert len(grid) == 366 and (grid["2024-01-01"]["grid_col"], grid["2024-01-01"]["grid_row"]) == (1, 2) and grid["2024-01-20"]["level"] == 4
+    assert got["2023-03-11"] == ("2023-03-08", "2023-03-12")
+    assert D.anniversary(counts, "2024-03-13").first()["date_str"] == "2023-03-13" and D.anniversary(counts, "2024-08-20").count() == 0
+    grid = {r["date_str"]: r for r in D.calendar_grid(counts, 2023).collect()}
+    assert len(grid) == 365 and (grid["2023-01-01"]["grid_col"], grid["2023-01-01"]["grid_row"]) == (1, 1) and grid["2023-03-11"]["level"] == 4
 
 
 def test_days_of_photos_and_path_points_are_recorded(spark, data):
     from geotrail.functions.calendar import date_text
-    from geotrail.plans import adapter, history
+    from geotrail.plans import adapter
+    from geotrail.plans import history as plans
 
-    days = {(r["subject_id"], r["date_str"]) for r in history.QUERIES["recorded_days"](spark, data).collect()}
+    days = {(r["subject_id"], r["date_str"]) for r in plans.QUERIES["recorded_days"](spark, data).collect()}
     photos = adapter.photos(spark, data).select("subject_id", date_text(F.col("taken_ms")))
     points = adapter.path_points(spark, data).select("subject_id", "date_str")
     rest = [f(spark, data).select("subject_id", "date_str") for f in (adapter.visits, adapter.activities)]
