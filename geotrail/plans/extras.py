@@ -76,11 +76,6 @@ def marker_sizes(spark, sf_dir):
     return A.marker_sizes(A.place_ranking(clustered(spark, sf_dir), limit=None))
 
 
-@query("SELECT code FROM regions WHERE x + 0.1 >= 135.21 - 0.05 AND x <= 135.41 + 0.05 AND y + 0.1 >= 35.21 - 0.05 AND y <= 35.41 + 0.05")
-def regions_in_view(spark, sf_dir):
-    return R.in_view(T.regions(spark), 135.21, 35.21, 135.41, 35.41).select("code")
-
-
 @query("SELECT visit_idx FROM visits WHERE pref_code = 1 AND muni_code = '01000' AND NOT (lat BETWEEN 34.95 AND 35.0004 AND lng BETWEEN 134.95 AND 135.0022)")
 def island_visits(spark, sf_dir):
     # A region of two parts: the larger one holds only some of the lattice.

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from geotrail.plans import extras, history, problems, routes
+from geotrail.plans import extras, history, problems, routes, views
 
 FLAGSHIP = "p1_found"
-_MODULES = (problems, history, routes, extras)
+_MODULES = (problems, history, routes, extras, views)
 
 
 def queries() -> dict[str, Callable]:

@@ -291,53 +291,11 @@ def search_dates(spark, sf_dir):
     return S.search_dates(asked, T.visits(spark, sf_dir).select("date_str"))
 
 
-_ANSWERS = (
-    (1, "Cafe Ume", "amenity", "cafe", {"mall": "Great Mall"}, "Cafe Ume, Town"),
-    (2, "Cafe Ume", "amenity", "cafe", {}, "Cafe Ume, Town"),
-    (3, "City Hall", "amenity", "townhall", {"building": "Block"}, "City Hall"),
-    (4, "中央駅改札口", "railway", "platform", {"suburb": "North"}, None),
-    (5, None, "place", "house", {"building": "Tower"}, "Tower, X"),
-    (6, "", "highway", "path", {"road": "地下通路"}, "Somewhere, Y"),
-    (7, None, None, None, {"quarter": "Q", "road": "R"}, None),
-    (8, None, None, None, {}, None),
-)
-
-
-@query(
-    """SELECT * FROM (VALUES (1, 'Great Mall', true), (2, 'Cafe Ume', false), (3, 'City Hall', true), (4, 'North', false), (5, 'Tower', true), (6, 'Somewhere', false), (7, 'Q', false), (8, NULL, false))
-    t(id, label, confident)"""
-)
-def label_extract(spark, sf_dir):
-    a = spark.createDataFrame(list(_ANSWERS), "id int, name string, category string, kind string, address map<string, string>, display string")
-    return a.select("id", P.place_name(F.col("name"), F.col("category"), F.col("kind"), F.col("address"), F.col("display")).alias("p")).select("id", "p.*")
-
-
-@query("SELECT * FROM (VALUES (1, 'Hall'), (2, 'Park'), (3, NULL)) t(id, name)")
-def landmark_pick(spark, sf_dir):
-    area = lambda **t: ("area", t)
-    rows = [(1, [area(name="Zone", landuse="retail"), area(name="Hall", building="yes")]), (2, [area(name="Ward", boundary="x", leisure="y"), area(name="Park", leisure="park")]), (3, [("node", {"name": "N", "shop": "s"}), area(shop="s")])]
-    return spark.createDataFrame(rows, "id int, elements array<struct<type: string, tags: map<string, string>>>").select("id", P.landmark(F.col("elements")).alias("name"))
-
-
 @query("SELECT visit_idx, CASE WHEN place_id IS NOT NULL THEN 'place:' || place_id ELSE printf('coord:%.5f,%.5f', lat, lng) END AS cache_key FROM visits")
 def label_keys(spark, sf_dir):
     return T.visits(spark, sf_dir).select("visit_idx", P.cache_key(F.col("place_id"), F.col("lat"), F.col("lng")).alias("cache_key"))
 
 
-@query("SELECT '01' AS code, 'GunTown' AS name, 2 AS polygons UNION ALL SELECT '02', 'City', 1")
-def boundary_merge(spark, sf_dir):
-    ring = lambda x: [[[x, 0.0], [x + 1, 0.0], [x + 1, 1.0], [x, 0.0]]]
-    rows = [("01", "Gun", "Town", [ring(0.0)]), ("01", "Gun", "Town", [ring(5.0)]), ("02", None, "City", [ring(9.0)]), (None, None, "Lake", [ring(20.0)]), ("", None, "Sea", [ring(30.0)])]
-    parts = spark.createDataFrame(rows, "code string, county string, name string, polygons array<array<array<array<double>>>>")
-    return R.merge_boundary_parts(parts).select("code", "name", F.size("geometry").alias("polygons"))
-
-
-@query("SELECT 2023 AS year UNION ALL SELECT 2025")
-def comparison_year(spark, sf_dir):
-    years = spark.createDataFrame([(2022,), (2023,), (2024,), (2025,)], "year int")
-    return D.default_comparison(years, 2024).unionByName(D.default_comparison(years, None))
-
-
 @query(
     """SELECT activity_idx, CASE WHEN distance_m < 1000 THEN distance_m || ' m' ELSE format('{:,.1f} km', distance_m / 1000.0 + CASE WHEN distance_m % 1000 = 250 THEN 0.01 ELSE 0 END) END AS how_far FROM activities"""
 )
