@@ -176,6 +176,16 @@ def nearest_station(places: DataFrame, stations: DataFrame, radius_m: float = 25
     return best.select("place_id", F.col("b.s_name").alias("name"), F.col("b.d").alias("away_m"))
 
 
+def landmark_or_station(places: DataFrame, answers: DataFrame, stations: DataFrame, radius_m: float = 250.0) -> DataFrame:
+    """``place_id, name, how``: the landmark area that holds each place (``answers``: place_id, elements), else the nearest named station within
+    reach, else null: the order in which landmarks are asked for."""
+    held = answers.select(F.col("place_id").alias("__a"), landmark(F.col("elements")).alias("__area"))
+    near = nearest_station(places, stations, radius_m).select(F.col("place_id").alias("__s"), F.col("name").alias("__station"))
+    out = places.select("place_id").join(held, F.col("place_id") == F.col("__a"), "left").join(near, F.col("place_id") == F.col("__s"), "left")
+    how = F.when(F.col("__area").isNotNull(), "area").when(F.col("__station").isNotNull(), "station").otherwise("none")
+    return out.select("place_id", F.coalesce("__area", "__station").alias("name"), how.alias("how"))
+
+
 def unlabelled(places: DataFrame, labels: DataFrame) -> DataFrame:
     """Places whose cache key has no label yet."""
     return places.join(labels.select(F.col("cache_key")), "cache_key", "left_anti")

@@ -176,3 +176,8 @@ def numbered(clusters: DataFrame) -> DataFrame:
     ordered = with_global_index(clusters.select("subject_id", "cluster_id").distinct(), ["subject_id", "cluster_id"], "__i")
     first = ordered.groupBy("subject_id").agg(F.min("__i").alias("__first"))
     return ordered.join(first, "subject_id").select("subject_id", "cluster_id", (F.col("__i") - F.col("__first")).alias("cluster_no"))
+
+
+def centres(clusters: DataFrame) -> DataFrame:
+    """``cluster_id, lat, lng, stays``: the mean of each place's stays and their number."""
+    return clusters.groupBy("cluster_id").agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"), F.count("*").alias("stays"))

@@ -15,6 +15,7 @@ from geotrail.operators import places as P
 from geotrail.operators import regions as R
 from geotrail.operators import routes as U
 from geotrail.operators import search as S
+from geotrail.operators.stays import centres
 from geotrail.operators.shred import EXPORT, find_segments, shred
 from geotrail.plans import adapter as T
 from geotrail.plans.adapter import metres, sql
@@ -329,6 +330,25 @@ def labels_to_fetch(spark, sf_dir):
     return P.unlabelled(keyed.join(today, "cluster_id", "left_semi").select("cluster_id", "cache_key"), cache)
 
 
+@query(_CV + " SELECT cluster_id, round(avg(lat), 7) AS lat, round(avg(lng), 7) AS lng, count(*) AS stays FROM cv GROUP BY 1")
+def cluster_centres(spark, sf_dir):
+    return centres(clustered(spark, sf_dir)).select("cluster_id", F.round("lat", 7).alias("lat"), F.round("lng", 7).alias("lng"), "stays")
+
+
+@query(
+    f""", st AS (SELECT DISTINCT 'S' || r.code AS name, r.y + 0.05 AS lat, r.x + 0.05 AS lng FROM regions r), p AS (SELECT visit_idx, lat, lng, visit_idx % 4 = 0 AS held FROM visits),
+    q AS (SELECT p.visit_idx, arg_min(st.name, (round({metres('p.lat', 'p.lng', 'st.lat', 'st.lng')}, 3), st.name)) AS name FROM p JOIN st ON abs(p.lat - st.lat) < 0.01 AND abs(p.lng - st.lng) < 0.01
+      WHERE {metres('p.lat', 'p.lng', 'st.lat', 'st.lng')} <= 250 GROUP BY 1)
+    SELECT visit_idx AS place_id, CASE WHEN held THEN 'Hall ' || visit_idx ELSE q.name END AS name, CASE WHEN held THEN 'area' WHEN q.name IS NOT NULL THEN 'station' ELSE 'none' END AS how FROM p LEFT JOIN q USING (visit_idx)"""
+)
+def landmark_cascade(spark, sf_dir):
+    v = T.visits(spark, sf_dir).select(F.col("visit_idx").alias("place_id"), "lat", "lng")
+    stations = T.regions(spark).select(F.concat(F.lit("S"), "code").alias("name"), (F.col("geometry")[0][0][0][1] + 0.05).alias("lat"), (F.col("geometry")[0][0][0][0] + 0.05).alias("lng"))
+    tags = F.create_map(F.lit("name"), F.concat(F.lit("Hall "), F.col("place_id").cast("string")), F.lit("building"), F.lit("yes"))
+    answers = v.where("place_id % 4 = 0").select("place_id", F.array(F.struct(F.lit("area").alias("type"), tags.alias("tags"))).alias("elements"))
+    return P.landmark_or_station(v, answers, stations)
+
+
 # ---- jumps ----------------------------------------------------------------------------------------------------------
 
 

@@ -163,3 +163,13 @@ def clear_results(spark: SparkSession, folder: str) -> int:
     n = sum(len(fs.listStatus(v.getPath())) for v in fs.listStatus(path) if v.isDirectory())
     fs.delete(path, True)
     return n
+
+
+def delete_all(spark: SparkSession, folders: dict[str, str]) -> dict[str, int]:
+    """Removes every named store and says how many files each had."""
+    out = {}
+    for name, folder in folders.items():
+        path, fs = _fs(spark, folder)
+        out[name] = fs.getContentSummary(path).getFileCount() if fs.exists(path) else 0
+        fs.delete(path, True)
+    return out

@@ -91,3 +91,112 @@ def test_streams(spark, tmp_path):
     assert sorted((r["subject_id"], r["points"]) for r in spark.table("sessions").collect()) == want
     m = spark.createDataFrame([("2024-01-01 10:00:00", "WALKING", 5), ("2024-01-01 12:00:00", "WALKING", 6)], "ts string, mode string, distance_m bigint").withColumn("ts", F.to_timestamp("ts"))
     assert [(r["distance_m"], r["trips"]) for r in daily_distance(m).collect()] == [(11, 2)]
+
+
+def jpeg(lat=None, lng=None, taken=None, offset=None, order="<"):
+    """A picture with nothing in it but what a camera says."""
+    import struct
+
+    def block(entries, at):
+        head, tail = struct.pack(order + "H", len(entries)), b""
+        rest = at + 2 + 12 * len(entries) + 4
+        for tag, kind, count, value in entries:
+            head += struct.pack(order + "HHI", tag, kind, count)
+            if len(value) <= 4:
+                head += value.ljust(4, b"\0")
+            else:
+                head += struct.pack(order + "I", rest + len(tail))
+                tail += value
+        return head + b"\0" * 4 + tail
+
+    def angle(v):
+        v = abs(v)
+        return b"".join(struct.pack(order + "II", *p) for p in ((int(v), 1), (int(v * 60) % 60, 1), (round(v * 3600 % 60 * 1000), 1000)))
+
+    text = lambda t: (2, len(t) + 1, t.encode() + b"\0")
+    gps = [(1, *text("N" if lat >= 0 else "S")), (2, 5, 3, angle(lat)), (3, *text("E" if lng >= 0 else "W")), (4, 5, 3, angle(lng))] if lat is not None else []
+    exif = ([(0x9003, *text(taken))] if taken else []) + ([(0x9011, *text(offset))] if offset else [])
+    at_exif = 8 + 2 + 24 + 4
+    body_exif = block(exif, at_exif)
+    first = [(0x8769, 4, 1, struct.pack(order + "I", at_exif)), (0x8825, 4, 1, struct.pack(order + "I", at_exif + len(body_exif)))]
+    tiff = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8) + block(first, 8) + body_exif + block(gps, at_exif + len(body_exif))
+    app = b"Exif\0\0" + tiff
+    return b"\xff\xd8\xff\xe0\x00\x04ab\xff\xe1" + struct.pack(">H", len(app) + 2) + app + b"\xff\xda" + b"x" * 50
+
+
+def test_what_cameras_write():
+    from geotrail.sources.exif import read_exif
+
+    for order in "<>":
+        lat, lng, ms = read_exif(jpeg(-43.5081, 172.6362, "2023:03:11 13:20:05", "+01:00", order))
+        assert (round(lat, 6), round(lng, 6), ms) == (-43.5081, 172.6362, 1678537205000)
+        assert read_exif(jpeg(taken="2023:03:11 13:20:05", order=order)) == (None, None, 1678540805000)
+    whole = jpeg(1.5, -2.5, "2023:03:11 13:20:05")
+    assert all(len(read_exif(whole[:k])) == 3 for k in range(len(whole))) and read_exif(b"") == read_exif(b"GIF89a") == read_exif(jpeg(taken="yesterday"))[:2] + (None,)
+
+
+def test_manifest_follows_a_folder(spark, tmp_path):
+    d = tmp_path / "album"
+    d.mkdir()
+    (d / "a.jpg").write_bytes(jpeg(43.5, 16.4, "2023:03:11 13:20:05", "+01:00"))
+    (d / "b.jpg").write_bytes(jpeg())
+    (d / "b.jpg.json").write_text(json.dumps({"geoData": {"latitude": 1.0, "longitude": 2.0}, "photoTakenTime": {"timestamp": "1678540805"}}))
+    (d / "c.png").write_bytes(b"x")
+    kept = str(tmp_path / "kept")
+    counts = lambda: {r["source"]: r["n"] for r in photos.refresh_manifest(spark, str(d), kept).collect()}
+    assert counts() == {"exif": 1, "takeout": 1, "none": 1}
+    first = photos.read_manifest(spark, f"{kept}/records", photos.RECORD)
+    assert {r["path"].rsplit("/", 1)[1]: r["taken_ms"] for r in first.collect()}["a.jpg"] == 1678537205000
+    stamp = (tmp_path / "kept" / "records" / "_SUCCESS").stat().st_mtime_ns
+    assert counts() == {"exif": 1, "takeout": 1, "none": 1} and (tmp_path / "kept" / "records" / "_SUCCESS").stat().st_mtime_ns == stamp
+    (d / "c.png").unlink()
+    (d / "d.jpg").write_bytes(jpeg(1.0, 1.0))
+    assert counts() == {"exif": 2, "takeout": 1}
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "z.png").write_bytes(b"x")
+    assert {r["source"]: r["n"] for r in photos.refresh_manifest(spark, str(other), kept).collect()} == {"none": 1}
+
+
+def test_entries_of_results_are_whole_or_not_there(spark, tmp_path):
+    folder, key = str(tmp_path / "cache"), "k"
+    tables = {name: spark.range(n) for name, n in (("visits", 3), ("activities", 2), ("path_points", 0))}
+    assert stores.kept_entry(spark, folder, key) is None and not stores.keep_clusters(spark, folder, key, 50.0, spark.range(1))
+    stores.keep_entry(spark, folder, key, tables)
+    assert {n: t.count() for n, t in stores.kept_entry(spark, folder, key).items()} == {"visits": 3, "activities": 2, "path_points": 0}
+    assert stores.kept_clusters(spark, folder, key, 50.0) is None and stores.keep_clusters(spark, folder, key, 50.0, spark.range(4))
+    assert stores.kept_clusters(spark, folder, key, 50.0).count() == 4 and stores.kept_clusters(spark, folder, key, 200.0) is None
+    spark.range(9).write.mode("overwrite").parquet(f"{folder}/v{stores.RESULT_VERSION}/{key}/visits")
+    spark.catalog.refreshByPath(f"{folder}/v{stores.RESULT_VERSION}/{key}/visits")
+    assert stores.kept_entry(spark, folder, key) is None and not stores.keep_clusters(spark, folder, key, 200.0, spark.range(1))
+    assert stores.delete_all(spark, {"cache": folder, "nothing": str(tmp_path / "no")})["nothing"] == 0 and stores.kept_entry(spark, folder, key) is None
+
+
+def test_recent_files(spark, tmp_path):
+    opened = spark.createDataFrame([(f"h{i % 12}", f"/p{i}", "n", 1, i) for i in range(30)], "hash string, path string, name string, size bigint, opened_ms bigint")
+    assert sorted(r["hash"] for r in stores.evicted_files(opened).collect()) == ["h6", "h7"]
+    assert stores.without_file(opened, "h1").where("hash = 'h1'").count() == 0
+    (tmp_path / "copy").write_text("x")
+    copy = str(tmp_path / "copy")
+    assert stores.resolve_file(spark, str(tmp_path / "no"), copy) == copy and stores.resolve_file(spark, str(tmp_path / "no"), None) is None and stores.resolve_file(spark, copy, None) == copy
+    key = stores.file_key(spark, copy)
+    (tmp_path / "copy").write_text("xy")
+    assert stores.file_key(spark, copy) != key
+
+
+def test_choice_of_language():
+    assert [X.language("en", "ja", "ja-JP"), X.language("xx", "ja", "en"), X.language(None, None, "ja-JP"), X.language(None, None, None)] == ["en", "ja", "ja", "en"]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from geotrail.session import ensure_checkpoint_dir
+
+    unset = SimpleNamespace(isEmpty=lambda: True)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: None), sparkContext=context)
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(session)
