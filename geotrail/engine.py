@@ -6,7 +6,9 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
+from geotrail.functions.text import MOST_ZOOM, MOST_ZOOM_PRIVATE
 from geotrail.operators import aggregates as A
+from geotrail.operators import days as D
 from geotrail.operators import filters as L
 
 
@@ -80,6 +82,19 @@ class History:
         v = self.stays(display=True)
         return A.region_ranking(v, sort_by) if self.private else A.place_ranking(v, sort_by, limit)
 
+    @property
+    def closest_zoom(self) -> int:
+        """How far a map of this view may be drawn in."""
+        return MOST_ZOOM_PRIVATE if self.private else MOST_ZOOM
+
+    def year_options(self) -> DataFrame:
+        """The years that the history has, whatever the period."""
+        return D.year_options(self.visits, self.path_points)
+
+    def region_summaries(self) -> DataFrame:
+        """What is said of each second-level region, and why it has no stays if it has none."""
+        return A.region_summaries(self.second_level(), self.stays(display=True))
+
     def longest_trips(self, limit: int = 10) -> DataFrame:
         """The longest moves."""
         return A.longest_trips(self.moves(), limit)

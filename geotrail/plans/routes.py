@@ -17,6 +17,8 @@ from geotrail.operators import search as S
 from geotrail.plans import adapter as T
 from geotrail.plans.adapter import metres, sql
 from geotrail.plans.tables import table
+from geotrail.session import ensure_checkpoint_dir
+from geotrail.sources.stores import cached_result, file_key
 
 QUERIES, ORACLES = {}, {}
 
@@ -33,12 +35,17 @@ def query(oracle: str | None = None):
     return add
 
 
+def _kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table that loading a history makes once; kept in the shared folder for the file as it is."""
+    return cached_result(spark, f"{ensure_checkpoint_dir(spark)}/results", f"{file_key(spark, f'{sf_dir}/events.parquet')}-{name}", make)
+
+
 def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.point_modes(T.route_points(spark, sf_dir), T.route_activities(spark, sf_dir))
+    return _kept(spark, sf_dir, "modes", lambda: U.point_modes(T.route_points(spark, sf_dir), T.route_activities(spark, sf_dir)))
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.run_segments(U.route_runs(_modes(spark, sf_dir)))
+    return _kept(spark, sf_dir, "segments", lambda: U.run_segments(U.route_runs(_modes(spark, sf_dir))))
 
 
 def _inside_zone(lat: str, lng: str) -> str:
