@@ -18,7 +18,7 @@ from geotrail.operators.stays import numbered, stay_points
 from geotrail.plans import adapter as T
 from geotrail.plans.adapter import metres, sql
 from geotrail.plans.tables import table
-from geotrail.session import ensure_checkpoint_dir
+from geotrail.session import results_dir
 from geotrail.sources.stores import cached_result, file_key
 
 QUERIES, ORACLES = {}, {}
@@ -39,7 +39,7 @@ def query(oracle: str | None = None):
 def clustered(spark: SparkSession, sf_dir: str, threshold: float = 50.0) -> DataFrame:
     """Stays with their stay point; made once for a file as it is and a threshold, and kept in the shared folder for all questions."""
     key = f"{file_key(spark, f'{sf_dir}/events.parquet')}-{threshold:g}"
-    return cached_result(spark, f"{ensure_checkpoint_dir(spark)}/results", key, lambda: stay_points(T.visits(spark, sf_dir), threshold))
+    return cached_result(spark, results_dir(spark), key, lambda: stay_points(T.visits(spark, sf_dir), threshold))
 
 
 def _components(threshold: int) -> str:

@@ -17,7 +17,7 @@ from geotrail.operators import search as S
 from geotrail.plans import adapter as T
 from geotrail.plans.adapter import metres, sql
 from geotrail.plans.tables import table
-from geotrail.session import ensure_checkpoint_dir
+from geotrail.session import results_dir
 from geotrail.sources.stores import cached_result, file_key
 
 QUERIES, ORACLES = {}, {}
@@ -37,7 +37,7 @@ def query(oracle: str | None = None):
 
 def _kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     """A table that loading a history makes once; kept in the shared folder for the file as it is."""
-    return cached_result(spark, f"{ensure_checkpoint_dir(spark)}/results", f"{file_key(spark, f'{sf_dir}/events.parquet')}-{name}", make)
+    return cached_result(spark, results_dir(spark), f"{file_key(spark, f'{sf_dir}/events.parquet')}-{name}", make)
 
 
 def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:

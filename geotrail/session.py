@@ -59,18 +59,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if named:
-        if current.isEmpty():
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if named:
             context.setCheckpointDir(named)
-        return named
-    if current.isEmpty():
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        elif not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        folder = tempfile.mkdtemp(prefix="geotrail-checkpoint-")
-        atexit.register(shutil.rmtree, folder, True)
-        context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
+        else:
+            folder = tempfile.mkdtemp(prefix="geotrail-checkpoint-")
+            atexit.register(shutil.rmtree, folder, True)
+            context.setCheckpointDir(folder)
+    own = context._jsc.sc().getCheckpointDir().get()
+    _gone_at_the_end(spark, own)
+    return named or own
+
+
+def results_dir(spark: SparkSession) -> str:
+    """Where results are kept that several questions of one application share: in the shared folder, under the application's own name."""
+    folder = f"{ensure_checkpoint_dir(spark)}/geotrail-results-{spark.sparkContext.applicationId}"
+    _gone_at_the_end(spark, folder)
+    return folder
+
+
+def _gone_at_the_end(spark: SparkSession, folder: str) -> None:
+    """Has a folder of this application's own removed when it ends."""
+    context = spark.sparkContext
+    known = context.__dict__.setdefault("_geotrail_folders", set())
+    if folder not in known:
+        known.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        # Only what is there can be marked.
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
 
 def small_side(df: DataFrame, most_bytes: int = 64 * 1024 * 1024) -> DataFrame:
