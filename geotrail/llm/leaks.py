@@ -2,18 +2,21 @@
 
 Method: pigeonhole edit matching. A passage is ``min_words`` consecutive words of an item, joined and surrounded by single spaces. Each
 item is cut into pieces of equal length, so short that any of its passages holds one whole piece more than it may have edits.
-An edit changes one character of one piece, so a passage within the error budget leaves a piece untouched. An Aho-Corasick
-automaton finds the exact hits of all pieces of all items in one pass over a document; each hit is extended on both sides as far as the
-budget goes, and a passage that lies within is verified with Myers' bit-parallel edit distance.
+An edit changes one character of one piece, so a passage within the error budget leaves a piece untouched. Exact hits of all
+pieces of all items are found in one pass over a batch of documents, by rolling hashes of whole arrays and a sorted table of the pieces'
+hashes; each hit is compared, extended on both sides as far as the budget goes, and a passage that lies within is verified with
+Myers' bit-parallel edit distance.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left, bisect_right
-from collections import OrderedDict
+from array import array
+from bisect import bisect_left
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +24,14 @@ from pyspark.sql import functions as F
 from geotrail.llm.words import words
 
 #: Items are a set of held-out texts of fixed size, sent to every executor; a larger set is searched in blocks of this size.
-MOST_ITEM_BYTES = 8 * 1024 * 1024
-#: A piece has at least so many characters; an item too short for that has a smaller budget.
-LEAST_PIECE = 4
+MOST_ITEM_BYTES = 32 * 1024 * 1024
+#: A piece has at least so many characters; an item too short for that has a smaller budget. Longer ones have a multiple of it, so that
+#: there are few lengths to hash, up to the greatest.
+LEAST_PIECE, MOST_PIECE = 4, 32
+#: The rolling hash: an odd base and its inverse modulo 2**64, and the characters hashed at once.
+_BASE = 0x9E3779B97F4A7C15
+_WINDOW = 1 << 19
+_CHUNK = 1 << 21
 
 
 def myers(pattern: str, text: str, most: int) -> int:
@@ -63,8 +71,13 @@ def budget_and_piece(shortest: int, max_edits: int) -> tuple[int, int]:
     """
     for edits in range(max_edits, 0, -1):
         if (size := (shortest + 1) // (edits + 2)) >= LEAST_PIECE:
-            return edits, size
-    return 0, max(1, (shortest + 1) // 2)
+            return edits, _rounded(size)
+    return 0, _rounded(max(1, (shortest + 1) // 2))
+
+
+def _rounded(size: int) -> int:
+    """A length that is no longer; shorter pieces only add to those that a passage holds."""
+    return size if size < LEAST_PIECE else min(size // LEAST_PIECE * LEAST_PIECE, MOST_PIECE)
 
 
 class _Item:
@@ -76,30 +89,41 @@ class _Item:
         for x in [*w, ""]:
             at.append(p)
             p += len(x) + 1
-        self.begin = at[: len(w) - need + 1]
-        self.end = [at[s + need] + 1 for s in range(len(self.begin))]
+        self.begin = array("i", at[: len(w) - need + 1])
+        self.end = array("i", (at[s + need] + 1 for s in range(len(self.begin))))
         self.edits, self.size = budget_and_piece(min(e - b for b, e in zip(self.begin, self.end)), max_edits)
 
 
 def _agree(a: str, i: int, b: str, j: int) -> int:
     """How many characters of ``a`` from ``i`` on and of ``b`` from ``j`` on are the same."""
-    most, n, step = min(len(a) - i, len(b) - j), 0, 16
-    while n < most and a[i + n : i + n + step] == b[j + n : j + n + step]:
-        n += step
-    n = min(n, most)
+    most = min(len(a) - i, len(b) - j)
+    n = 0
     while n < most and a[i + n] == b[j + n]:
         n += 1
+        if n & 7 == 0:
+            while n + 32 <= most and a[i + n : i + n + 32] == b[j + n : j + n + 32]:
+                n += 32
     return n
 
 
 def _reaches(a: str, i: int, b: str, j: int, most: int) -> list[int]:
     """How far in ``a``, from ``i`` on, 0, 1, .. ``most`` edits lead along ``b`` from ``j`` on."""
-    front = {0: i + _agree(a, i, b, j)}
-    out = [front[0]]
+    p = i + _agree(a, i, b, j)
+    out = [p]
+    if not most or p == len(a):
+        return out + [p] * most
+    q = p + j - i
+    if most == 1:
+        # A lost character, a changed one, an added one.
+        best = p + 1 + _agree(a, p + 1, b, q)
+        if q < len(b):
+            best = max(best, p + 1 + _agree(a, p + 1, b, q + 1), p + _agree(a, p, b, q + 1))
+        out.append(best)
+        return out
+    front = {0: p}
     for k in range(1, most + 1):
         new: dict[int, int] = {}
         for d in range(-k, k + 1):
-            # A changed, an added, a lost character.
             at = min(max(front.get(d, -2) + 1, front.get(d - 1, -1), front.get(d + 1, -2) + 1), len(a))
             if at >= i and 0 <= (q := at + j - i + d) <= len(b):
                 new[d] = at + _agree(a, at, b, q)
@@ -108,50 +132,126 @@ def _reaches(a: str, i: int, b: str, j: int, most: int) -> list[int]:
     return out
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class _Hashes:
+    """Hashes of every stretch of a length in an array, by prefix sums of weighted codes and the inverse weights."""
+
+    def __init__(self):
+        self.weight = np.cumprod(np.full(_WINDOW, _BASE, np.uint64))
+        self.back = np.cumprod(np.full(_WINDOW, pow(_BASE, -1, 1 << 64), np.uint64))
+
+    def sums(self, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * self.weight[: len(codes)], out=out[1:])
+        return out
+
+    def of(self, sums: np.ndarray, size: int) -> np.ndarray:
+        return (sums[size:] - sums[:-size]) * self.back[: len(sums) - size]
+
+
 class Matcher:
-    """Finds the items that a document holds passages of."""
+    """Finds the items that documents hold passages of."""
 
     def __init__(self, items: list[tuple[int, str]], min_words: int, max_edits: int):
-        import ahocorasick
-
         self.items = [_Item(i, w, min_words, max_edits) for i, t in items if (w := words(t))]
-        self.backwards = [x.line[::-1] for x in self.items]
-        self.automaton = ahocorasick.Automaton()
-        pieces: dict[str, list[tuple[int, int]]] = {}
+        self.hashes = _Hashes()
+        found: dict[int, list] = defaultdict(list)
         for n, x in enumerate(self.items):
-            for at in range(0, len(x.line) - x.size + 1, x.size):
-                pieces.setdefault(x.line[at : at + x.size], []).append((n, at))
-        for text, uses in pieces.items():
-            self.automaton.add_word(text, (len(text), uses))
-        if pieces:
-            self.automaton.make_automaton()
-        self.empty = not pieces
-
-    def find(self, text: str | None) -> dict[int, int]:
-        """Items that leak into a text, each with the least number of edits of a passage."""
-        w = words(text)
-        if not w or self.empty:
-            return {}
-        line, turned = " " + " ".join(w) + " ", None
-        best: dict[int, int] = {}
-        seen: dict[tuple[int, int], int] = {}
-        for last, (size, uses) in self.automaton.iter(line):
-            hit = last + 1 - size
-            for n, at in uses:
-                known = best.get(n)
-                if known == 0 or seen.get((n, hit - at), 0) >= at + size:
+            codes = _codes(x.line)
+            # Very long items are hashed a window at a time; pieces begin at multiples of their length.
+            for start in range(0, len(codes), _WINDOW // x.size * x.size):
+                part = codes[start : start + _WINDOW // x.size * x.size]
+                if len(part) >= x.size:
+                    hashes = self.hashes.of(self.hashes.sums(part), x.size)[:: x.size]
+                    found[x.size].append((hashes, np.full(len(hashes), n, np.int32), (start + x.size * np.arange(len(hashes))).astype(np.int32)))
+        self.tables = {}
+        for size, parts in found.items():
+            hashes, owner, at = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            # A small table of flags rules nearly all stretches of a document out.
+            shift = np.uint64(64 - min(25, max(12, int(len(hashes) * 32).bit_length())))
+            flags = np.zeros(1 << (64 - int(shift)), bool)
+            flags[(hashes >> shift).astype(np.int64)] = True
+            self.tables[size] = hashes[order], owner[order], at[order], shift, flags
+
+    def _hits(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+        """(position, length, item, position in it) of every piece in a text, by position within windows."""
+        codes, most = _codes(text), max(self.tables)
+        step = _WINDOW - most + 1
+        for start in range(0, max(1, len(codes) - most + 1), step):
+            part = codes[start : start + _WINDOW]
+            last = start + step >= len(codes) - most + 1
+            sums = self.hashes.sums(part)
+            rows = []
+            for size, (known, owner, at, shift, flags) in self.tables.items():
+                if len(part) < size:
                     continue
-                if turned is None:
-                    turned = line[::-1]
-                edits, seen[n, hit - at] = self._verify(n, at, hit, line, turned)
-                if edits <= self.items[n].edits and (known is None or edits < known):
-                    best[n] = edits
-        out: dict[int, int] = {}
-        for n, edits in best.items():
-            key = self.items[n].key
-            out[key] = min(edits, out.get(key, edits))
+                hashes = self.hashes.of(sums, size)
+                if not last:
+                    hashes = hashes[:step]
+                some = np.flatnonzero(flags[(hashes >> shift).astype(np.int64)])
+                low = np.searchsorted(known, hashes[some])
+                n = np.searchsorted(known, hashes[some], "right") - low
+                which = np.repeat(np.arange(len(some)), n)
+                use = low[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                rows.append(np.stack([some[which] + start, np.full(len(which), size), owner[use], at[use]], 1))
+            found = np.concatenate(rows) if rows else np.zeros((0, 4), np.int64)
+            yield from map(tuple, found[np.argsort(found[:, 0], kind="stable")].tolist())
+
+    def find_all(self, texts: list[str | None]) -> list[dict[int, int]]:
+        """For each text the items that leak into it, each with the least number of edits of a passage."""
+        out: list[dict[int, int]] = [{} for _ in texts]
+        if not self.tables:
+            return out
+        lines, owners, size = [], [], 0
+        for k, text in enumerate(texts):
+            if w := words(text):
+                lines.append(" " + " ".join(w) + " ")
+                owners.append(k)
+                size += len(lines[-1])
+            if lines and (size > _CHUNK or k == len(texts) - 1):
+                self._search(lines, owners, out)
+                lines, owners, size = [], [], 0
+        if lines:
+            self._search(lines, owners, out)
         return out
 
+    def find(self, text: str | None) -> dict[int, int]:
+        """The same for one text."""
+        return self.find_all([text])[0]
+
+    def _search(self, lines: list[str], owners: list[int], out: list[dict[int, int]]) -> None:
+        # No line holds a line break, so no hit reaches over one.
+        whole, starts, p = "\n".join(lines), [], 0
+        for line in lines:
+            starts.append(p)
+            p += len(line) + 1
+        now, line, turned, seen, best = -1, "", None, {}, {}
+        for position, size, n, at in self._hits(whole):
+            while now + 1 < len(starts) and starts[now + 1] <= position:
+                self._keep(best, out, owners, now)
+                now += 1
+                line, turned, seen, best = lines[now], None, {}, {}
+            hit, x, known = position - starts[now], self.items[n], best.get(n)
+            if known == 0 or seen.get((n, hit - at), 0) >= at + size or line[hit : hit + size] != x.line[at : at + size]:
+                continue
+            if turned is None:
+                turned = line[::-1]
+            edits, seen[n, hit - at] = self._verify(n, at, hit, line, turned)
+            if edits <= x.edits and (known is None or edits < known):
+                best[n] = edits
+        self._keep(best, out, owners, now)
+
+    def _keep(self, best: dict[int, int], out: list[dict[int, int]], owners: list[int], now: int) -> None:
+        if best:
+            found = out[owners[now]]
+            for n, edits in best.items():
+                key = self.items[n].key
+                found[key] = min(edits, found.get(key, edits))
+
     def _verify(self, n: int, at: int, hit: int, line: str, turned: str) -> tuple[int, int]:
         """(least edit distance of a passage around the piece at ``at``, which the document has at ``hit``; where agreement ends).
 
@@ -159,7 +259,7 @@ class Matcher:
         """
         x = self.items[n]
         right = _reaches(x.line, at + x.size, line, hit + x.size, x.edits)
-        left = [len(x.line) - r for r in _reaches(self.backwards[n], len(x.line) - at, turned, len(line) - hit, x.edits)]
+        left = [len(x.line) - r for r in _reaches(x.line[::-1], len(x.line) - at, turned, len(line) - hit, x.edits)]
         for total in range(x.edits + 1):
             for before in range(total + 1):
                 s = bisect_left(x.begin, left[before])
@@ -222,7 +322,7 @@ def _search(shared, min_words: int, max_edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(key, shared, min_words, max_edits)
         for batch in batches:
-            rows = [(key, item, edits) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for item, edits in matcher.find(text).items()]
+            rows = [(key, item, edits) for key, found in zip(batch.column(0).to_pylist(), matcher.find_all(batch.column(1).to_pylist())) for item, edits in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return run

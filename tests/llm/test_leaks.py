@@ -112,6 +112,24 @@ def test_random_edits_against_the_plain_table(most):
     assert found > 30
 
 
+def test_many_texts_and_windows_at_once(monkeypatch):
+    from geotrail.llm import leaks
+
+    monkeypatch.setattr(leaks, "_WINDOW", 64)
+    monkeypatch.setattr(leaks, "_CHUNK", 300)
+    g = random.Random(8)
+    vocabulary = ["".join(g.choice("abcdef") for _ in range(g.randint(1, 6))) for _ in range(40)]
+    items = [(i, " ".join(g.choice(vocabulary) for _ in range(g.randint(5, 40)))) for i in range(30)] + [(99, items_text := "tiny")]
+    texts = [None, "", "..."]
+    for _ in range(200):
+        w = g.choice(items)[1].split()
+        lo = g.randint(0, len(w))
+        texts.append(" ".join([g.choice(vocabulary) for _ in range(g.randint(0, 30))] + w[lo : lo + g.randint(4, 30)] + [g.choice(vocabulary) for _ in range(g.randint(0, 30))] + ([items_text] if g.random() < 0.1 else [])))
+    m = Matcher(items, 6, 1)
+    got = m.find_all(texts)
+    assert got == [{i: v for i, t in items if words(x) and (v := within(x, t, 6, 1)) is not None} for x in texts] and sum(map(len, got)) > 100
+
+
 def brute(docs, items):
     grams = {}
     for i, t in items:
