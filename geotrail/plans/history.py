@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from geotrail.functions import calendar as C
 from geotrail.functions import text as X
 from geotrail.functions.coords import read_pair_prefix
-from geotrail.functions.geo import contains, ring_area, ring_centre
 from geotrail.operators import aggregates as A
 from geotrail.operators import days as D
 from geotrail.operators import filters as L
@@ -345,18 +344,6 @@ def nearest_muni(spark, sf_dir):
     return R.locate(p, T.regions(spark)).where("how <> 'none'").select("point_idx", "code", "away_m")
 
 
-@query("SELECT code, round(0.01, 9) AS area, round(y + 0.04, 6) AS lat, round(x + 0.04, 6) AS lng, true AS holds_centre FROM regions")
-def region_shapes(spark, sf_dir):
-    g = T.regions(spark).withColumn("c", ring_centre(F.col("geometry")))
-    return g.select(
-        "code",
-        F.round(ring_area(F.col("geometry")[0][0]), 9).alias("area"),
-        F.round("c.lat", 6).alias("lat"),
-        F.round("c.lng", 6).alias("lng"),
-        contains(F.col("geometry"), F.col("c.lat"), F.col("c.lng")).alias("holds_centre"),
-    )
-
-
 @query(
     f""", pk AS (SELECT subject_id, NULL AS k FROM visits) , rk AS (SELECT subject_id, cluster_id, count(*) AS visits, arg_min(lat, visit_idx) AS lat, arg_min(lng, visit_idx) AS lng FROM cv GROUP BY 1, 2),
     h AS (SELECT subject_id, home_lat AS lat, home_lng AS lng FROM frequent_places), ho AS (SELECT * FROM h v WHERE {_OUT}),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from geotrail.functions import calendar as C
 from geotrail.functions import text as X
-from geotrail.functions.geo import bounds, ring_area, ring_centre
+from geotrail.functions.geo import bounds, contains, outline_contains, ring_area, ring_centre
 from geotrail.operators import aggregates as A
 from geotrail.operators import days as D
 from geotrail.operators import filters as L
@@ -15,8 +15,8 @@ from geotrail.operators import places as P
 from geotrail.operators import regions as R
 from geotrail.operators import routes as U
 from geotrail.operators import search as S
-from geotrail.operators.stays import centres
 from geotrail.operators.shred import EXPORT, find_segments, shred
+from geotrail.operators.stays import centres
 from geotrail.plans import adapter as T
 from geotrail.plans.adapter import metres, sql
 from geotrail.plans.history import _CV, _DATE, _DWELL, _FIRST, _MUNI, _OUT, _muni, clustered
@@ -243,6 +243,18 @@ def boundary_shapes(spark, sf_dir):
     return m.select("code", F.round(ring_area(F.col("geometry")[0][0]), 9).alias("area"), F.round("c.lat", 6).alias("lat"), F.round("c.lng", 6).alias("lng"), F.col("b.min_lng").alias("west"), F.col("b.max_lng").alias("east"), F.col("b.min_lat").alias("south"), F.col("b.max_lat").alias("north"))
 
 
+@query(
+    _RINGS
+    + """, lg AS (SELECT code, n, m, row_number() OVER (PARTITION BY code ORDER BY len(ring) DESC, n, m) AS r FROM ri), ce AS (SELECT pt.code, avg(y) AS lat, avg(x) AS lng FROM pt JOIN lg USING (code, n, m) WHERE r = 1 GROUP BY 1),
+    ed AS (SELECT code, m, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM pt WINDOW w AS (PARTITION BY code, n, m ORDER BY k)),
+    cr AS (SELECT code, m, (y1 > lat) <> (y2 > lat) AND (((x2 - x1) * (lat - y1) - (lng - x1) * (y2 - y1)) > 0) = (y2 > y1) AS crosses FROM ce JOIN ed USING (code))
+    SELECT code, count(*) FILTER (crosses) % 2 = 1 AS holds, count(*) FILTER (crosses AND m = 1) % 2 = 1 AS outlined FROM cr GROUP BY 1"""
+)
+def boundary_centres(spark, sf_dir):
+    m = table(spark, sf_dir, "municipalities").select("code", "geometry", ring_centre(F.col("geometry")).alias("c"))
+    return m.select("code", contains(F.col("geometry"), F.col("c.lat"), F.col("c.lng")).alias("holds"), outline_contains(F.col("geometry"), F.col("c.lat"), F.col("c.lng")).alias("outlined"))
+
+
 @query(_RINGS + ", bx AS (SELECT code, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pt GROUP BY 1) SELECT code FROM bx WHERE x1 >= 135.0 - 0.5 AND x0 <= 137.0 + 0.5 AND y1 >= 34.0 - 0.375 AND y0 <= 35.5 + 0.375")
 def boundaries_in_view(spark, sf_dir):
     return R.in_view(table(spark, sf_dir, "municipalities"), 135.0, 34.0, 137.0, 35.5).select("code")
