@@ -96,6 +96,10 @@ HEAT_LOW, HEAT_HIGH = (222, 235, 247), (8, 81, 156)
 #: The closest zoom, and that under privacy.
 MOST_ZOOM, MOST_ZOOM_PRIVATE = 18, 12
 LANGUAGES = ("ja", "en")
+#: What captions and labels say.
+ALL_TIME, WHOLE_MAP, DAY_VIEW = "All time", "Japan", "Day view: {d}"
+NO_TIME, FILE_TIME, NEAREST_RECORD = "Date taken unknown", " (estimated from file creation time)", " (about {n} from the nearest record)"
+PLACED_BY = {"exif": "Location: Exif", "takeout": "Location: Takeout", "estimated": "Location: estimated"}
 
 
 def mode_color(mode: Column) -> Column:
@@ -112,20 +116,31 @@ def heat_color(share: Column) -> Column:
 
 def period_label(year: Column, month: Column) -> Column:
     """``All time``, ``2024`` or ``2024-01``."""
-    return F.when(year.isNull(), "All time").when(month.isNull(), year.cast("string")).otherwise(F.format_string("%d-%02d", year, month))
+    return F.when(year.isNull(), ALL_TIME).when(month.isNull(), year.cast("string")).otherwise(F.format_string("%d-%02d", year, month))
 
 
 def taken_text(epoch_ms: Column, is_fallback: Column, offset_min: Column) -> Column:
     """When a photo was taken, by the local clock; a time that is only the file's says so."""
     local = F.timestamp_millis(epoch_ms + offset_min.cast("bigint") * 60_000)
-    said = F.concat(F.date_format(local, "yyyy/M/d HH:mm"), F.when(is_fallback, " (estimated from file creation time)").otherwise(""))
-    return F.when(epoch_ms.isNull(), "Date taken unknown").otherwise(said)
+    said = F.concat(F.date_format(local, "yyyy/M/d HH:mm"), F.when(is_fallback, FILE_TIME).otherwise(""))
+    return F.when(epoch_ms.isNull(), NO_TIME).otherwise(said)
 
 
 def source_text(source: Column, gap_ms: Column) -> Column:
     """Where a photo's place comes from; an estimate with its distance in time."""
-    gap = F.when(gap_ms > 0, F.concat(F.lit(" (about "), gap_text(gap_ms), F.lit(" from the nearest record)"))).otherwise("")
-    return F.when(source == "exif", "Location: Exif").when(source == "takeout", "Location: Takeout").when(source == "estimated", F.concat(F.lit("Location: estimated"), gap)).otherwise("")
+    gap = F.when(gap_ms > 0, filled(F.lit(NEAREST_RECORD), n=gap_text(gap_ms))).otherwise("")
+    names = F.create_map(*[F.lit(x) for kv in PLACED_BY.items() for x in kv])
+    return F.coalesce(F.concat(F.try_element_at(names, source), F.when(source == "estimated", gap).otherwise("")), F.lit(""))
+
+
+def entry_label(day: Column, view: Column, region: Column, place: Column) -> Column:
+    """What a visited page is called: a day, the whole map, a first-level region, or a place below one."""
+    return F.when(day.isNotNull(), filled(F.lit(DAY_VIEW), d=day)).when(view == "national", WHOLE_MAP).when(view == "prefecture", region).otherwise(place_path(region, place))
+
+
+def bookmark_name(label: Column, day: Column, year: Column, month: Column) -> Column:
+    """The name a new bookmark is given: that of its page, with the period unless it is a day or all time."""
+    return F.when(year.isNull() | day.isNotNull(), label).otherwise(F.concat(label, F.lit(" ("), period_label(year, month), F.lit(")")))
 
 
 def date_title(day: Column) -> Column:

@@ -133,6 +133,19 @@ def local_names(spark, sf_dir):
     return X.in_language(p, names, "code", "de")
 
 
+@query(
+    f""", mk AS (SELECT photo_idx, photo_idx % 5 AS k, CASE WHEN photo_idx % 7 = 0 THEN CAST({_TAKEN} AS VARCHAR) END AS day, photo_idx % 2 = 0 AS known FROM photos),
+    l AS (SELECT *, CASE WHEN day IS NOT NULL THEN 'Day view: ' || day WHEN k = 0 THEN 'Japan' WHEN k = 1 THEN 'Area 3' ELSE 'Area 3 › Spot ' || k END AS label FROM mk)
+    SELECT photo_idx AS mark_id, label, CASE WHEN known AND day IS NULL THEN label || ' (2024-01)' ELSE label END AS name FROM l"""
+)
+def page_labels(spark, sf_dir):
+    k = F.col("photo_idx") % 5
+    p = T.photos(spark, sf_dir).select("photo_idx", k.alias("k"), F.when(F.col("photo_idx") % 7 == 0, C.date_text(F.col("taken_ms"))).alias("day"), F.when(F.col("photo_idx") % 2 == 0, 2024).alias("year"))
+    view = F.when(F.col("k") == 0, "national").when(F.col("k") == 1, "prefecture").otherwise("place")
+    p = p.withColumn("label", X.entry_label(F.col("day"), view, F.lit("Area 3"), F.concat(F.lit("Spot "), F.col("k").cast("string"))))
+    return p.select(F.col("photo_idx").alias("mark_id"), "label", X.bookmark_name(F.col("label"), F.col("day"), F.col("year"), F.lit(1)).alias("name"))
+
+
 # ---- maps -----------------------------------------------------------------------------------------------------------
 
 
