@@ -55,7 +55,7 @@ def runs(df: DataFrame, *, by: str, time: str, order: list[str], value: str, gap
     last = blocked.groupBy(by, "__b").agg(F.max_by(F.struct(F.col(value).alias("v")), key).alias("__v"), F.max_by(time, F.when(F.col(time).isNotNull(), key)).alias("__t"))
     before = Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(F.col(by).alias("__by"), F.col("__b").alias("__cb"), F.last("__v").over(before).alias("__cv"), F.last("__t", True).over(before).alias("__ct"))
-    out = blocked.join(carried, (F.col(by) == F.col("__by")) & F.col("__b").eqNullSafe(F.col("__cb")), "left").drop("__by", "__cb")
+    out = blocked.join(carried, F.col(by).eqNullSafe(F.col("__by")) & F.col("__b").eqNullSafe(F.col("__cb")), "left").drop("__by", "__cb")
     inside = Window.partitionBy(by, "__b").orderBy(*order)
     out = out.withColumn("__pv", F.coalesce(F.lag(F.struct(F.col(value).alias("v"))).over(inside), F.col("__cv")))
     out = out.withColumn("__pt", F.coalesce(F.last(time, True).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("__ct")))
@@ -65,7 +65,7 @@ def runs(df: DataFrame, *, by: str, time: str, order: list[str], value: str, gap
     out = out.withColumn("is_break", F.coalesce(changed, F.lit(False))).checkpoint()
     count = out.groupBy(by, "__b").agg(F.sum(F.col("is_break").cast("int")).alias("__n"))
     count = count.select(F.col(by).alias("__by"), F.col("__b").alias("__cb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    out = out.join(count, (F.col(by) == F.col("__by")) & (F.col("__b") == F.col("__cb")), "left")
+    out = out.join(count, F.col(by).eqNullSafe(F.col("__by")) & F.col("__b").eqNullSafe(F.col("__cb")), "left")
     so_far = F.sum(F.col("is_break").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("run_no", (F.col("__base") + so_far).cast("bigint")).drop("__b", "__cv", "__ct", "__pv", "__pt", "__by", "__cb", "__base")
 
