@@ -213,7 +213,21 @@ def quad_leaves(summaries: DataFrame, sides: int, leaf_points: int) -> Leaves:
     most points / ``leaf_points`` of each level; then one summary of each leaf. ``leaf_points`` grows with the points so that
     there are never more than ``MOST_NODES`` such nodes of a level, so what is collected and sent out has a bound.
     """
-    total = summaries.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    names = [f"{e}_{c}" for e in ("lo", "hi") for c in _AXES]
+    merged = [F.sum("n").alias("n"), *[F.min(f"lo_{c}").alias(f"lo_{c}") for c in _AXES], *[F.max(f"hi_{c}").alias(f"hi_{c}") for c in _AXES]]
+
+    def filled(starts: np.ndarray, rows: pa.Table) -> Leaves:
+        out = Leaves(starts, np.zeros((len(starts), sides)), np.full((len(starts), sides, 5), np.inf), np.full((len(starts), sides, 5), -np.inf))
+        if rows.num_rows:
+            at = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            values = np.stack([rows.column(k).to_numpy().astype(float) for k in range(2, 13)], 1)
+            out.count[at], out.low[at], out.high[at] = values[:, 0], values[:, 1:6], values[:, 6:]
+        return out
+
+    root = summaries.groupBy("side").agg(*merged).select(F.lit(0).alias("leaf"), "side", "n", *names).toArrow()
+    total = sum(root.column(2).to_pylist())
+    if total <= leaf_points:
+        return filled(np.zeros(1, np.int64), root)
     leaf_points = max(leaf_points, -(-total // MOST_NODES))
     shift = f"shiftright(shiftright(cell, {FINE}), {FINE} - level) * {1 << FINE} + shiftright(cell & {(1 << FINE) - 1}, {FINE} - level)"
     above = summaries.select(F.explode(F.sequence(F.lit(0), F.lit(FINE))).alias("level"), "cell", "n").select("level", F.expr(shift).alias("node"), "n")
@@ -228,9 +242,7 @@ def quad_leaves(summaries: DataFrame, sides: int, leaf_points: int) -> Leaves:
     known = set(zip(level.tolist(), start.tolist()))
     leaf = np.array([b == FINE or (b, c) not in known for b, c in zip(below.tolist(), child.tolist())], bool)
     starts = np.sort(child[leaf]) if len(child) else np.zeros(1, np.int64)
-    out = Leaves(starts, np.zeros((len(starts), sides)), np.full((len(starts), sides, 5), np.inf), np.full((len(starts), sides, 5), -np.inf))
     shared = summaries.sparkSession.sparkContext.broadcast(starts)
-    names = [f"{e}_{c}" for e in ("lo", "hi") for c in _AXES]
     schema = pa.schema([("leaf", pa.int64()), ("side", pa.int32()), ("n", pa.int64()), *[(c, pa.float64()) for c in names]])
 
     def place(batches):
@@ -240,13 +252,7 @@ def quad_leaves(summaries: DataFrame, sides: int, leaf_points: int) -> Leaves:
             yield pa.RecordBatch.from_arrays([pa.array(found), *batch.columns[1:]], schema=schema)
 
     placed = summaries.select("cell", "side", "n", *names).mapInArrow(place, "leaf bigint, side int, n bigint, " + ", ".join(f"{c} double" for c in names))
-    sums = placed.groupBy("leaf", "side").agg(F.sum("n").alias("n"), *[F.min(f"lo_{c}").alias(f"lo_{c}") for c in _AXES], *[F.max(f"hi_{c}").alias(f"hi_{c}") for c in _AXES])
-    rows = sums.select("leaf", "side", F.col("n").cast("double").alias("n"), *names).toArrow()
-    if rows.num_rows:
-        at = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-        values = np.stack([rows.column(k).to_numpy() for k in range(2, 13)], 1)
-        out.count[at], out.low[at], out.high[at] = values[:, 0], values[:, 1:6], values[:, 6:]
-    return out
+    return filled(starts, placed.groupBy("leaf", "side").agg(*merged).select("leaf", "side", "n", *names).toArrow())
 
 
 def _mixed(ids: np.ndarray, lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
