@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geotrail.functions import text as X
-from geotrail.operators import aggregates as A
 from geotrail.operators import days as D
 from geotrail.operators import filters as L
 from geotrail.operators import photos as H
 from geotrail.operators import places as P
-from geotrail.operators import regions as R
 from geotrail.operators import routes as U
 from geotrail.operators import search as S
 from geotrail.plans import adapter as T
@@ -223,7 +221,11 @@ _SIDE = """to_json({'geoData': {'latitude': CASE WHEN photo_idx % 5 = 0 THEN 0 E
     'photoTakenTime': {'timestamp': CAST(taken_ms // 1000 AS VARCHAR)}})"""
 
 
-@query("SELECT photo_idx, CASE WHEN photo_idx % 7 <> 0 AND photo_idx % 5 <> 0 THEN lat END AS lat, CASE WHEN photo_idx % 7 <> 0 AND photo_idx % 5 <> 0 THEN lng END AS lng, CASE WHEN photo_idx % 7 <> 0 AND photo_idx % 5 <> 0 AND lat IS NOT NULL THEN 'takeout' END AS source, CASE WHEN photo_idx % 7 <> 0 THEN taken_ms // 1000 * 1000 ELSE taken_ms + 5 END AS taken_ms, photo_idx % 7 = 0 AS taken_is_fallback FROM photos")
+@query(
+    """, s AS (SELECT *, photo_idx % 11 = 0 AND lat IS NOT NULL AS ex, photo_idx % 7 <> 0 AND photo_idx % 5 <> 0 AND lat IS NOT NULL AS side FROM photos)
+    SELECT photo_idx, CASE WHEN ex THEN lat + 0.001 WHEN side THEN lat END AS lat, CASE WHEN ex THEN lng + 0.001 WHEN side THEN lng END AS lng, CASE WHEN ex THEN 'exif' WHEN side THEN 'takeout' END AS source,
+    CASE WHEN photo_idx % 13 = 0 THEN taken_ms - 5 WHEN photo_idx % 7 <> 0 THEN taken_ms // 1000 * 1000 ELSE taken_ms + 5 END AS taken_ms, photo_idx % 7 = 0 AND photo_idx % 13 <> 0 AS taken_is_fallback FROM s"""
+)
 def sidecar_records(spark, sf_dir):
     p = T.photos(spark, sf_dir)
     zero = lambda c: F.when(F.col("photo_idx") % 5 == 0, F.lit(0.0)).otherwise(F.col(c))
@@ -234,8 +236,9 @@ def sidecar_records(spark, sf_dir):
         )
     )
     p = p.withColumn("side", H.read_sidecar(F.when(F.col("photo_idx") % 7 == 0, F.lit("{broken")).otherwise(body)))
-    none, no_time = F.lit(None).cast("double"), F.lit(None).cast("bigint")
-    p = p.withColumn("r", H.coalesce_record(none, none, no_time, F.col("side"), F.col("taken_ms") + 5))
+    # A camera wrote a place into every eleventh picture and (0, 0) into every twelfth, a time into every thirteenth.
+    camera = lambda c: F.when(F.col("photo_idx") % 11 == 0, F.col(c) + 0.001).when(F.col("photo_idx") % 12 == 0, F.lit(0.0))
+    p = p.withColumn("r", H.coalesce_record(camera("lat"), camera("lng"), F.when(F.col("photo_idx") % 13 == 0, F.col("taken_ms") - 5), F.col("side"), F.col("taken_ms") + 5))
     return p.select("photo_idx", "r.*")
 
 
