@@ -18,6 +18,29 @@ def _block(time: Column, block_ms: int) -> Column:
     return F.floor(time / F.lit(block_ms)).cast("bigint")
 
 
+def around(left: DataFrame, right: DataFrame, *, by: str, left_time: str, right_time: str, payload: list[str], ways: dict[str, bool], block_ms: int = BLOCK_MS) -> DataFrame:
+    """``left`` with a struct ``__rt, *payload`` for each of ``ways`` (name: forward), as ``asof`` picks it; all ways share one shuffle.
+
+    A block's last and first right row also go to the blocks after and before it, as far as the next block that has one itself.
+    """
+    pack = F.struct(F.col(right_time).alias("__rt"), *[F.col(p) for p in payload])
+    rights = right.where(F.col(right_time).isNotNull()).select(F.col(by), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), pack.alias("__pack"))
+    lefts = left.select(F.col(by), F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(rights.schema["__pack"].dataType).alias("__pack"), F.struct("*").alias("__row"))
+    no_row = F.lit(None).cast(lefts.schema["__row"].dataType)
+    both = rights.withColumn("__row", no_row).unionByName(lefts).withColumn("__b", _block(F.col("__t"), block_ms))
+    # A row without a time has no block and meets nothing.
+    edges = both.where(F.col("__b").isNotNull()).groupBy(by, "__b").agg(F.max("__pack").alias("__max"), F.min("__pack").alias("__min"))
+    # Forward, the order is turned round: a frame that ends with the current row grows by a row each, one that begins with it is read again for every row.
+    turn = lambda c, forward: c.desc() if forward else c.asc()
+    far = [F.last("__min" if f else "__max", True).over(Window.partitionBy(by).orderBy(turn(F.col("__b"), f)).rowsBetween(Window.unboundedPreceding, -1)) for f in ways.values()]
+    carried = edges.select(by, "__b", F.array(*far).alias("__far")).select(by, "__b", F.explode("__far").alias("__pack")).where(F.col("__pack").isNotNull())
+    both = both.unionByName(carried.select(by, F.col("__pack.__rt").alias("__t"), F.lit(0).alias("__side"), "__pack", no_row.alias("__row"), "__b"))
+    for name, f in ways.items():
+        order = [turn(F.col("__t"), f), F.col("__side"), F.col("__pack").desc_nulls_last() if f else F.col("__pack").asc_nulls_first()]
+        both = both.withColumn(name, F.last("__pack", True).over(Window.partitionBy(by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return both.where(F.col("__row").isNotNull()).select("__row.*", *ways)
+
+
 def asof(
     left: DataFrame, right: DataFrame, *, by: str, left_time: str, right_time: str, payload: list[str], forward: bool = False, block_ms: int = BLOCK_MS
 ) -> DataFrame:
@@ -26,22 +49,8 @@ def asof(
     Of right rows at one instant the one with the greatest payload (forward: the least) is taken, in the order of ``payload``.
     The columns ``by`` and the payload's names must not clash with those of ``left`` except for ``by`` itself.
     """
-    pack = F.struct(F.col(right_time).alias("__rt"), *[F.col(p) for p in payload])
-    one_right = right.where(F.col(right_time).isNotNull()).select(F.col(by), F.col(right_time).alias("__t"), F.lit(0 if not forward else 1).alias("__side"), pack.alias("__pack"), F.lit(None).alias("__row"))
-    rows = left.select(F.col(by), F.col(left_time).alias("__t"), F.lit(1 if not forward else 0).alias("__side"), F.lit(None).cast(one_right.schema["__pack"].dataType).alias("__pack"), F.struct("*").alias("__row"))
-    one_right = one_right.withColumn("__row", F.lit(None).cast(rows.schema["__row"].dataType))
-    both = one_right.unionByName(rows).withColumn("__b", _block(F.col("__t"), block_ms))
-    edge = (F.min if forward else F.max)("__pack")
-    around = Window.partitionBy(by).orderBy("__b")
-    reach = around.rowsBetween(1, Window.unboundedFollowing) if forward else around.rowsBetween(Window.unboundedPreceding, -1)
-    pick = (lambda c: F.first(c, True)) if forward else (lambda c: F.last(c, True))
-    carried = both.groupBy(by, "__b").agg(edge.alias("__edge")).select(F.col(by).alias("__by"), F.col("__b").alias("__cb"), pick("__edge").over(reach).alias("__carry"))
-    both = both.join(carried, F.col(by).eqNullSafe(F.col("__by")) & F.col("__b").eqNullSafe(F.col("__cb")), "left")
-    order = [F.col("__t"), F.col("__side"), F.col("__pack").asc_nulls_first()]
-    inside = Window.partitionBy(by, "__b").orderBy(*order)
-    inside = inside.rowsBetween(0, Window.unboundedFollowing) if forward else inside.rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("__hit", F.coalesce(pick("__pack").over(inside), F.col("__carry")))
-    return both.where(F.col("__row").isNotNull()).select("__row.*", F.col("__hit.__rt").alias(right_time), *[F.col(f"__hit.{p}").alias(p) for p in payload])
+    hit = around(left, right, by=by, left_time=left_time, right_time=right_time, payload=payload, ways={"__hit": forward}, block_ms=block_ms)
+    return hit.select(*left.columns, F.col("__hit.__rt").alias(right_time), *[F.col(f"__hit.{p}").alias(p) for p in payload])
 
 
 def runs(df: DataFrame, *, by: str, time: str, order: list[str], value: str, gap_ms: int, block_ms: int = BLOCK_MS, block: Column | None = None) -> DataFrame:
@@ -50,24 +59,26 @@ def runs(df: DataFrame, *, by: str, time: str, order: list[str], value: str, gap
     ``order`` sorts rows within an entity, by time or as they came; ``block`` grows with it and cuts an entity's rows into parts that
     fit into tasks (where none is given, ``order`` begins with ``time`` and blocks are stretches of ``block_ms``). Rows without a time make no gap.
     """
-    blocked = df.withColumn("__b", block if block is not None else _block(F.col(time), block_ms))
+    blocked = df.withColumn("__b", block if block is not None else _block(F.col(time), block_ms)).withColumn("__own", F.lit(1))
     key = F.struct(*order)
     last = blocked.groupBy(by, "__b").agg(F.max_by(F.struct(F.col(value).alias("v")), key).alias("__v"), F.max_by(time, F.when(F.col(time).isNotNull(), key)).alias("__t"))
     before = Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(F.col(by).alias("__by"), F.col("__b").alias("__cb"), F.last("__v").over(before).alias("__cv"), F.last("__t", True).over(before).alias("__ct"))
-    out = blocked.join(carried, F.col(by).eqNullSafe(F.col("__by")) & F.col("__b").eqNullSafe(F.col("__cb")), "left").drop("__by", "__cb")
-    inside = Window.partitionBy(by, "__b").orderBy(*order)
-    out = out.withColumn("__pv", F.coalesce(F.lag(F.struct(F.col(value).alias("v"))).over(inside), F.col("__cv")))
-    out = out.withColumn("__pt", F.coalesce(F.last(time, True).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("__ct")))
-    changed = F.coalesce(F.col("__pv.v") != F.col(value), F.lit(False)) | F.coalesce(F.col(time) - F.col("__pt") > gap_ms, F.lit(False))
+    # What a block needs from those before it is one more row at its head.
+    carried = last.select(by, "__b", F.last("__v").over(before).alias("__cv"), F.last("__t", True).over(before).alias("__ct")).where(F.col("__cv").isNotNull())
+    carried = carried.select(by, "__b", F.lit(0).alias("__own"), F.col("__cv.v").alias(value), F.col("__ct").alias(time))
+    out = blocked.unionByName(carried, allowMissingColumns=True)
+    inside = Window.partitionBy(by, "__b").orderBy("__own", *order)
+    out = out.withColumn("__pv", F.lag(value).over(inside)).withColumn("__pt", F.last(time, True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    changed = F.coalesce(F.col("__pv") != F.col(value), F.lit(False)) | F.coalesce(F.col(time) - F.col("__pt") > gap_ms, F.lit(False))
+    out = out.withColumn("is_break", changed & (F.col("__own") == 1))
+    out = out.withColumn("__n", F.sum(F.col("is_break").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("__own") == 1).drop("__own", "__pv", "__pt")
     # Used twice below; written once, so that what came before is not computed again.
     ensure_checkpoint_dir(df.sparkSession)
-    out = out.withColumn("is_break", F.coalesce(changed, F.lit(False))).checkpoint()
-    count = out.groupBy(by, "__b").agg(F.sum(F.col("is_break").cast("int")).alias("__n"))
+    out = out.checkpoint()
+    count = out.groupBy(by, "__b").agg(F.max("__n").alias("__n"))
     count = count.select(F.col(by).alias("__by"), F.col("__b").alias("__cb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     out = out.join(count, F.col(by).eqNullSafe(F.col("__by")) & F.col("__b").eqNullSafe(F.col("__cb")), "left")
-    so_far = F.sum(F.col("is_break").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("run_no", (F.col("__base") + so_far).cast("bigint")).drop("__b", "__cv", "__ct", "__pv", "__pt", "__by", "__cb", "__base")
+    return out.withColumn("run_no", (F.col("__base") + F.col("__n")).cast("bigint")).drop("__b", "__n", "__by", "__cb", "__base")
 
 
 def with_global_index(df: DataFrame, order: list[str], name: str) -> DataFrame:

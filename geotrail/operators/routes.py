@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geotrail.functions.geo import haversine_m
-from geotrail.operators.asof import asof, runs, with_global_index
+from geotrail.operators.asof import around, runs, with_global_index
 from geotrail.operators.filters import flag_near
 from geotrail.session import ensure_checkpoint_dir
 
@@ -18,19 +18,16 @@ def point_modes(points: DataFrame, moves: DataFrame) -> DataFrame:
     """``points`` with ``mode`` and ``inside_idx``: the last move that began, if the point lies in it; else the nearest by start; else UNKNOWN.
 
     Only the last move that began is asked whether it still goes on; a move without an end does. Of two starts equally near
-    the later one is nearest.
+    the later one is nearest. Runs and inferred lines both read the result, runs twice; whoever asks for both should keep it.
     """
-    last = moves.select("subject_id", F.col("start_ms").alias("b_start"), F.col("activity_idx").alias("b_idx"), F.col("mode").alias("b_mode"), F.col("end_ms").alias("b_end"))
-    ensure_checkpoint_dir(points.sparkSession)
-    out = asof(points, last, by="subject_id", left_time="t_ms", right_time="b_start", payload=["b_idx", "b_mode", "b_end"]).checkpoint()
-    following = moves.select("subject_id", F.col("start_ms").alias("f_start"), F.col("activity_idx").alias("f_idx"), F.col("mode").alias("f_mode"))
-    out = asof(out, following, by="subject_id", left_time="t_ms", right_time="f_start", payload=["f_idx", "f_mode"], forward=True)
-    inside = F.col("b_start").isNotNull() & (F.col("b_end").isNull() | (F.col("t_ms") <= F.col("b_end")))
-    later = F.col("f_start").isNotNull() & (F.col("b_start").isNull() | (F.col("f_start") - F.col("t_ms") <= F.col("t_ms") - F.col("b_start")))
-    mode = F.when(inside, F.col("b_mode")).when(later, F.col("f_mode")).otherwise(F.coalesce("b_mode", F.lit("UNKNOWN")))
-    tier = F.when(inside, "inside").when(F.col("b_start").isNotNull() | F.col("f_start").isNotNull(), "nearest").otherwise("none")
-    # Runs and inferred lines both read this; each as-of join reads its input twice.
-    return out.select(*points.columns, mode.alias("mode"), F.when(inside, F.col("b_idx")).alias("inside_idx"), tier.alias("tier")).checkpoint()
+    starts = moves.select("subject_id", "start_ms", "activity_idx", "mode", "end_ms")
+    out = around(points, starts, by="subject_id", left_time="t_ms", right_time="start_ms", payload=["activity_idx", "mode", "end_ms"], ways={"__last": False, "__next": True})
+    last, following = F.col("__last"), F.col("__next")
+    inside = last.isNotNull() & (last["end_ms"].isNull() | (F.col("t_ms") <= last["end_ms"]))
+    later = following.isNotNull() & (last.isNull() | (following["__rt"] - F.col("t_ms") <= F.col("t_ms") - last["__rt"]))
+    mode = F.when(inside, last["mode"]).when(later, following["mode"]).otherwise(F.coalesce(last["mode"], F.lit("UNKNOWN")))
+    tier = F.when(inside, "inside").when(last.isNotNull() | following.isNotNull(), "nearest").otherwise("none")
+    return out.select(*points.columns, mode.alias("mode"), F.when(inside, last["activity_idx"]).alias("inside_idx"), tier.alias("tier"))
 
 
 #: Points of a subject that one task numbers where they keep the order they came in.
@@ -48,10 +45,10 @@ def route_runs(points: DataFrame, source_order: str | None = None) -> DataFrame:
     else:
         block = F.floor(F.col(source_order) / F.lit(SOURCE_BLOCK)).cast("bigint")
         numbered = runs(points, by="subject_id", time="t_ms", order=[source_order], value="mode", gap_ms=MOST_GAP_MS, block=block)
-    own = numbered.withColumn("shared", F.lit(0))
     # The breaking point closes the run before: same place and time, run number one less.
-    closing = numbered.where("is_break").withColumn("run_no", F.col("run_no") - 1).withColumn("shared", F.lit(1))
-    return own.unionByName(closing)
+    part = lambda less: F.struct((F.col("run_no") - less).alias("run_no"), F.lit(less).alias("shared"))
+    runs_of = F.when(F.col("is_break"), F.array(part(0), part(1))).otherwise(F.array(part(0)))
+    return numbered.withColumn("__of", F.explode(runs_of)).withColumns({"run_no": F.col("__of.run_no"), "shared": F.col("__of.shared")}).drop("__of")
 
 
 def run_segments(run_points: DataFrame, source_order: str | None = None) -> DataFrame:

@@ -39,7 +39,8 @@ def _kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
 
 
 def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kept(spark, sf_dir, "modes", lambda: U.point_modes(T.route_points(spark, sf_dir), T.route_activities(spark, sf_dir)))
+    points = T.route_points(spark, sf_dir).select("subject_id", "point_idx", "t_ms", "lat", "lng")
+    return _kept(spark, sf_dir, "modes", lambda: U.point_modes(points, T.route_activities(spark, sf_dir)))
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
