@@ -67,9 +67,7 @@ def inferred_segments(moves: DataFrame, modes: DataFrame) -> DataFrame:
 
 
 def trimmed_segments(segments: DataFrame, zones: DataFrame) -> DataFrame:
-    """What zones leave of each segment: pieces of at least two points, with their own times; ``trimmed`` unless nothing was cut."""
-    ensure_checkpoint_dir(segments.sparkSession)
-    segments = segments.checkpoint()
+    """What zones leave of each segment: pieces of at least two points, with their own times; ``trimmed`` unless nothing was cut. ``segments`` are read twice."""
     points = segments.select("subject_id", "run_no", "mode", F.size("points").alias("whole"), F.posexplode("points").alias("n", "p"))
     points = points.select("*", F.col("p.lat").alias("lat"), F.col("p.lng").alias("lng"))
     flagged = flag_near(points, "lat", "lng", zones, "zone_lat", "zone_lng", F.col("radius_m"), "hidden")
@@ -82,41 +80,54 @@ def trimmed_segments(segments: DataFrame, zones: DataFrame) -> DataFrame:
     return out.select(*key, "piece", "mode", "trimmed", "points", F.col("points")[0]["t"].alias("start_ms"), F.element_at("points", -1)["t"].alias("end_ms"))
 
 
-def path_length_m(points: Column) -> Column:
-    """Sum of the distances along an array of points."""
-    pairs = F.zip_with(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 2, F.size(points)), lambda p, q: haversine_m(p["lat"], p["lng"], q["lat"], q["lng"]))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+#: Stretches of time whose rows one task reads in order.
+SEEN_BLOCK_MS = 86_400_000
+
+
+def _seen_parts(moves: DataFrame, segments: DataFrame) -> DataFrame:
+    """``activity_idx, cut, v0, v1, v_m``: whether a trimmed piece overlaps the move, and the times and length of the path within it.
+
+    Pieces of a subject follow each other in time, so the lines between successive points are in order by their begins and by their ends.
+    Those within a move are what ended by its end, and what began from its start on, less all of them. One running sum has the first; the
+    second is the same sum with time turned round. So a move costs two rows, however many pieces it meets. Lengths are added as
+    decimals, so that what is left of large sums is as exact as a sum of its own.
+    """
+    row = lambda way, at, line=False, metres=None, cut=0, asked=None: F.struct(
+        F.lit(way).alias("way"), (at * way).alias("at"), (F.lit(None) if asked is None else asked).cast("bigint").alias("activity_idx"), F.lit(int(line)).cast("bigint").alias("n"),
+        (F.lit(0) if metres is None else metres).cast("decimal(38,12)").alias("m"), F.lit(cut).cast("bigint").alias("c"), (at * way if line else F.lit(None)).cast("bigint").alias("last"),
+    )
+    points, n = F.col("points"), F.size("points")
+    lines = segments.select("subject_id", F.explode(F.arrays_zip(F.slice(points, 1, n - 1).alias("p"), F.slice(points, 2, n).alias("q"))).alias("l")).where(F.col("l.p.t").isNotNull())
+    lines = lines.select("subject_id", F.col("l.p.t").alias("t0"), F.col("l.q.t").alias("t1"), haversine_m(F.col("l.p.lat"), F.col("l.p.lng"), F.col("l.q.lat"), F.col("l.q.lng")).alias("m"))
+    lines = lines.select("subject_id", F.explode(F.array(row(-1, F.col("t0"), True, F.col("m")), row(1, F.col("t1"), True, F.col("m")))).alias("r"))
+    timed = segments.where(F.col("trimmed") & F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull())
+    cuts = timed.select("subject_id", F.explode(F.array(row(-1, F.col("end_ms"), cut=1), row(1, F.col("start_ms"), cut=1))).alias("r"))
+    asked = moves.where(F.col("start_ms") <= F.col("end_ms"))
+    asked = asked.select("subject_id", F.explode(F.array(row(-1, F.col("start_ms"), asked=F.col("activity_idx")), row(1, F.col("end_ms"), asked=F.col("activity_idx")))).alias("r"))
+    rows = lines.unionByName(cuts).unionByName(asked).select("subject_id", "r.*").withColumn("b", F.floor(F.col("at") / SEEN_BLOCK_MS).cast("bigint"))
+    # A block starts with what those before it add up to; turned round, less all there is.
+    key, sums = ["subject_id", "way"], ["n", "m", "c"]
+    blocks = rows.groupBy(*key, "b").agg(*[F.sum(c).alias(c) for c in sums], F.max("last").alias("last"))
+    before = Window.partitionBy(*key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)) - F.when(F.col("way") < 0, F.sum(c).over(Window.partitionBy(*key))).otherwise(0)
+    heads = blocks.select(*key, "b", *[carried(c).cast(rows.schema[c].dataType).alias(c) for c in sums], F.max("last").over(before).alias("last"), F.lit(None).cast("bigint").alias("activity_idx"), F.lit(None).cast("bigint").alias("at"))
+    # Heads have no time and come first; at one instant lines and cuts come before what is asked.
+    upto = Window.partitionBy(*key, "b").orderBy(F.col("at").asc_nulls_first(), F.col("activity_idx").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.unionByName(heads).select("way", "activity_idx", *[F.sum(c).over(upto).alias(c) for c in sums], F.max("last").over(upto).alias("last")).where(F.col("activity_idx").isNotNull())
+    out = found.groupBy("activity_idx").agg(*[F.sum(c).alias(c) for c in sums], F.max(F.when(F.col("way") < 0, -F.col("last"))).alias("v0"), F.max(F.when(F.col("way") > 0, F.col("last"))).alias("v1"))
+    seen = lambda c: F.when(F.col("n") > 0, F.col(c))
+    return out.select("activity_idx", (F.col("c") > 0).alias("cut"), seen("v0").alias("v0"), seen("v1").alias("v1"), seen("m").cast("double").alias("v_m"))
 
 
 def visible_moves(moves: DataFrame, segments: DataFrame, zones: DataFrame) -> DataFrame:
     """What may be shown of each move: all of it if it touches no zone, else the visible part of its path, or nothing.
 
-    ``segments`` are trimmed. A move touches a zone if an end lies in one or a piece that overlaps it in time was cut. Overlaps are
-    found by an equi-join on hours, so a subject's moves and pieces are never paired all with all.
+    ``segments`` are trimmed ones of runs by time. A move touches a zone if an end lies in one or a piece that overlaps it in time was cut.
     """
     ends = flag_near(moves, "start_lat", "start_lng", zones, "zone_lat", "zone_lng", F.col("radius_m"), "start_hidden")
     ends = flag_near(ends, "end_lat", "end_lng", zones, "zone_lat", "zone_lng", F.col("radius_m"), "end_hidden")
     ensure_checkpoint_dir(moves.sparkSession)
-    segments = segments.checkpoint()
-    hours = lambda a, b: F.explode_outer(F.sequence(F.floor(F.col(a) / 3_600_000), F.floor(F.col(b) / 3_600_000)))
-    m = moves.where(F.col("start_ms") <= F.col("end_ms")).select("subject_id", "activity_idx", F.col("start_ms").alias("a0"), F.col("end_ms").alias("a1"), hours("start_ms", "end_ms").alias("h"))
-    s = segments.select("subject_id", F.col("run_no").alias("r"), F.col("piece").alias("pc"), "trimmed", "start_ms", "end_ms", hours("start_ms", "end_ms").alias("h"))
-    # Each overlapping pair counts once, in the first hour that both share.
-    first = F.col("h") == F.greatest(F.floor(F.col("a0") / 3_600_000), F.floor(F.col("start_ms") / 3_600_000))
-    pair = m.join(s, ["subject_id", "h"]).where((F.col("start_ms") <= F.col("a1")) & (F.col("end_ms") >= F.col("a0")) & first)
-    # Only now the points, once for each pair that overlaps.
-    points = segments.select("subject_id", F.col("run_no").alias("r"), F.col("piece").alias("pc"), "points")
-    pair = pair.select("subject_id", "activity_idx", "a0", "a1", "r", "pc", "trimmed").join(points, ["subject_id", "r", "pc"])
-    seen = F.filter("points", lambda p: (p["t"] >= F.col("a0")) & (p["t"] <= F.col("a1")))
-    pair = pair.withColumn("seen", seen)
-    enough = F.size("seen") >= 2
-    parts = pair.groupBy("activity_idx").agg(
-        F.bool_or("trimmed").alias("cut"),
-        F.min(F.when(enough, F.col("seen")[0]["t"])).alias("v0"),
-        F.max(F.when(enough, F.element_at("seen", -1)["t"])).alias("v1"),
-        F.sum(F.when(enough, path_length_m(F.col("seen")))).alias("v_m"),
-    )
-    out = ends.join(parts, "activity_idx", "left")
+    out = ends.join(_seen_parts(moves, segments.checkpoint()), "activity_idx", "left")
     touches = F.col("start_hidden") | F.col("end_hidden") | F.coalesce("cut", F.lit(False))
     part = lambda a, b: F.when(touches, a).otherwise(b)
     out = out.withColumn("partial", touches).where(~F.col("partial") | F.col("v0").isNotNull())

@@ -1,6 +1,8 @@
 """The behaviour that a history of a few days must show, from an export file to rankings."""
 
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,3 +216,32 @@ def test_stay_points_against_plain_union(spark, seed):
                     parent[y] = x
         got = {r["visit_idx"]: r["cluster_id"] for r in stay_points(df, thr).collect()}
         assert got == {i: root(i) for i in range(len(rows))}
+
+
+def test_visible_moves_meet_many_pieces(spark):
+    """One subject, moves of any length across hundreds of pieces; one has an end that no clock shows, which no list of hours could hold."""
+    rng, t, rows = random.Random(3), 0, []
+    for i in range(700):
+        t += rng.choice([0, 0, 1_000, 40_000, 200_000, 1_500_000])
+        rows.append((1, i, t, 43.0 + rng.randrange(5) / 100, 16.0 + rng.randrange(5) / 100, rng.choice(["BUS", "BUS", "TRAM"])))
+    points = spark.createDataFrame(rows, "subject_id bigint, point_idx bigint, t_ms bigint, lat double, lng double, mode string")
+    spans = [(a := rng.randrange(t), a + rng.choice([0, 30_000, 3_600_000, t])) for _ in range(150)] + [(rows[5][2], rows[90][2]), (t // 2, 9_000_000_000_000_000), (t, 0)]
+    moves = [(1, k, "BUS", "d", a, b, 1.0, 10.0, 10.0, 10.0, 10.0) for k, (a, b) in enumerate(spans)]
+    moves = spark.createDataFrame(moves, "subject_id bigint, activity_idx bigint, mode string, date_str string, start_ms bigint, end_ms bigint, distance_m double, start_lat double, start_lng double, end_lat double, end_lng double")
+    zone = spark.createDataFrame([(43.02, 16.02, 300.0), (43.04, 16.0, 300.0)], "zone_lat double, zone_lng double, radius_m double")
+    pieces = U.trimmed_segments(U.run_segments(U.route_runs(points)), zone)
+    got = {r["activity_idx"]: r for r in U.visible_moves(moves, pieces, zone).collect()}
+    metres = lambda p, q: 2 * 6_371_000.0 * math.asin(math.sqrt(math.sin(math.radians(q["lat"] - p["lat"]) / 2) ** 2 + math.cos(math.radians(p["lat"])) * math.cos(math.radians(q["lat"])) * math.sin(math.radians(q["lng"] - p["lng"]) / 2) ** 2))
+    pieces, partial = pieces.collect(), 0
+    for k, (a, b) in enumerate(spans):
+        met = [s for s in pieces if s["start_ms"] <= b and s["end_ms"] >= a] if a <= b else []
+        if not any(s["trimmed"] for s in met):
+            assert (got[k]["partial"], got[k]["start_ms"], got[k]["end_ms"], got[k]["distance_m"]) == (False, a, b, 1.0)
+            continue
+        seen = [p for s in met if len(p := [x for x in s["points"] if a <= x["t"] <= b]) >= 2]
+        assert (k in got) == bool(seen)
+        if seen:
+            partial += 1
+            assert (got[k]["partial"], got[k]["start_ms"], got[k]["end_ms"]) == (True, seen[0][0]["t"], seen[-1][-1]["t"])
+            assert got[k]["distance_m"] == pytest.approx(sum(metres(p, q) for s in seen for p, q in zip(s, s[1:])), abs=0.002)
+    assert partial > 40
