@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geotrail.functions.geo import EARTH_M, haversine_m
+from geotrail.session import is_small
 
 #: Fixed value: the radius around a home or workplace that privacy hides, in metres.
 PRIVACY_RADIUS_M = 1000.0
@@ -68,7 +69,16 @@ def near_keys(df: DataFrame, lat: str, lng: str, centres: DataFrame, centre_lat:
 
 
 def flag_near(df: DataFrame, lat: str, lng: str, centres: DataFrame, centre_lat: str, centre_lng: str, radius: float | Column, flag: str) -> DataFrame:
-    """``df`` with a boolean column instead of a filter; each distinct place is tested once."""
+    """``df`` with a boolean column instead of a filter.
+
+    Few centres go to every task, one row per grid cell; of many, each distinct place of ``df`` is tested once.
+    """
+    cells = _covered_cells(centres, centre_lat, centre_lng, radius, []).groupBy("__cy", "__cx").agg(F.collect_list(F.struct("__clat", "__clng", "__r")).alias("__centres"))
+    if is_small(cells):
+        cy, cx = _at(F.col(lat), F.col(lng), _rings(radius))
+        out = df.join(F.broadcast(cells), (cy == F.col("__cy")) & (cx == F.col("__cx")), "left")
+        hit = F.exists("__centres", lambda c: haversine_m(F.col(lat), F.col(lng), c["__clat"], c["__clng"]) <= c["__r"])
+        return out.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__cy", "__cx", "__centres")
     places = df.select(F.col(lat).alias("__la"), F.col(lng).alias("__ln")).where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).distinct()
     near = near_any(places, "__la", "__ln", centres, centre_lat, centre_lng, radius, keep_near=True).withColumn("__hit", F.lit(True))
     out = df.join(near, (F.col(lat) == F.col("__la")) & (F.col(lng) == F.col("__ln")), "left")

@@ -93,9 +93,14 @@ def _gone_at_the_end(spark: SparkSession, folder: str) -> None:
         fs.deleteOnExit(path)
 
 
+def is_small(df: DataFrame, most_bytes: int = 64 * 1024 * 1024) -> bool:
+    """Whether the optimizer's estimate of the size of ``df`` is at most ``most_bytes``."""
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= most_bytes
+
+
 def small_side(df: DataFrame, most_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """``df`` with a broadcast hint if the optimizer's estimate of its size is at most ``most_bytes``; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= most_bytes else df
+    """``df`` with a broadcast hint if it ``is_small``; else as it is, for a shuffled join."""
+    return F.broadcast(df) if is_small(df, most_bytes) else df
 
 
 def free_name(taken, wish: str) -> str:

@@ -245,3 +245,20 @@ def test_visible_moves_meet_many_pieces(spark):
             assert (got[k]["partial"], got[k]["start_ms"], got[k]["end_ms"]) == (True, seen[0][0]["t"], seen[-1][-1]["t"])
             assert got[k]["distance_m"] == pytest.approx(sum(metres(p, q) for s in seen for p, q in zip(s, s[1:])), abs=0.002)
     assert partial > 40
+
+
+def test_zones_shuffle_no_table(spark, data):
+    """Stays of a day timeline stay where they were read; before, each test against the three zones moved the whole table."""
+    from geotrail.plans import adapter
+
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    stays, zones = adapter.visits(spark, data), adapter.zones(spark)
+    hidden = L.flag_near(stays, "lat", "lng", zones, "zone_lat", "zone_lng", F.col("radius_m"), "hidden")
+    for df in (hidden, L.exclude_zones(stays, zones)):
+        assert "BroadcastHashJoin" in plan(df) and "SortMergeJoin" not in plan(df)
+    # The same flags as by the way for many centres, overlapping zones and places without coordinates included.
+    odd = stays.select("lat", "lng").union(spark.createDataFrame([(None, 135.0), (35.0, None), (35.3, 135.3)], "lat double, lng double"))
+    twice = zones.union(zones)
+    many = spark.createDataFrame(twice.collect(), twice.schema)
+    flags = [sorted(map(str, L.flag_near(odd, "lat", "lng", z, "zone_lat", "zone_lng", F.col("radius_m"), "hidden").collect())) for z in (twice, many)]
+    assert flags[0] == flags[1] and any("hidden=True" in r for r in flags[0]) and len(flags[0]) == odd.count()
