@@ -262,3 +262,10 @@ def test_zones_shuffle_no_table(spark, data):
     many = spark.createDataFrame(twice.collect(), twice.schema)
     flags = [sorted(map(str, L.flag_near(odd, "lat", "lng", z, "zone_lat", "zone_lng", F.col("radius_m"), "hidden").collect())) for z in (twice, many)]
     assert flags[0] == flags[1] and any("hidden=True" in r for r in flags[0]) and len(flags[0]) == odd.count()
+
+
+def test_day_summary_joins_moves_once(spark, data):
+    """Only what is visible of each move is joined by a shuffle; before, so was each test against the zones."""
+    from geotrail.plans import routes as plans
+
+    assert plans.QUERIES["day_summary"](spark, data)._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") <= 1
