@@ -18,6 +18,10 @@ def _block(time: Column, block_ms: int) -> Column:
     return F.floor(time / F.lit(block_ms)).cast("bigint")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def around(left: DataFrame, right: DataFrame, *, by: str, left_time: str, right_time: str, payload: list[str], ways: dict[str, bool], block_ms: int = BLOCK_MS) -> DataFrame:
     """``left`` with a struct ``__rt, *payload`` for each of ``ways`` (name: forward), as ``asof`` picks it; all ways share one shuffle.
 
@@ -27,17 +31,23 @@ def around(left: DataFrame, right: DataFrame, *, by: str, left_time: str, right_
     rights = right.where(F.col(right_time).isNotNull()).select(F.col(by), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), pack.alias("__pack"))
     lefts = left.select(F.col(by), F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(rights.schema["__pack"].dataType).alias("__pack"), F.struct("*").alias("__row"))
     no_row = F.lit(None).cast(lefts.schema["__row"].dataType)
-    both = rights.withColumn("__row", no_row).unionByName(lefts).withColumn("__b", _block(F.col("__t"), block_ms))
-    # A row without a time has no block and meets nothing.
-    edges = both.where(F.col("__b").isNotNull()).groupBy(by, "__b").agg(F.max("__pack").alias("__max"), F.min("__pack").alias("__min"))
-    # Forward, the order is turned round: a frame that ends with the current row grows by a row each, one that begins with it is read again for every row.
+    block = _block(F.col("__t"), block_ms)
+    both = rights.withColumn("__row", no_row).unionByName(lefts).withColumn("__b", block)
+    # Least and greatest structs are found by sorting, so only right rows are asked for them; left rows name their blocks. A row without a time has no block and meets nothing.
+    edges = rights.groupBy(by, block.alias("__b")).agg(F.max("__pack").alias("__max"), F.min("__pack").alias("__min"))
+    edges = edges.unionByName(lefts.where(F.col("__t").isNotNull()).select(by, block.alias("__b")).distinct(), allowMissingColumns=True)
+    edges = edges.groupBy(by, "__b").agg(F.max("__max").alias("__max"), F.max("__min").alias("__min"))
     turn = lambda c, forward: c.desc() if forward else c.asc()
     far = [F.last("__min" if f else "__max", True).over(Window.partitionBy(by).orderBy(turn(F.col("__b"), f)).rowsBetween(Window.unboundedPreceding, -1)) for f in ways.values()]
     carried = edges.select(by, "__b", F.array(*far).alias("__far")).select(by, "__b", F.explode("__far").alias("__pack")).where(F.col("__pack").isNotNull())
     both = both.unionByName(carried.select(by, F.col("__pack.__rt").alias("__t"), F.lit(0).alias("__side"), "__pack", no_row.alias("__row"), "__b"))
+    # All ways read one order. Forward, a frame that begins with the current row would be read again for every row; the next pack that there is, is found by
+    # going on from the last one, and of the right rows at the same instant, which come before, the first is the least.
+    inside = Window.partitionBy(by, "__b").orderBy("__t", "__side", "__pack")
+    at_once = Window.partitionBy(by, "__b", "__t").orderBy("__side", "__pack").rowsBetween(Window.unboundedPreceding, 0)
+    following = F.expr(f"lead(__pack) IGNORE NULLS OVER (PARTITION BY {quoted(by)}, __b ORDER BY __t, __side, __pack)")
     for name, f in ways.items():
-        order = [turn(F.col("__t"), f), F.col("__side"), F.col("__pack").desc_nulls_last() if f else F.col("__pack").asc_nulls_first()]
-        both = both.withColumn(name, F.last("__pack", True).over(Window.partitionBy(by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        both = both.withColumn(name, F.coalesce(F.first("__pack", True).over(at_once), following) if f else F.last("__pack", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     return both.where(F.col("__row").isNotNull()).select("__row.*", *ways)
 
 

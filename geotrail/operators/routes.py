@@ -82,41 +82,74 @@ def trimmed_segments(segments: DataFrame, zones: DataFrame) -> DataFrame:
 
 #: Stretches of time whose rows one task reads in order.
 SEEN_BLOCK_MS = 86_400_000
+#: Lengths are added as whole metres and these parts of one, both as integers, so that what is left of large sums is as exact as a sum of its own.
+_PARTS = 100_000_000_000
+_SUMS = ["__n", "__metres", "__parts", "__c"]
+
+
+def _marks(segments: DataFrame) -> DataFrame:
+    """``subject_id``, two times ``__from`` and ``__to``, and ``_SUMS``: a row for each line between successive points, and one for each cut piece.
+
+    A line counts for a move if it begins from the move's start on and ends by its end; a cut piece if it ends and begins so.
+    """
+    n = F.size("points")
+    # The last point goes with the first: the piece as a whole, with its end before its begin.
+    pairs = F.arrays_zip(F.col("points").alias("p"), F.concat(F.slice("points", 2, n - 1), F.slice("points", 1, 1)).alias("q"))
+    out = segments.select("subject_id", "trimmed", (n - 1).alias("lines"), F.posexplode(pairs).alias("i", "l"))
+    line = F.col("i") < F.col("lines")
+    out = out.where((line | F.col("trimmed")) & F.col("l.p.t").isNotNull() & F.col("l.q.t").isNotNull())
+    m = F.when(line, haversine_m(F.col("l.p.lat"), F.col("l.p.lng"), F.col("l.q.lat"), F.col("l.q.lng")))
+    out = out.select("subject_id", F.col("l.p.t").alias("__from"), F.col("l.q.t").alias("__to"), line.cast("bigint").alias("__n"), F.coalesce(m, F.lit(0.0)).alias("m"), (~line).cast("bigint").alias("__c"))
+    whole = F.floor("m")
+    return out.select("subject_id", "__from", "__to", "__n", whole.alias("__metres"), F.floor((F.col("m") - whole) * _PARTS + 0.5).alias("__parts"), "__c")
+
+
+def _seen_block(at: Column) -> Column:
+    return F.floor(at / SEEN_BLOCK_MS).cast("bigint")
+
+
+def _seen_heads(marks: DataFrame, moves: DataFrame) -> DataFrame:
+    """What each block of a subject starts with, for both ways: what those before it add up to; turned round, less all there is."""
+    both = lambda a, b: F.explode(F.array(F.struct(F.lit(-1).alias("__way"), (-a).alias("__at")), F.struct(F.lit(1).alias("__way"), b.alias("__at"))))
+    rows = marks.select("subject_id", both(F.col("__from"), F.col("__to")).alias("r"), *_SUMS).select("subject_id", "r.*", *_SUMS, F.when(F.col("__n") > 0, F.col("r.__at")).alias("__last"))
+    asked = moves.where(F.col("start_ms") <= F.col("end_ms")).select("subject_id", both(F.col("start_ms"), F.col("end_ms")).alias("r")).select("subject_id", "r.*", *[F.lit(0).cast("bigint").alias(c) for c in _SUMS], F.lit(None).cast("bigint").alias("__last"))
+    blocks = rows.unionByName(asked).groupBy("subject_id", "__way", _seen_block(F.col("__at")).alias("__b")).agg(*[F.sum(c).alias(c) for c in _SUMS], F.max("__last").alias("__last"))
+    blocks = blocks.withColumn("__metres", F.col("__metres") + F.expr(f"__parts div {_PARTS}")).withColumn("__parts", F.col("__parts") % _PARTS)
+    every = Window.partitionBy("subject_id", "__way")
+    before = every.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)) - F.when(F.col("__way") < 0, F.sum(c).over(every)).otherwise(0)
+    return blocks.select("subject_id", "__way", "__b", *[carried(c).alias(c) for c in _SUMS], F.max("__last").over(before).alias("__last"))
+
+
+def _seen_upto(asks: DataFrame, marks: DataFrame, heads: DataFrame, way: int, asked: Column, at: str, name: str) -> DataFrame:
+    """``asks`` with a struct ``name`` of what the marks up to ``asked`` add up to (way -1: from ``asked`` on, as time is turned round) and the last line's time."""
+    sums = [*_SUMS, "__last"]
+    lines = marks.select("subject_id", (F.col(at) * way).alias("__at"), *_SUMS).withColumn("__last", F.when(F.col("__n") > 0, F.col("__at")))
+    blocked = lines.withColumn("__side", F.lit(0)).unionByName(asks.withColumn("__at", asked * way).withColumn("__side", F.lit(1)), allowMissingColumns=True).withColumn("__b", _seen_block(F.col("__at")))
+    rows = blocked.unionByName(heads.where(F.col("__way") == way).drop("__way").withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    # Heads have no time and come first; at one instant lines and cuts come before what is asked. What has no time meets nothing.
+    upto = Window.partitionBy("subject_id", "__b").orderBy(F.col("__at").asc_nulls_first(), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.struct(*[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in _SUMS], (F.max("__last").over(upto) * way).alias("__last"))
+    return rows.select(*asks.columns, "__side", found.alias(name)).where(F.col("__side") == 1).drop("__side")
 
 
 def _seen_parts(moves: DataFrame, segments: DataFrame) -> DataFrame:
-    """``activity_idx, cut, v0, v1, v_m``: whether a trimmed piece overlaps the move, and the times and length of the path within it.
+    """``moves`` with ``cut, v0, v1, v_m``: whether a trimmed piece overlaps the move, and the times and length of the path within it.
 
     Pieces of a subject follow each other in time, so the lines between successive points are in order by their begins and by their ends.
     Those within a move are what ended by its end, and what began from its start on, less all of them. One running sum has the first; the
-    second is the same sum with time turned round. So a move costs two rows, however many pieces it meets. Lengths are added as
-    decimals, so that what is left of large sums is as exact as a sum of its own.
+    second is the same sum with time turned round. A move is one row of each of the two, however many pieces it meets, and keeps its
+    columns, so that nothing is joined.
     """
-    row = lambda way, at, line=False, metres=None, cut=0, asked=None: F.struct(
-        F.lit(way).alias("way"), (at * way).alias("at"), (F.lit(None) if asked is None else asked).cast("bigint").alias("activity_idx"), F.lit(int(line)).cast("bigint").alias("n"),
-        (F.lit(0) if metres is None else metres).cast("decimal(38,12)").alias("m"), F.lit(cut).cast("bigint").alias("c"), (at * way if line else F.lit(None)).cast("bigint").alias("last"),
-    )
-    points, n = F.col("points"), F.size("points")
-    lines = segments.select("subject_id", F.explode(F.arrays_zip(F.slice(points, 1, n - 1).alias("p"), F.slice(points, 2, n).alias("q"))).alias("l")).where(F.col("l.p.t").isNotNull())
-    lines = lines.select("subject_id", F.col("l.p.t").alias("t0"), F.col("l.q.t").alias("t1"), haversine_m(F.col("l.p.lat"), F.col("l.p.lng"), F.col("l.q.lat"), F.col("l.q.lng")).alias("m"))
-    lines = lines.select("subject_id", F.explode(F.array(row(-1, F.col("t0"), True, F.col("m")), row(1, F.col("t1"), True, F.col("m")))).alias("r"))
-    timed = segments.where(F.col("trimmed") & F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull())
-    cuts = timed.select("subject_id", F.explode(F.array(row(-1, F.col("end_ms"), cut=1), row(1, F.col("start_ms"), cut=1))).alias("r"))
-    asked = moves.where(F.col("start_ms") <= F.col("end_ms"))
-    asked = asked.select("subject_id", F.explode(F.array(row(-1, F.col("start_ms"), asked=F.col("activity_idx")), row(1, F.col("end_ms"), asked=F.col("activity_idx")))).alias("r"))
-    rows = lines.unionByName(cuts).unionByName(asked).select("subject_id", "r.*").withColumn("b", F.floor(F.col("at") / SEEN_BLOCK_MS).cast("bigint"))
-    # A block starts with what those before it add up to; turned round, less all there is.
-    key, sums = ["subject_id", "way"], ["n", "m", "c"]
-    blocks = rows.groupBy(*key, "b").agg(*[F.sum(c).alias(c) for c in sums], F.max("last").alias("last"))
-    before = Window.partitionBy(*key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)) - F.when(F.col("way") < 0, F.sum(c).over(Window.partitionBy(*key))).otherwise(0)
-    heads = blocks.select(*key, "b", *[carried(c).cast(rows.schema[c].dataType).alias(c) for c in sums], F.max("last").over(before).alias("last"), F.lit(None).cast("bigint").alias("activity_idx"), F.lit(None).cast("bigint").alias("at"))
-    # Heads have no time and come first; at one instant lines and cuts come before what is asked.
-    upto = Window.partitionBy(*key, "b").orderBy(F.col("at").asc_nulls_first(), F.col("activity_idx").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.unionByName(heads).select("way", "activity_idx", *[F.sum(c).over(upto).alias(c) for c in sums], F.max("last").over(upto).alias("last")).where(F.col("activity_idx").isNotNull())
-    out = found.groupBy("activity_idx").agg(*[F.sum(c).alias(c) for c in sums], F.max(F.when(F.col("way") < 0, -F.col("last"))).alias("v0"), F.max(F.when(F.col("way") > 0, F.col("last"))).alias("v1"))
-    seen = lambda c: F.when(F.col("n") > 0, F.col(c))
-    return out.select("activity_idx", (F.col("c") > 0).alias("cut"), seen("v0").alias("v0"), seen("v1").alias("v1"), seen("m").cast("double").alias("v_m"))
+    ensure_checkpoint_dir(moves.sparkSession)
+    marks = _marks(segments).checkpoint()
+    heads = _seen_heads(marks, moves).checkpoint()
+    timed = F.col("start_ms") <= F.col("end_ms")
+    out = _seen_upto(moves, marks, heads, 1, F.when(timed, F.col("end_ms")), "__to", "__up")
+    out = _seen_upto(out, marks, heads, -1, F.when(timed, F.col("start_ms")), "__from", "__down")
+    both = lambda c: F.col(f"__up.{c}") + F.col(f"__down.{c}")
+    seen = lambda c: F.when(both("__n") > 0, c)
+    return out.select(*moves.columns, (both("__c") > 0).alias("cut"), seen(F.col("__down.__last")).alias("v0"), seen(F.col("__up.__last")).alias("v1"), seen(both("__metres") + both("__parts") / _PARTS).alias("v_m"))
 
 
 def visible_moves(moves: DataFrame, segments: DataFrame, zones: DataFrame) -> DataFrame:
@@ -126,9 +159,9 @@ def visible_moves(moves: DataFrame, segments: DataFrame, zones: DataFrame) -> Da
     """
     ends = flag_near(moves, "start_lat", "start_lng", zones, "zone_lat", "zone_lng", F.col("radius_m"), "start_hidden")
     ends = flag_near(ends, "end_lat", "end_lng", zones, "zone_lat", "zone_lng", F.col("radius_m"), "end_hidden")
-    ensure_checkpoint_dir(moves.sparkSession)
-    out = ends.join(_seen_parts(moves, segments.checkpoint()), "activity_idx", "left")
-    touches = F.col("start_hidden") | F.col("end_hidden") | F.coalesce("cut", F.lit(False))
+    ends = ends.select("subject_id", "activity_idx", "mode", "date_str", "start_ms", "end_ms", "distance_m", (F.col("start_hidden") | F.col("end_hidden")).alias("hidden"))
+    out = _seen_parts(ends, segments)
+    touches = F.col("hidden") | F.col("cut")
     part = lambda a, b: F.when(touches, a).otherwise(b)
     out = out.withColumn("partial", touches).where(~F.col("partial") | F.col("v0").isNotNull())
     return out.select(

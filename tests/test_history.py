@@ -269,3 +269,32 @@ def test_day_summary_joins_moves_once(spark, data):
     from geotrail.plans import routes as plans
 
     assert plans.QUERIES["day_summary"](spark, data)._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") <= 1
+
+
+def test_day_summary_joins_no_table(spark, data):
+    """Moves keep their columns while what is visible of them is looked up; before, they were read again and joined by a shuffle and two sorts."""
+    from geotrail.plans import routes as plans
+
+    plan = plans.QUERIES["day_summary"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("activity_idx" in line for line in joins)
+
+
+def test_visible_moves_without_times_or_path(spark):
+    """Days apart, half metres in a sum of millions, moves without a time, turned round, of a subject without a path, and one identifier twice."""
+    day = 86_400_000
+    at = [*range(0, 200_000, 10_000), *range(40 * day, 40 * day + 200_000, 10_000)]
+    rows = [(1, i, t, 43.0 + (i % 2) * 0.000_01, 16.0 + (150 if i == 20 else 0), "BUS") for i, t in enumerate(at)]
+    points = spark.createDataFrame(rows, "subject_id bigint, point_idx bigint, t_ms bigint, lat double, lng double, mode string")
+    zone = spark.createDataFrame([(43.0, -165.0, 50.0)], "zone_lat double, zone_lng double, radius_m double")
+    spans = [(1, 0, 40 * day + 200_000), (1, 40 * day, 41 * day), (1, None, 5), (1, 5, None), (1, 9, 3), (2, 0, 40 * day)]
+    near = (43.0, -165.0)
+    moves = [(s, k // 2 * 2, "BUS", "d", a, b, 1.0, *near, 10.0, 10.0) for k, (s, a, b) in enumerate(spans)]
+    moves = spark.createDataFrame(moves, "subject_id bigint, activity_idx bigint, mode string, date_str string, start_ms bigint, end_ms bigint, distance_m double, start_lat double, start_lng double, end_lat double, end_lng double")
+    pieces = U.trimmed_segments(U.run_segments(U.route_runs(points)), zone)
+    got = sorted((r["start_ms"], r["end_ms"], r["distance_m"]) for r in U.visible_moves(moves, pieces, zone).collect())
+    step = 6_371_000.0 * math.radians(0.000_01)
+    metres = lambda p, q: 2 * 6_371_000.0 * math.asin(math.sqrt(math.sin(math.radians(q[3] - p[3]) / 2) ** 2 + math.cos(math.radians(p[3])) * math.cos(math.radians(q[3])) * math.sin(math.radians(q[4] - p[4]) / 2) ** 2))
+    late = metres(rows[20], rows[21]) + 18 * step
+    assert late > 9_000_000
+    assert got == [(0, 40 * day + 190_000, pytest.approx(19 * step + metres(rows[19], rows[20]) + late, abs=0.001)), (40 * day, 40 * day + 190_000, pytest.approx(late, abs=0.001))]
