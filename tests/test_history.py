@@ -298,3 +298,18 @@ def test_visible_moves_without_times_or_path(spark):
     late = metres(rows[20], rows[21]) + 18 * step
     assert late > 9_000_000
     assert got == [(0, 40 * day + 190_000, pytest.approx(19 * step + metres(rows[19], rows[20]) + late, abs=0.001)), (40 * day, 40 * day + 190_000, pytest.approx(late, abs=0.001))]
+
+
+def test_numbers_of_json_texts(spark):
+    """Bare numbers are told from every other text, and both ways give what the JSON parser gives."""
+    from geotrail.plans import adapter
+
+    numbers = ["0", "7", "-7", "123456789", "2147483647", "-0", "07", "+7", "7 ", " 7", "null", '"7"', "7\n", "7, \"k\": 8", "7}", "7, \"x\": {\"k\": 1}", "\u0667"]
+    texts = [f'{{"k": {n}}}' for n in numbers] + ['{"k":7}', '{"k": 7}\n', ' {"k": 7}', '{"j": 7}', "", "{", None]
+    df = spark.createDataFrame([(t,) for t in texts], "props string")
+    whole = F.get_json_object("props", "$.k").cast("int")
+    for t, got, want in df.select("props", adapter._number("props"), whole).collect():
+        assert got == want, t
+    # Most texts are bare, so the parser must not be asked for them.
+    assert df.where("props = '{\"k\": 7}'").select(adapter._number("props").alias("k"), F.lit(7).alias("want")).where("k = want").count() == 1
+    assert "RLIKE" in df.select(adapter._number("props"))._jdf.queryExecution().optimizedPlan().toString()
